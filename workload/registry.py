@@ -116,4 +116,4 @@ def query(name: str, sql: str | None = None):
 
 def r(expr: str, digits: int = 4) -> str:
     """Oracle text rounding a double by its decimal digits, half up."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE)"
