@@ -224,7 +224,7 @@ def _(t):
 view(
     "v_reworded_question",
     """
-SELECT doc_id AS question_id, doc_id % 25 AS exam_id, concat(CAST(1 + doc_id % 9 AS VARCHAR(3)), 'a') AS number,
+SELECT doc_id AS question_id, doc_id % 25 AS exam_id, concat(CAST(1 + doc_id % 3 AS VARCHAR(3)), 'a') AS number,
        CASE WHEN source IN ('src1', 'src5') THEN concat(text, ' Also.') WHEN source = 'src2' THEN concat('  ', text, '   ')
             ELSE text END AS model_answer
 FROM documents

@@ -30,7 +30,7 @@ FROM customer
 view(
     "v_enrollment",
     """
-SELECT DISTINCT o_custkey % 25 AS exam_id, o_custkey AS student_id FROM orders WHERE o_orderpriority <> '1-URGENT'
+SELECT c_custkey % 25 AS exam_id, c_custkey AS student_id FROM customer WHERE c_mktsegment <> 'MACHINERY'
 """,
 )
 
