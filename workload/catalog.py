@@ -4,3 +4,4 @@ from workload import views  # noqa: F401, I001
 from workload import class_reports  # noqa: F401
 from workload import answers  # noqa: F401
 from workload import rosters  # noqa: F401
+from workload import marks  # noqa: F401
