@@ -12,7 +12,7 @@ from collections import deque
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rubrica.functions.geometry import with_geometry
 from rubrica.operators.spatial import endpoint_pairs, iou_pairs
@@ -100,8 +100,12 @@ def _turn(a, b) -> float:
 
 
 def _continues(a, b, angle: float, gap: float) -> bool:
-    reach = min(math.dist(p, q) for p, q in product((a[:2], a[2:]), (b[:2], b[2:])))
-    return reach <= gap and _turn(a, b) <= angle
+    for ax, ay in (a[:2], a[2:]):
+        for bx, by in (b[:2], b[2:]):
+            # most pairs are far apart, so the square test comes before the distance and the angle
+            if abs(ax - bx) <= gap and abs(ay - by) <= gap and math.hypot(ax - bx, ay - by) <= gap:
+                return _turn(a, b) <= angle
+    return False
 
 
 def _span(a, b) -> tuple:
@@ -134,24 +138,42 @@ def join_strokes(lines, angle: float, gap: float) -> list[tuple]:
     return strokes
 
 
-def merge_collinear(lines: DataFrame, by: str = "block_id", angle: float = 8.0, gap: float = 20.0) -> DataFrame:
-    """Join fragments of one stroke: by, line_no (of the first fragment), x1, y1, x2, y2, parts.
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _join_lists(
+    no: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, angle: pd.Series, gap: pd.Series
+) -> pd.Series:
+    rows = zip(no, x1, y1, x2, y2, angle, gap, strict=True)
+    return pd.Series([[list(map(float, s)) for s in join_strokes(zip(*r[:5], strict=True), *r[5:])] for r in rows])
 
-    Only lines linked through ends within `gap` can ever meet, as a joined stroke ends where fragments end. Lines
-    without such a neighbour pass through untouched; the rest are grouped by link, not by block, before the
-    order-dependent joining runs.
-    """
-    linked = linked_groups(endpoint_pairs(lines, by, "line_no", gap), by).withColumnRenamed("id", "line_no")
-    base = lines.select(by, "line_no", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    alone = base.join(linked, [by, "line_no"], "left_anti").withColumn("parts", F.lit(1).cast("bigint"))
-    cols = ["line_no", "x1", "y1", "x2", "y2"]
 
-    def join_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = pd.DataFrame(join_strokes(pdf[cols].itertuples(index=False, name=None), angle, gap), columns=[*cols, "parts"])
-        merged.insert(0, by, pdf[by].iloc[0])
-        return merged
+# A block of at most this many lines is joined whole; a larger one is split into linked groups first.
+WHOLE_BLOCK = 2000
 
-    schema = f"{by} bigint, line_no bigint, x1 double, y1 double, x2 double, y2 double, parts bigint"
-    joined = base.join(linked, [by, "line_no"]).groupBy(by, "grp").applyInPandas(join_group, schema)
-    return alone.unionByName(joined)
 
+def merge_collinear(
+    lines: DataFrame, by: str = "block_id", angle: float = 8.0, gap: float = 20.0, whole_block: int = WHOLE_BLOCK
+) -> DataFrame:
+    """Join fragments of one stroke: by, line_no (of the first fragment), x1, y1, x2, y2, parts.
+
+    The joining depends on order, so it runs on one group of lines at a time. A block, being one crop, is such a group.
+    Blocks over `whole_block` lines are split first: only lines linked through ends within `gap` can ever meet, as a
+    joined stroke ends where fragments end, so each linked group can be joined alone with the same outcome.
+    """
+    base = lines.select(by, "line_no", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    large = base.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_block).select(by)
+    large = cut_lineage(large)
+
+    def joined(group: DataFrame, *keys: str) -> DataFrame:
+        cols = ["line_no", "x1", "y1", "x2", "y2"]
+        lists = group.groupBy(by, *keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("l"))
+        rows = lists.select(by, F.explode(_join_lists(*[F.col(f"l.{c}") for c in cols], F.lit(angle), F.lit(gap))).alias("s"))
+        out = [F.col("s")[i].alias(c) for i, c in enumerate([*cols, "parts"])]
+        return rows.select(by, *out).withColumns({c: F.col(c).cast("bigint") for c in ("line_no", "parts")})
+
+    if large.isEmpty():
+        return joined(base)
+    small = joined(base.join(large, by, "left_anti"))
+    rest = base.join(large, by, "left_semi")
+    linked = linked_groups(endpoint_pairs(rest, by, "line_no", gap), by).withColumnRenamed("id", "line_no")
+    alone = rest.join(linked, [by, "line_no"], "left_anti").withColumn("parts", F.lit(1).cast("bigint"))
+    return small.unionByName(alone).unionByName(joined(rest.join(linked, [by, "line_no"]), "grp"))
