@@ -5,3 +5,4 @@ from workload import class_reports  # noqa: F401
 from workload import answers  # noqa: F401
 from workload import rosters  # noqa: F401
 from workload import marks  # noqa: F401
+from workload import pages  # noqa: F401
