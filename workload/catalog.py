@@ -7,3 +7,4 @@ from workload import rosters  # noqa: F401
 from workload import marks  # noqa: F401
 from workload import pages  # noqa: F401
 from workload import layout  # noqa: F401
+from workload import replies  # noqa: F401
