@@ -9,3 +9,4 @@ from workload import pages  # noqa: F401
 from workload import layout  # noqa: F401
 from workload import replies  # noqa: F401
 from workload import streams  # noqa: F401
+from workload import jobs  # noqa: F401
