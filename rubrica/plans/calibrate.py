@@ -23,7 +23,10 @@ def calibrate(
     One row per threshold, from a single pass of map-side aggregates.
     """
     s, h = F.col("similarity"), F.col("human")
-    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.corr(s, h), 4).alias("pearson_r")]
+    spread = F.stddev_pop(s) * F.stddev_pop(h)
+    # null where either side is constant, for which the built-in raises in ANSI mode
+    pearson = F.covar_pop(s, h) / F.when(spread > 0, spread)
+    aggs = [F.count(F.lit(1)).alias("n"), F.round(pearson, 4).alias("pearson_r")]
     for i, cut in enumerate(thresholds):
         aggs.append(
             F.struct(

@@ -279,21 +279,24 @@ SELECT l.doc_id, d.lang, CAST(l.quality AS DOUBLE) AS human, CAST((d.n_chars * 7
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id
 """,
 )
-REPORT = """SELECT {by} n, pearson_r, c.threshold, c.above, c.mean_above, c.below, c.mean_below FROM (
-  SELECT {by} count(*) AS n, {corr} AS pearson_r, unnest([
-    struct_pack(threshold := 0.72::DOUBLE, above := count(*) FILTER (WHERE similarity >= 0.72), mean_above := {a1},
-      below := count(*) FILTER (WHERE similarity < 0.72), mean_below := {b1}),
-    struct_pack(threshold := 0.5::DOUBLE, above := count(*) FILTER (WHERE similarity >= 0.5), mean_above := {a2},
-      below := count(*) FILTER (WHERE similarity < 0.5), mean_below := {b2})]) AS c FROM {src} GROUP BY ALL)"""
-
-
 def _report(src, by=""):
     def mean(cond):
         return r(f"avg(human) FILTER (WHERE similarity {cond})")
 
-    return REPORT.format(
-        src=src, by=by, corr=r("corr(similarity, human)"), a1=mean(">= 0.72"), b1=mean("< 0.72"), a2=mean(">= 0.5"), b2=mean("< 0.5")
+    spread = "stddev_pop(similarity) * stddev_pop(human)"
+    cuts = {"a": "0.72", "b": "0.5"}
+    cols = ", ".join(
+        f"count(*) FILTER (WHERE similarity >= {c}) AS {k}1, {mean('>= ' + c)} AS {k}2, count(*) FILTER (WHERE similarity < {c}) AS {k}3,"
+        f" {mean('< ' + c)} AS {k}4"
+        for k, c in cuts.items()
+    )
+    rows = ", ".join(
+        f"struct_pack(threshold := {c}::DOUBLE, above := {k}1, mean_above := {k}2, below := {k}3, mean_below := {k}4)" for k, c in cuts.items()
     )
+    group = f"GROUP BY {by.rstrip(',')}" if by else ""
+    return f"""SELECT {by} n, pearson_r, c.threshold, c.above, c.mean_above, c.below, c.mean_below FROM (
+      SELECT {by} n, pearson_r, unnest([{rows}]) AS c FROM (SELECT {by} count(*) AS n,
+        CASE WHEN {spread} > 0 THEN {r(f"covar_pop(similarity, human) / ({spread})")} END AS pearson_r, {cols} FROM {src} {group}))"""
 
 
 @query("calibration_report", _report("v_label", "lang,"))
