@@ -12,31 +12,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def strip_fence(col) -> Column:
-    """Text inside a code fence that wraps the whole reply, or the trimmed reply."""
-    text = strip(col)
-    inner = F.regexp_extract(text, r"(?si)^```(?:json)?\s*\n?(.*?)\n?```$", 1)
-    return F.when(text.rlike(r"(?si)^```(?:json)?\s*\n?.*?\n?```$"), strip(inner)).otherwise(text)
+def object_text(col) -> Column:
+    """The part of a reply from its first to its last brace, null when there is none.
+
+    An object inside a code fence or amid prose is found the same way as a bare one.
+    """
+    c = _c(col)
+    first = F.instr(c, "{")
+    last = F.length(c) - F.instr(F.reverse(c), "}") + 1
+    return F.when((first > 0) & (last > first) & (F.instr(c, "}") > 0), F.substring(c, first, last - first + 1))
 
 
-def _strict(text: Column, schema: str) -> Column:
-    """Parsed struct, null when the text is not an object of JSON (single quotes allowed)."""
-    parsed = F.from_json(text, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(text.startswith("{") & parsed["_bad"].isNull(), parsed)
+def _parsed(text: Column, schema: str) -> Column:
+    return F.from_json(text, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
 
 
 def parsed_reply(col, schema: str) -> Column:
-    """Reply as a struct: the text without its fence, else what lies between the first and last brace, else null.
+    """Reply as a struct, null when it holds no readable object; single-quoted keys and texts are read too.
 
     Declare fields as string to accept any kind of value; nested values then come back as their JSON text.
     """
-    text = strip_fence(col)
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(_strict(text, schema), _strict(braces, schema))
+    parsed = _parsed(object_text(col), schema)
+    return F.when(parsed["_bad"].isNull(), parsed)
 
 
 def parse_reply(df: DataFrame, col: str, schema: str, out: str = "parsed") -> DataFrame:
-    return df.withColumn(out, parsed_reply(col, schema))
+    """Append the parsed reply; staged, so that a long reply is searched and parsed once."""
+    staged = df.withColumn("_text", object_text(col)).withColumn("_read", _parsed(F.col("_text"), schema))
+    return staged.withColumn(out, F.when(F.col("_read._bad").isNull(), F.col("_read"))).drop("_text", "_read")
 
 
 VERDICT = r"\b(COVERED|PARTIAL|MISSING)\b"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,23 +34,34 @@ def cosine(a, b) -> Column:
     return F.when(same, value).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("double"))
 
 
-def hash_vector(col, dim: int) -> Column:
-    """Unit vector derived from a text alone: equal texts get equal vectors. Input is trimmed and lower-cased."""
-    from rubrica.functions.text import strip
+# Up to this length arithmetic on a vector is written out per element, which compiles; longer ones use array functions.
+UNROLL = 16
 
-    text = F.lower(strip(col))
-    blocks = math.ceil(dim / 16)
-    digits = F.concat(*[F.sha2(F.concat(text, F.lit(f"#{b}")), 256) for b in range(blocks)])
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.conv(F.substring(digits, i * 4 + 1, 4), 16, 10).cast("double") / 32767.5 - 1,
-    )
-    return raw
+
+def dot_of(a, b, dim: int | None = None) -> Column:
+    """Dot product of vectors known to hold `dim` numbers, compiled for short ones."""
+    if dim is None or dim > UNROLL:
+        return dot(a, b)
+    terms = [F.get(_c(a), F.lit(i)).cast("double") * F.get(_c(b), F.lit(i)).cast("double") for i in range(dim)]
+    return reduce(lambda x, y: x + y, terms)
 
 
 def hash_embed(df: DataFrame, text_col: str, dim: int, out: str = "embedding") -> DataFrame:
-    """Append a content-derived unit vector."""
-    raw = df.withColumn("_raw", hash_vector(text_col, dim)).withColumn("_n", norm("_raw"))
+    """Append a unit vector derived from the text alone: equal texts, trimmed and lower-cased, get equal vectors.
+
+    The digests are made in a projection of their own; inside an array function they would be made once per element.
+    """
+    from rubrica.functions.text import strip
+
+    text = F.lower(strip(text_col))
+    digests = [F.sha2(F.concat(text, F.lit(f"#{b}")), 256).alias(f"_d{b}") for b in range(math.ceil(dim / 16))]
+    hashed = df.select("*", *digests)
+
+    def number(i: int) -> Column:
+        return F.conv(F.substring(f"_d{i // 16}", i % 16 * 4 + 1, 4), 16, 10).cast("double") / 32767.5 - 1
+
+    raw = hashed.withColumn("_raw", F.array(*[number(i) for i in range(dim)])).drop(*[f"_d{b}" for b in range(len(digests))])
+    raw = raw.withColumn("_n", F.sqrt(dot_of("_raw", "_raw", dim)))
     unit = F.transform("_raw", lambda v: v / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n")))
     return raw.withColumn(out, unit).drop("_raw", "_n")
 

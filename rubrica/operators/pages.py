@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rubrica.config import CONTENT_TYPES, MARK_INTENTS, MARK_KINDS
-from rubrica.functions.replies import parsed_reply
+from rubrica.functions.replies import parse_reply
 from rubrica.functions.text import norm_number, strip
 
 PAGE = ["sheet_id", "page_index"]
@@ -61,14 +61,10 @@ def _fraction(raw: Column) -> Column:
 
 def _exploded(replies: DataFrame) -> DataFrame:
     """One row per block of each reply, the page columns repeated; a reply without blocks keeps one row."""
-    base = replies.select(*PAGE, "page_w", "page_h", "reply").withColumn("_p", parsed_reply("reply", "blocks string"))
-    listed = base.withColumn(
-        "_list", F.when(F.col("_p.blocks").isNull(), F.lit("[]")).otherwise(F.col("_p.blocks"))
-    )
-    items = F.when(F.col("_list").startswith("["), F.from_json("_list", "array<string>"))
-    return listed.withColumn("_items", items).select(
-        *PAGE, "page_w", "page_h", (F.col("_p").isNull() | F.col("_items").isNull()).alias("unreadable"),
-        F.posexplode_outer("_items").alias("block_no", "raw"),
+    base = parse_reply(replies.select(*PAGE, "page_w", "page_h", "reply"), "reply", "blocks array<string>", "_p")
+    return base.select(
+        *PAGE, "page_w", "page_h", F.col("_p").isNull().alias("unreadable"),
+        F.posexplode_outer("_p.blocks").alias("block_no", "raw"),
     )
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from rubrica.config import DEFAULTS, Thresholds
 from rubrica.operators import pages
 from rubrica.operators.results import sheet_confidence
-from rubrica.plans.score import score_answers
+from rubrica.plans.score import concept_scores, prepared, question_results
 from rubrica.session import cut_lineage
-from rubrica.sources.sinks import write_results
+from rubrica.sources.sinks import BUCKETS, write_results
 
 
 @dataclass(frozen=True)
@@ -27,10 +27,10 @@ class Graded:
 def answers_of(replies: DataFrame, sheets: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks per question, answers per sheet and question) from page replies."""
     labelled = pages.carry_forward(pages.page_blocks(replies))
-    prepared = pages.prepare_blocks(labelled, pages.only_questions(sheets, questions))
+    ready = pages.prepare_blocks(labelled, pages.only_questions(sheets, questions))
     # Everything below reads the blocks more than once; reading them back is cheaper than parsing replies again.
-    prepared = cut_lineage(prepared)
-    assigned = pages.assign_blocks(sheets, questions, prepared)
+    ready = cut_lineage(ready)
+    assigned = pages.assign_blocks(sheets, questions, ready)
     answers = pages.assemble_answers(assigned).withColumn("answer_id", F.concat_ws(":", "sheet_id", "question_id"))
     return assigned.where("block_no IS NOT NULL"), answers
 
@@ -48,7 +48,9 @@ def grade_sheets(
     """Grade every sheet: exactly one evaluation per sheet and question, whatever was found on the pages."""
     blocks, answers = answers_of(replies, sheets, questions)
     answers = cut_lineage(answers)
-    scores, results = score_answers(answers, concepts, votes, dim, t, embed)
+    # Scores feed three of the result tables; with a model behind `embed`, computing them again would call it again.
+    scores = cut_lineage(concept_scores(prepared(answers, concepts, dim, t, embed), votes, t))
+    results = question_results(answers, scores, t)
     keys = answers.select("answer_id", "sheet_id", "exam_id", "question_number")
     evaluations = results.join(keys, "answer_id")
     scores = scores.join(keys.select("answer_id", "sheet_id", "exam_id"), "answer_id")
@@ -58,8 +60,8 @@ def grade_sheets(
     return Graded(blocks, scores, evaluations, graded)
 
 
-def write_graded(graded: Graded, path: str) -> None:
+def write_graded(graded: Graded, path: str, buckets: int = BUCKETS) -> None:
     """Store a run; sheets graded before are replaced whole."""
     regraded = graded.sheets.select("exam_id", "sheet_id")
     for name in ("blocks", "concept_scores", "evaluations", "sheets"):
-        write_results(getattr(graded, name), f"{path}/{name}", regraded)
+        write_results(getattr(graded, name), f"{path}/{name}", regraded, buckets)

@@ -33,7 +33,7 @@ def retrieve(answers: DataFrame, concepts: DataFrame, dim: int, t: Thresholds =
     # Vectors are made per row: equal texts cost a repeated hash, where de-duplicating them would cost a shuffle.
     cands = embed(rows.drop("start", "end"), "text").withColumnRenamed("embedding", "c_vec")
     queries = concepts.select("question_id", "concept_id", F.col("embedding").alias("q_vec"))
-    best = top_k(similarity_join(queries, cands, ["question_id"]), ["answer_id", "concept_id"], t.top_k)
+    best = top_k(similarity_join(queries, cands, ["question_id"], dim), ["answer_id", "concept_id"], t.top_k)
     return (
         best.groupBy("answer_id", "concept_id")
         .agg(

@@ -22,6 +22,9 @@ def connect(sf_dir: str):
     return con
 
 
+SPENT: dict[str, float] = {}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -38,9 +41,11 @@ def _key(row):
 
 def check(spark, con, name, sf_dir, queries, oracles):
     """None when equal, else a description of the difference."""
+    begun = time.time()
     df = queries[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = [tuple(_norm(v) for v in row) for row in df.select(*[f"`{c}`" for c in cols]).collect()]
+    SPENT[name] = time.time() - begun
     if name not in oracles:
         return None if got else "no rows"
     rel = con.sql(oracles[name])
@@ -91,7 +96,7 @@ def main(argv):
                 traceback.print_exc()
         tag = "ok  " if res is None else "FAIL"
         failed += res is not None
-        print(f"{tag} {name} {time.time() - t:.1f}s {'(rows only)' if name not in o else ''} {res or ''}", flush=True)
+        print(f"{tag} {name} {SPENT.get(name, 0):.1f}s of {time.time() - t:.1f}s {'(rows only)' if name not in o else ''} {res or ''}", flush=True)
     print("failed", failed)
     return failed
 

@@ -6,6 +6,7 @@ from rubrica.config import WS
 from rubrica.functions import scoring, text, vectors
 from rubrica.operators import retrieval, rubric
 from rubrica.plans import score
+from rubrica.session import cut_lineage
 from workload.registry import query, r, view
 
 DIM = 16
@@ -611,7 +612,7 @@ def _(t):
 )
 def _(t):
     concepts = vectors.hash_embed(t("v_concept"), "text", DIM)
-    rows = score.prepared(t("v_answer"), concepts, DIM)
+    rows = cut_lineage(score.prepared(t("v_answer"), concepts, DIM))
     votes = t("v_vote").withColumnRenamed("concept_id", "answer_id").join(
         rows.select("answer_id", "concept_id"), "answer_id"
     )

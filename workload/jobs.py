@@ -95,7 +95,7 @@ def _(t):
     for _ in range(2):
         source = jobs.read_table_stream(t.spark, inbox, "*.parquet", t("v_page_reply").schema)
         jobs.grade_stream(
-            source, t("v_doc_sheet"), t("v_exam_question"), concepts, out, shared_dir(t.spark, "stream-mark"), DIM
+            source, t("v_doc_sheet"), t("v_exam_question"), concepts, out, shared_dir(t.spark, "stream-mark"), DIM, 1
         )
     sheets = t.spark.read.parquet(f"{out}/sheets")
     return sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rubrica.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -64,7 +66,9 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in TABLES:
-                self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                # documents feed per-row text work; as a single row group they would all be read by one core
+                self._seen[name] = spread(df) if name == "documents" else df
             else:
                 v = VIEWS[name]
                 self._seen[name] = v.build(self) if v.build else self.sql(v.sql)
