@@ -60,13 +60,15 @@ FROM (SELECT doc_id, page_index, concat('{', chr(34), 'blocks', chr(34), ': [',
       FROM v_page_block_json GROUP BY doc_id, page_index)
 """,
 )
+# Exams of the first region have one question, the others five.
 view(
     "v_exam_question",
     """
-SELECT CAST(n_nationkey * 10 + r_regionkey AS BIGINT) AS question_id, CAST(n_nationkey AS BIGINT) AS exam_id,
-       concat('Q', CAST(r_regionkey + 1 AS VARCHAR(2)), '(A)') AS raw_number,
-       concat(CAST(r_regionkey + 1 AS VARCHAR(2)), 'A') AS number, CAST(10 AS DECIMAL(5,2)) AS max_marks
-FROM nation JOIN region ON r_regionkey < CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 4 END
+SELECT CAST(e.n_nationkey * 10 + floor(q.n_nationkey / 5) AS BIGINT) AS question_id, CAST(e.n_nationkey AS BIGINT) AS exam_id,
+       concat('Q', CAST(CAST(1 + floor(q.n_nationkey / 5) AS INT) AS VARCHAR(2)), '(A)') AS raw_number,
+       concat(CAST(CAST(1 + floor(q.n_nationkey / 5) AS INT) AS VARCHAR(2)), 'A') AS number, CAST(10 AS DECIMAL(5,2)) AS max_marks
+FROM nation e JOIN nation q ON q.n_regionkey = e.n_regionkey
+WHERE e.n_regionkey <> 0 OR q.n_nationkey = e.n_nationkey
 """,
 )
 view("v_doc_sheet", "SELECT doc_id AS sheet_id, doc_id % 25 AS exam_id FROM documents")
@@ -200,7 +202,7 @@ view(
 view(
     "s_odd",
     """
-SELECT o.* EXCLUDE (key), CASE WHEN s.exam_id % 5 = 0 THEN '1a' ELSE key END AS key FROM (SELECT * FROM s_label
+SELECT o.* EXCLUDE (key), CASE WHEN s.exam_id % 5 = 0 THEN concat(1 + s.exam_id // 5, 'a') ELSE key END AS key FROM (SELECT * FROM s_label
   QUALIFY count(*) FILTER (WHERE w * h >= page_w * page_h * 0.02) OVER (PARTITION BY sheet_id, page_index) = 0) o
 JOIN v_doc_sheet s ON s.sheet_id = o.sheet_id
 """,
