@@ -20,9 +20,10 @@ def sentence_concepts(df: DataFrame, key: str, text_col: str, cap: int = DEFAULT
 
 
 def concept_order(concepts: DataFrame, key: str, order: str, cap: int = DEFAULTS.concept_cap) -> DataFrame:
-    """Number concepts 0.. per question and keep the first `cap`."""
+    """Number concepts 0.. per question and keep the first `cap`; the rank filter drops rows before the shuffle."""
     w = Window.partitionBy(key).orderBy(order)
-    return concepts.withColumn("ord", F.row_number().over(w) - 1).where(F.col("ord") < cap)
+    ranked = concepts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= cap)
+    return ranked.withColumn("ord", F.col("_rank") - 1).drop("_rank")
 
 
 def normalise_weights(concepts: DataFrame, key: str, cap: int = DEFAULTS.concept_cap) -> DataFrame:

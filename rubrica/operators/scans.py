@@ -56,7 +56,8 @@ def fold_states(
 
     `table[state][symbol]` is the next state. What a bucket of rows does is a map from state to state, and maps compose,
     so buckets are folded alone, their maps are chained over three levels of buckets, and each bucket then replays its
-    rows from the state it starts in. No task holds more than `width` rows or maps of a key.
+    rows from the state it starts in. No task holds more than `width` rows or maps of a key below the top level, where
+    one map stands for `width` squared positions of the order.
     """
     states, symbols = len(table), len(table[0])
     flat = F.array(*[F.lit(s) for row in table for s in row])
@@ -77,16 +78,16 @@ def fold_states(
 
     m1 = level1.select(by, "_b1", F.transform(identity, lambda s: walked(s, F.col("_rows"))).alias("m"))
 
-    def raise_level(maps: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]:
+    def raise_level(maps: DataFrame, low: str, high: str, above: Column) -> tuple[DataFrame, DataFrame]:
         grouped = (
-            maps.withColumn(high, F.floor(F.col(low) / width))
+            maps.withColumn(high, above)
             .groupBy(by, high)
             .agg(F.sort_array(F.collect_list(F.struct(F.col(low).alias("b"), "m"))).alias("_maps"))
         )
         return grouped, grouped.select(by, high, chained(F.col("_maps")).alias("m"))
 
-    g2, m2 = raise_level(m1, "_b1", "_b2")
-    g3, _ = raise_level(m2, "_b2", "_b3")
+    g2, m2 = raise_level(m1, "_b1", "_b2", F.floor(F.col("_b1") / width))
+    g3, _ = raise_level(m2, "_b2", "_b3", F.lit(0))
 
     def starts(groups: DataFrame, begin: Column, low: str) -> DataFrame:
         """State each child bucket begins in, from the state its parent begins in."""

@@ -424,3 +424,15 @@ def _(t):
 )
 def _(t):
     return queue.latest(t("v_override").select("evaluation_id", "seq", "has_marks", "new_comment"), "evaluation_id", "seq")
+
+
+@query(
+    "redact_scores_and_pages",
+    """SELECT sheet_id, question_id, concept_text, status, '' AS page_url FROM v_concept_score""",
+)
+def _(t):
+    scores = t("v_concept_score").select(
+        "sheet_id", "question_id", "concept_text", "status", F.col("concept_text").alias("evidence"),
+        F.col("concept_text").alias("page_url"),
+    )
+    return queue.redact(queue.redact(scores, "concept_score"), "page")

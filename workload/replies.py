@@ -218,3 +218,23 @@ def _(t):
     return calls.call_stats(log, "provider")
 
 
+
+
+view(
+    "v_concept_reply",
+    """
+SELECT doc_id, CASE WHEN lang = 'es' THEN 'no concepts here' WHEN lang = 'de' THEN concat('```json', chr(10), j, chr(10), '```') ELSE j END AS reply
+FROM (SELECT doc_id, lang, replace(concat('{`concepts`: [{`text`: `about ', source, '`, `weight`: 0.25}, {`text`: ` `, `weight`: `0.5`}, {`text`: `',
+        lang, '`, `weight`: ', CASE WHEN lang = 'fr' THEN '`much`' ELSE '0.5' END, '}]}'), '`', chr(34)) AS j FROM documents)
+""",
+)
+
+
+@query(
+    "parse_concepts",
+    """SELECT doc_id, ord::BIGINT AS ord, CASE ord WHEN 0 THEN 'about ' || source WHEN 1 THEN ' ' ELSE lang END AS text,
+         CASE ord WHEN 0 THEN 0.25 WHEN 1 THEN 0.5 ELSE CASE WHEN lang = 'fr' THEN 0 ELSE 0.5 END END::DOUBLE AS weight
+       FROM documents, range(0, 3) g(ord) WHERE lang <> 'es'""",
+)
+def _(t):
+    return replies.parse_concepts(t("v_concept_reply"), "doc_id")

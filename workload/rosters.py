@@ -260,3 +260,22 @@ def _(t):
     rows = tables.read_roster(t.spark, path)
     file_no = F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint")
     return rows.select(file_no.alias("file_no"), "row_no", "usn", "name", "email")
+
+
+@query(
+    "reject_pages",
+    """SELECT upload_id, file_no, CASE WHEN ok AND declared = 'application/pdf' AND pdf_pages > 20
+           THEN concat('PDF has ', pdf_pages, ' pages — the limit is 20.') ELSE 'Could not decode uploaded page' END AS reason
+       FROM (SELECT *, size // 2100 % 45 AS pdf_pages, (declared = 'image/jpeg' AND head LIKE 'FFD8FF%') OR (declared = 'image/png' AND
+           head LIKE '89504E470D0A1A0A%') OR (declared = 'application/pdf' AND head LIKE '255044462D%') AS ok FROM v_upload_file)
+       WHERE NOT ok OR (declared = 'application/pdf' AND pdf_pages > 20)""",
+)
+def _(t):
+    files = _files(t).withColumns(
+        {
+            "content_type": F.col("declared"),
+            "actual_type": uploads.signature_type(F.col("content")),
+            "pdf_pages": F.floor(F.col("size") / 2100) % 45,
+        }
+    )
+    return uploads.reject_pages(files).select("upload_id", "file_no", "reason")

@@ -159,7 +159,9 @@ def _(t):
 def _(t):
     calls = _stream(t, ["user_id % 5 AS account", "CAST(ts AS timestamp) AS ts"])
     out = jobs.run_available(states.quota_stream(calls, 1))
-    return out.select("account", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "calls")
+    zero = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    at = {c: F.timestamp_diff("SECOND", zero, F.col(c).cast("timestamp_ntz")).alias(f"{c}_s") for c in ("start", "end")}
+    return out.select("account", *at.values(), "calls")
 
 
 view("v_question_version", "SELECT user_id AS question_id, event_id AS seq, sha256(event_type) AS hash FROM events")
