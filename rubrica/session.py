@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,28 @@ def get_session(app: str = "rubrica", master: str | None = None, **conf: str) ->
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_code(builder.getOrCreate())
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_code(spark: SparkSession, package: str | None = None) -> SparkSession:
+    """Send a package (default: this one) to the Python workers, once per application.
+
+    Workers import the functions they run; without this they could only do so where the package is installed or happens
+    to lie in their working folder.
+    """
+    folder = Path(package or __file__).resolve().parent
+    key = (spark.sparkContext.applicationId, str(folder))
+    if key not in _SHIPPED:
+        archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{folder.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(folder.rglob("*.py")):
+                out.write(source, source.relative_to(folder.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(key)
+    return spark
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rubrica.session import spread
+from rubrica.session import ship_code, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -100,6 +100,7 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(ship_code(spark), __file__)
             return plain(fn(Tables(spark, sf_dir)))
 
         QUERIES[name] = run
