@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import mixing, secrets
+import public_tokenizers
+
+from rubrica.llm import mixing, packing, quality, secrets, warc
 from rubrica.llm.common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": lambda spark, sf_dir: warc.archive_digest(table(spark, sf_dir, "pages")),
+    "op4_quality_rules": lambda spark, sf_dir: quality.quality_digest(table(spark, sf_dir, "documents")),
     "op5_secret_scan": lambda spark, sf_dir: secrets.secret_digest(table(spark, sf_dir, "documents")),
     "op6_mix_sources": lambda spark, sf_dir: mixing.mix_digest(table(spark, sf_dir, "documents")),
+    "op9_pack": lambda spark, sf_dir: packing.pack_digest(table(spark, sf_dir, "documents"), TOKENIZER),
 }
-ORACLES: dict[str, str] = {"op6_mix_sources": mixing.DIGEST_SQL}
+ORACLES: dict[str, str] = {"op2_warc": warc.DIGEST_SQL, "op6_mix_sources": mixing.DIGEST_SQL}
