@@ -118,6 +118,11 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n < 16, F.get(table, n.cast("int"))).otherwise(series)
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """Number of `good` items among `drawn` of `total`, for a uniform number u: the inverse of the cumulative weights.
 
@@ -134,16 +139,24 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
             -_log_factorial(k) - _log_factorial(good - k) - _log_factorial(drawn - k) - _log_factorial(total - good - drawn + k)
         )
 
-    logs = F.transform(F.sequence(first, last), weight)
-    masses = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    mass = F.aggregate(masses, F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
+    def count_below(masses: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
+
+        def step(acc, x):
+            return _let(
+                acc["sum"] + x,
+                lambda up: F.struct(up.alias("sum"), (acc["below"] + F.when(up < u, 1).otherwise(0)).alias("below")),
+            )
+
+        return F.aggregate(masses, start, step, lambda a: a["below"])
 
-    def step(acc, x):
-        up = acc["sum"] + x
-        return F.struct(up.alias("sum"), F.when(up < u * mass, acc["below"] + 1).otherwise(acc["below"]).alias("below"))
+    def scaled(logs: Column) -> Column:
+        """Weights from logarithms, summing to 1."""
+        masses = _let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
+        return _let(masses, lambda m: _let(F.aggregate(m, F.lit(0.0), lambda t, x: t + x), lambda t: F.transform(m, lambda x: x / t)))
 
-    return F.least(first + F.aggregate(masses, start, step, lambda a: a["below"]), last)
+    below = _let(F.transform(F.sequence(first, last), weight), lambda logs: count_below(scaled(logs)))
+    return F.least(first + below, last)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
@@ -165,12 +178,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
         def step(acc, units):
             u = (F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), F.col("width"), acc["i"]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-            k = hypergeometric(acc["total"], units, acc["goal"], u)
-            return F.struct(
-                (acc["total"] - units).alias("total"),
-                (acc["goal"] - k).alias("goal"),
-                F.concat(acc["got"], F.array(k)).alias("got"),
-                (acc["i"] + 1).alias("i"),
+            return _let(
+                hypergeometric(acc["total"], units, acc["goal"], u),
+                lambda k: F.struct(
+                    (acc["total"] - units).alias("total"),
+                    (acc["goal"] - k).alias("goal"),
+                    F.concat(acc["got"], F.array(k)).alias("got"),
+                    (acc["i"] + 1).alias("i"),
+                ),
             )
 
         node = node.withColumn("got", F.aggregate("units", start, step, lambda a: a["got"]))
