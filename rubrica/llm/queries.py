@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rubrica.llm import mixing, packing, quality, secrets, warc
+from rubrica.llm import cover_tree, mixing, packing, quality, secrets, warc
 from rubrica.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": lambda spark, sf_dir: warc.archive_digest(table(spark, sf_dir, "pages")),
+    "op3_top_k": lambda spark, sf_dir: cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0),
     "op4_quality_rules": lambda spark, sf_dir: quality.quality_digest(table(spark, sf_dir, "documents")),
     "op5_secret_scan": lambda spark, sf_dir: secrets.secret_digest(table(spark, sf_dir, "documents")),
     "op6_mix_sources": lambda spark, sf_dir: mixing.mix_digest(table(spark, sf_dir, "documents")),
