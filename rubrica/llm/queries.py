@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rubrica.llm import cover_tree, mixing, packing, quality, secrets, warc
+from rubrica.llm import cover_tree, language, mixing, packing, quality, secrets, warc
 from rubrica.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": lambda spark, sf_dir: quality.quality_digest(table(spark, sf_dir, "documents")),
     "op5_secret_scan": lambda spark, sf_dir: secrets.secret_digest(table(spark, sf_dir, "documents")),
     "op6_mix_sources": lambda spark, sf_dir: mixing.mix_digest(table(spark, sf_dir, "documents")),
+    "op7_language": lambda spark, sf_dir: language.language_digest(table(spark, sf_dir, "documents")),
     "op9_pack": lambda spark, sf_dir: packing.pack_digest(table(spark, sf_dir, "documents"), TOKENIZER),
 }
 ORACLES: dict[str, str] = {"op2_warc": warc.DIGEST_SQL, "op6_mix_sources": mixing.DIGEST_SQL}
