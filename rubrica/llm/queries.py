@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rubrica.llm import cover_tree, language, mixing, packing, quality, secrets, tool_calls, warc
+from rubrica.llm import cover_tree, jaccard, language, mixing, packing, quality, secrets, tool_calls, warc
 from rubrica.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": lambda spark, sf_dir: secrets.secret_digest(table(spark, sf_dir, "documents")),
     "op6_mix_sources": lambda spark, sf_dir: mixing.mix_digest(table(spark, sf_dir, "documents")),
     "op7_language": lambda spark, sf_dir: language.language_digest(table(spark, sf_dir, "documents")),
+    "op8_jaccard_join": lambda spark, sf_dir: jaccard.jaccard_digest(table(spark, sf_dir, "documents")),
     "op9_pack": lambda spark, sf_dir: packing.pack_digest(table(spark, sf_dir, "documents"), TOKENIZER),
 }
 QUERIES["op10_tool_calls"] = lambda spark, sf_dir: tool_calls.chat_digest(table(spark, sf_dir, "conversations"))
