@@ -10,8 +10,9 @@ Windows still open at the end of a partition, or beyond `max_open` of them, are
 their pieces are laid end to end into full windows, and what remains last is laid into windows whose lengths are powers of
 two, which need no padding. Memory is bounded by `max_open` windows and one Arrow batch of texts.
 
-Tokens: a text is cut before white space that follows other characters, where no token of the vocabulary's splitting
-pattern can reach across; the ids of each such unit are found once with the tokenizer and kept in a bounded memory.
+Tokens: a text is cut before white space that follows other characters and after runs of letters that punctuation ends,
+where no token of the vocabulary's splitting pattern can reach across; the ids of each such unit are found once with the
+tokenizer and kept in a bounded memory.
 """
 
 from __future__ import annotations
@@ -30,32 +31,48 @@ from rubrica.llm.common import pick
 _SPACE = "\t-\r \x85\xa0" + "".join(
     map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-UNITS_KEPT = 400_000
+#: Letters of which a run that ASCII punctuation or white space ends is surely one token of the splitting pattern.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+UNITS = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+WORD_UNIT = re.compile(f" ?[{_LETTER}]+")
+UNITS_KEPT = 1_000_000
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 )
 
 
 class _Units(dict):
-    """Ids of text units as little-endian unsigned 32-bit bytes; forgets everything when it holds UNITS_KEPT."""
+    """Ids of text units as little-endian unsigned 32-bit bytes; forgets everything when it holds UNITS_KEPT.
+
+    A unit that is a single word goes to the vocabulary's merges directly, in the byte alphabet of a byte-level vocabulary.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merged = self.tokenizer.model.tokenize
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= UNITS_KEPT:
             self.clear()
-        ids = np.array(self.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[unit] = ids
-        return ids
+        if WORD_UNIT.fullmatch(unit):
+            ids = [t.id for t in self.merged(unit.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        self[unit] = found = np.array(ids, dtype="<u4").tobytes()
+        return found
+
+
+_UNITS: dict[str, _Units] = {}  # a worker's tasks share what it has found
 
 
 def encoder(path: str):
     """Text to the bytes of its ids, as the tokenizer file at `path` gives them for the whole text."""
-    units = _Units(path)
+    units = _UNITS[path] = _UNITS.get(path) or _Units(path)
     return lambda text: b"".join(map(units.__getitem__, UNITS.findall(text)))
 
 
