@@ -201,6 +201,6 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is kept; rows that repeat an id are judged by all of them being kept."""
-    kept = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of `docs` whose document is kept; rows that repeat an id stay if each of them would."""
+    bad = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rubrica.llm import cover_tree, jaccard, language, mixing, packing, quality, secrets, tool_calls, warc
+from rubrica.llm import cover_tree, jaccard, language, lm_score, mixing, packing, quality, secrets, tool_calls, warc
 from rubrica.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lambda spark, sf_dir: lm_score.scored(table(spark, sf_dir, "documents")),
     "op2_warc": lambda spark, sf_dir: warc.archive_digest(table(spark, sf_dir, "pages")),
     "op3_top_k": lambda spark, sf_dir: cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0),
     "op4_quality_rules": lambda spark, sf_dir: quality.quality_digest(table(spark, sf_dir, "documents")),
@@ -24,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": lambda spark, sf_dir: packing.pack_digest(table(spark, sf_dir, "documents"), TOKENIZER),
 }
 QUERIES["op10_tool_calls"] = lambda spark, sf_dir: tool_calls.chat_digest(table(spark, sf_dir, "conversations"))
-ORACLES: dict[str, str] = {"op2_warc": warc.DIGEST_SQL, "op6_mix_sources": mixing.DIGEST_SQL}
+ORACLES: dict[str, str] = {"op1_lm_score": lm_score.SCORE_SQL, "op2_warc": warc.DIGEST_SQL, "op6_mix_sources": mixing.DIGEST_SQL}
