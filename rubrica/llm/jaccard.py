@@ -41,6 +41,7 @@ from rubrica.session import cut_lineage
 
 BLOCK_TOKENS = 2_000_000
 BUCKET_BYTES = 16 << 20  # of text behind a bucket of packed tokens
+BROADCAST_ROWS = 2_000_000  # of two numbers each, at most
 _SEVERAL = 0xFFFF
 _PACKED = "bucket bigint, block bigint, tokens binary, rows binary, docs binary, needs binary, sizes binary, valid binary"
 _FIELDS = ("bucket", "block", "tokens", "rows", "docs", "needs", "sizes", "valid")
@@ -157,13 +158,20 @@ def survivors(docs: DataFrame, percent: int, lead: float, width: int) -> DataFra
     )
 
 
+def by_small(df: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`df` joined with a table already computed: broadcast if it has at most BROADCAST_ROWS rows, else as Spark plans it."""
+    return df.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, key, how)
+
+
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, tokens, mark): token sets as binaries and a 128-bit mark of each."""
+    """(doc_id, n, tokens, mark, row): token sets, a 128-bit mark of each, a number of each row."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             sets = [shingle_set(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            row += len(sets)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
             flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -172,11 +180,12 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(offsets, flat),
                     pa.array([hashlib.md5(s.tobytes()).digest() for s in sets]),
+                    pa.array(np.arange(row - len(sets), row)),
                 ],
-                names=["doc_id", "n", "tokens", "mark"],
+                names=["doc_id", "n", "tokens", "mark", "row"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, tokens array<bigint>, mark binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, tokens array<bigint>, mark binary, row bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,12 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(doc_id, n, prefixes): each document's first tokens under each order; without a partner possible it is left out."""
-    tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
+    """(row, n, prefixes): each document's first tokens under each order; without a partner possible it is left out."""
+    tokens = sets.select("row", "n", F.explode("tokens").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(frequent, "token").select("doc_id", "n", "token", F.floor(F.log2("df")).cast("int").alias("class"))
+    shared = tokens.join(frequent, "token").select("row", "n", "token", F.floor(F.log2("df")).cast("int").alias("class"))
     need = F.ceil(F.col("n") * percent / 100).cast("long")
-    listed = shared.groupBy("doc_id", "n").agg(F.collect_list(F.struct("class", "token")).alias("held"))  # a document's own tokens
+    listed = shared.groupBy("row", "n").agg(F.collect_list(F.struct("class", "token")).alias("held"))  # a document's own tokens
     room = (F.size("held") - need + 1).cast("int")
 
     def prefix(k: int) -> Column:
@@ -217,73 +226,73 @@ def _prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
         )
         return F.transform(F.slice(F.array_sort(ranked), F.lit(1), room), lambda x: x["token"])
 
-    return listed.filter(room >= 1).select("doc_id", "n", F.array(*[prefix(k) for k in range(orders)]).alias("prefixes"))
+    return listed.filter(room >= 1).select("row", "n", F.array(*[prefix(k) for k in range(orders)]).alias("prefixes"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: int, orders: int) -> DataFrame:
     """Pairs (a, b) that meet under every order and are similar enough."""
-    p = prefixes.select("doc_id", F.slice("prefixes", 2, max(1, orders - 1)).alias("p"))
-    left = p.select(F.col("doc_id").alias("a"), F.col("p").alias("pa"))
-    right = p.select(F.col("doc_id").alias("b"), F.col("p").alias("pb"))
-    met = pairs.join(left, "a").join(right, "b")
+
+    def beside(pairs: DataFrame, table: DataFrame, value: Column) -> DataFrame:
+        """Pairs with a value of either side; rows of `table` that no pair names do not reach the shuffle."""
+        left = by_small(table.select(F.col("row").alias("a"), value.alias("va")), pairs, "a")
+        named = cut_lineage(pairs.select("b").distinct())
+        right = by_small(table.select(F.col("row").alias("b"), value.alias("vb")), named, "b", "left_semi")
+        return left.join(right, "b")
+
     meet = F.lit(True)
-    for k in range(orders - 1):
-        meet = meet & F.arrays_overlap(F.get("pa", F.lit(k)), F.get("pb", F.lit(k)))
-    pairs = met.filter(meet).select("a", "b")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b")
+    for k in range(1, orders):
+        meet = meet & F.arrays_overlap(F.get("va", F.lit(k)), F.get("vb", F.lit(k)))
+    met = cut_lineage(beside(cut_lineage(pairs), prefixes, F.col("prefixes")).filter(meet).select("a", "b"))
+    both = beside(met, sets, F.col("tokens")).withColumn("common", F.size(F.array_intersect("va", "vb")))
+    return both.filter(100 * F.col("common") >= percent * (F.size("va") + F.size("vb") - F.col("common"))).select("a", "b")
 
 
-def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.4, orders: int = 3, rounds: int = 2) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.35, orders: int = 3, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
     d = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     tallied = cut_lineage(survivors(d, percent, lead, width))
     alive = tallied.filter("alive AND doc_id IS NOT NULL").select("doc_id").distinct()
-    sets = cut_lineage(with_sets(d.join(alive, "doc_id", "left_semi"), width).filter("n > 0"))
-    first = sets.groupBy("mark").agg(F.min("doc_id").alias("same"))
-    member = sets.select("doc_id", "mark").join(first, "mark").select("doc_id", "same").distinct()
-    kept = first.select(F.col("same").alias("doc_id"), F.col("mark"))
-    sets = sets.join(kept, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
-    # one id may stand for several texts: each set has a number of its own
-    sets = sets.select(F.xxhash64("doc_id", "mark").alias("doc_id"), F.col("doc_id").alias("real"), "n", "tokens")
+    sets = cut_lineage(with_sets(by_small(d, cut_lineage(alive), "doc_id", "left_semi"), width).filter("n > 0"))
+    # of equal sets the smallest id stands for all; nodes from here on are rows
+    first = sets.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("same"))
+    member = sets.select("doc_id", "mark").join(first, "mark").select("doc_id", F.col("same.doc_id").alias("same"), "same.row")
+    member = cut_lineage(member.distinct())
+    sets = by_small(sets, member.select("row").distinct(), "row", "left_semi").select("row", "n", "tokens")
     prefixes = cut_lineage(_prefixes(sets, percent, orders))
-    sets = cut_lineage(sets.join(prefixes.select("doc_id"), "doc_id", "left_semi"))
-    meeting = cut_lineage(prefixes.select("doc_id", "n", F.explode(F.get("prefixes", F.lit(0))).alias("token")))
+    meeting = prefixes.select("row", "n", F.explode(F.get("prefixes", F.lit(0))).alias("token"))
 
     links = None
-    where = meeting.select("token", "doc_id", "n", F.col("doc_id").alias("comp"))
+    where = meeting.withColumn("comp", F.col("row"))
 
     def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All links so far, and the documents at each token with their components."""
-        every = found if links is None else links.unionByName(found)
-        comps = components(every)
-        placed = meeting.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        placed = placed.select("token", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+        """All links so far, and the documents at each token with their components, where they are of several."""
+        every = cut_lineage(found if links is None else links.unionByName(found))
+        comps = cut_lineage(components(every).withColumnRenamed("id", "row"))
+        placed = by_small(meeting, comps, "row", "left")
+        placed = placed.select("token", "row", "n", F.coalesce("comp", "row").alias("comp"))
         open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-        return cut_lineage(every), cut_lineage(placed.join(open_, "token", "left_semi"))
+        return every, cut_lineage(placed.join(open_, "token", "left_semi"))
 
     for k in range(rounds):
-        lot = F.xxhash64(F.lit(f"leader{k}"), "doc_id")
-        leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "doc_id", "comp", "n")).alias("l"))
-        met = where.join(leaders, "token").filter("comp <> l.comp AND 100 * least(n, l.n) >= {0} * greatest(n, l.n)".format(percent))
-        chosen = met.groupBy("doc_id", "l.doc_id").agg(F.count("*").alias("times")).toDF("a", "b", "times")
+        lot = F.xxhash64(F.lit(f"leader{k}"), "row")
+        leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "row", "comp", "n")).alias("l"))
+        near = f"comp <> l.comp AND 100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
+        chosen = where.join(leaders, "token").filter(near).groupBy("row", "l.row").agg(F.count("*").alias("times")).toDF("a", "b", "times")
         best = chosen.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-        links, where = joined(cut_lineage(_verified(best, sets, prefixes, percent, orders)))
-    other = where.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    close = "a < b AND comp <> comp_b AND 100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
-    pairs = where.withColumnRenamed("doc_id", "a").join(other, "token").filter(close).select("a", "b").distinct()
-    links, _ = joined(cut_lineage(_verified(pairs, sets, prefixes, percent, orders)))
-
-    real = sets.select(F.col("doc_id").alias("id"), "real")
-    comps = components(links).join(real, "id")
-    # back from numbers to ids: the least id of a component's sets, and ids that stand for several sets join them
-    ends = comps.groupBy("comp").agg(F.min("real").alias("low"))
-    of_set = comps.join(ends, "comp").select(F.col("real").alias("a"), F.col("low").alias("b"))
-    ids = components(of_set.unionByName(member.select(F.col("doc_id").alias("a"), F.col("same").alias("b"))))
-    named = ids.select(F.col("id").alias("doc_id"), "comp")
-    return tallied.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+        links, where = joined(_verified(best, sets, prefixes, percent, orders))
+    other = where.select("token", F.col("row").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+    near = f"a < b AND comp <> comp_b AND 100 * least(n, m) >= {percent} * greatest(n, m)"
+    pairs = where.withColumnRenamed("row", "a").join(other, "token").filter(near).select("a", "b").distinct()
+    links, _ = joined(_verified(pairs, sets, prefixes, percent, orders))
+
+    # back from rows to ids: an id may stand for several sets, which it then joins
+    real = member.select("row", F.col("same").alias("a")).distinct()
+    of_row = components(links).withColumnRenamed("id", "row").join(real, "row")
+    of_comp = of_row.groupBy("comp").agg(F.min("a").alias("b"))
+    edges = of_row.join(of_comp, "comp").select("a", "b").unionByName(member.select(F.col("doc_id").alias("a"), F.col("same").alias("b")))
+    named = cut_lineage(components(edges).withColumnRenamed("id", "doc_id"))
+    out = by_small(tallied.select("doc_id", "n"), named, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
@@ -292,5 +301,5 @@ def jaccard_digest(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` whose document is the smallest id of its component."""
-    gone = linked(docs, **settings).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = linked(docs, **settings).filter("component_id <> doc_id").select("doc_id").distinct()
+    return by_small(docs, cut_lineage(gone), "doc_id", "left_anti")
