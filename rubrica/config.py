@@ -72,6 +72,7 @@ EMAIL_PATTERN = rf"^[^{WS[1:-1]}@]+@[^{WS[1:-1]}@]+\.[^{WS[1:-1]}@]+$"
 
 # --- fixed values: messages -------------------------------------------------------------------------
 CANCELLED_MESSAGE = "Cancelled by teacher."
+PAGE_FAILED_MESSAGE = "Evaluation failed: no readable reply for page "
 OVERLOAD_MESSAGE = "The AI provider is currently overloaded or rate-limited — try again in a few minutes."
 STUCK_RUNNING_MESSAGE = "Task automatically reset: worker was killed or disconnected during evaluation."
 STUCK_QUEUED_MESSAGE = (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,36 +33,28 @@ def cosine(a, b) -> Column:
     return F.when(same, value).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("double"))
 
 
-# Up to this length arithmetic on a vector is written out per element, which compiles; longer ones use array functions.
-UNROLL = 16
-
-
-def dot_of(a, b, dim: int | None = None) -> Column:
-    """Dot product of vectors known to hold `dim` numbers, compiled for short ones."""
-    if dim is None or dim > UNROLL:
-        return dot(a, b)
-    terms = [F.get(_c(a), F.lit(i)).cast("double") * F.get(_c(b), F.lit(i)).cast("double") for i in range(dim)]
-    return reduce(lambda x, y: x + y, terms)
-
-
-def hash_embed(df: DataFrame, text_col: str, dim: int, out: str = "embedding") -> DataFrame:
+def hash_embed(df: DataFrame, text_col: str, dim: int = 2048, out: str = "embedding") -> DataFrame:
     """Append a unit vector derived from the text alone: equal texts, trimmed and lower-cased, get equal vectors.
 
-    The digests are made in a projection of their own; inside an array function they would be made once per element.
+    The digests are bound to a name of their own, so that they are made once per text and not once per number.
     """
     from rubrica.functions.text import strip
 
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
     text = F.lower(strip(text_col))
-    digests = [F.sha2(F.concat(text, F.lit(f"#{b}")), 256).alias(f"_d{b}") for b in range(math.ceil(dim / 16))]
-    hashed = df.select("*", *digests)
+    digests = F.array(*[F.sha2(F.concat(text, F.lit(f"#{b}")), 256) for b in range(math.ceil(dim / 16))])
+
+    def number(d: Column, i: Column) -> Column:
+        part = F.substring(F.element_at(d, (F.floor(i / 16) + 1).cast("int")), i % 16 * 4 + 1, F.lit(4))
+        return F.conv(part, 16, 10).cast("double") / 32767.5 - 1
 
-    def number(i: int) -> Column:
-        return F.conv(F.substring(f"_d{i // 16}", i % 16 * 4 + 1, 4), 16, 10).cast("double") / 32767.5 - 1
+    def unit(v: Column) -> Column:
+        return let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
 
-    raw = hashed.withColumn("_raw", F.array(*[number(i) for i in range(dim)])).drop(*[f"_d{b}" for b in range(len(digests))])
-    raw = raw.withColumn("_n", F.sqrt(dot_of("_raw", "_raw", dim)))
-    unit = F.transform("_raw", lambda v: v / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n")))
-    return raw.withColumn(out, unit).drop("_raw", "_n")
+    raw = let(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: number(d, i)))
+    return df.withColumn(out, let(raw, unit))
 
 
 def check_embeddings(texts: DataFrame, vectors: DataFrame, key: str, dim: int, col: str = "embedding"):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -14,46 +16,47 @@ from rubrica.functions.text import strip
 _IGNORED = str.maketrans("", "", ".,;:!?()\"'")
 
 
-def _common(a: list[str], b: list[str]) -> np.ndarray:
-    """table[i, j]: longest common run of words of a[i:] and b[j:], row by row from the end."""
-    ids: dict[str, int] = {}
-    left = np.array([ids.setdefault(w, len(ids)) for w in a], dtype=np.int64)
-    right = np.array([ids.setdefault(w, len(ids)) for w in b], dtype=np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+def _removes_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Packed bits, a row per word of a: at (i, j), whether dropping a[i] keeps at least as many common words as dropping b[j].
+
+    Rows of the table of common words are made from the end and forgotten, so that a pair of words costs one bit.
+    """
+    below = np.zeros(len(b) + 1, dtype=np.int32)
+    bits = np.zeros((len(a), (len(b) + 7) // 8), dtype=np.uint8)
     for i in range(len(a) - 1, -1, -1):
-        # best of skipping a[i], or matching it at column j; then carried leftwards over columns
-        best = np.maximum(table[i + 1, :-1], np.where(right == left[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    return table
+        row = np.zeros(len(b) + 1, dtype=np.int32)
+        reach = np.maximum(below[:-1], np.where(b == a[i], below[1:] + 1, 0))
+        row[:-1] = np.maximum.accumulate(reach[::-1])[::-1]
+        bits[i] = np.packbits(below[:-1] >= row[1:])
+        below = row
+    return bits
 
 
 def diff_words(before: str, after: str) -> list[tuple[str, str]]:
     """Runs (op, text) with op same, removed or added; a tie between removing and adding removes first."""
-    a, b = before.split(), after.split()
-    na, nb = ([w.lower().translate(_IGNORED) for w in words] for words in (a, b))
-    table = _common(na, nb)
-    steps: list[tuple[str, str]] = []
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and na[i] == nb[j]:
-            steps.append(("same", b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and table[i + 1, j] >= table[i, j + 1]):
-            steps.append(("removed", a[i]))
-            i += 1
+    old, new = before.split(), after.split()
+    numbers: dict[str, int] = {}
+    a, b = (
+        np.array([numbers.setdefault(w.lower().translate(_IGNORED), len(numbers)) for w in words], dtype=np.int64)
+        for words in (old, new)
+    )
+    bits = _removes_first(a, b)
+    ops, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            op = "same"
         else:
-            steps.append(("added", b[j]))
-            j += 1
-    runs: list[tuple[str, str]] = []
-    for op, word in steps:
-        runs.append((op, f"{runs.pop()[1]} {word}") if runs and runs[-1][0] == op else (op, word))
-    return runs
+            op = "removed" if bits[i, j >> 3] >> (7 - (j & 7)) & 1 else "added"
+        ops.append((op, old[i] if op == "removed" else new[j]))
+        i, j = i + (op != "added"), j + (op != "removed")
+    ops += [("removed", w) for w in old[i:]] + [("added", w) for w in new[j:]]
+    return [(op, " ".join(w for _, w in run)) for op, run in groupby(ops, key=itemgetter(0))]
 
 
 def edit_runs(blocks: DataFrame, key: str = "block_id") -> DataFrame:
     """Runs per block: key, run_no, op, text, words. `blocks`: key, raw_text, reconstructed_text; blank raw has none.
 
-    A block is a few hundred words, which bounds the table of the comparison.
+    Comparing n with m words takes n * m bits.
     """
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -109,10 +108,15 @@ def _continues(a, b, angle: float, gap: float) -> bool:
 
 
 def _span(a, b) -> tuple:
-    """Line between the two ends that lie furthest apart."""
-    ends = (a[:2], a[2:], b[:2], b[2:])
-    p, q = max(product(ends, ends), key=lambda pq: math.dist(*pq))
-    return (*p, *q)
+    """The longest line between two of the four ends; the first found among equals, from ends taken in order."""
+    points = [a[:2], a[2:], b[:2], b[2:]]
+    far, best = -1.0, None
+    for p in points:
+        for q in points:
+            d = math.dist(p, q)
+            if d > far:
+                far, best = d, (*p, *q)
+    return best
 
 
 def join_strokes(lines, angle: float, gap: float) -> list[tuple]:
@@ -146,23 +150,14 @@ def _join_lists(
     return pd.Series([[list(map(float, s)) for s in join_strokes(zip(*r[:5], strict=True), *r[5:])] for r in rows])
 
 
-# A block of at most this many lines is joined whole; a larger one is split into linked groups first.
-WHOLE_BLOCK = 2000
-
-
-def merge_collinear(
-    lines: DataFrame, by: str = "block_id", angle: float = 8.0, gap: float = 20.0, whole_block: int = WHOLE_BLOCK
-) -> DataFrame:
+def merge_collinear(lines: DataFrame, by: str = "block_id", angle: float = 8.0, gap: float = 20.0) -> DataFrame:
     """Join fragments of one stroke: by, line_no (of the first fragment), x1, y1, x2, y2, parts.
 
-    The joining depends on order, so it runs on one group of lines at a time. A block, being one crop, is such a group.
-    Blocks over `whole_block` lines are split first: only lines linked through ends within `gap` can ever meet, as a
-    joined stroke ends where fragments end, so each linked group can be joined alone with the same outcome.
+    The joining depends on order, so it runs on one group of lines at a time. Only lines linked through ends within `gap`
+    can ever meet, as a joined stroke ends where fragments end, so each linked group is joined alone; lines without a link
+    are strokes already.
     """
     base = lines.select(by, "line_no", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    large = base.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_block).select(by)
-    large = cut_lineage(large)
-
     def joined(group: DataFrame, *keys: str) -> DataFrame:
         cols = ["line_no", "x1", "y1", "x2", "y2"]
         lists = group.groupBy(by, *keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("l"))
@@ -170,10 +165,6 @@ def merge_collinear(
         out = [F.col("s")[i].alias(c) for i, c in enumerate([*cols, "parts"])]
         return rows.select(by, *out).withColumns({c: F.col(c).cast("bigint") for c in ("line_no", "parts")})
 
-    if large.isEmpty():
-        return joined(base)
-    small = joined(base.join(large, by, "left_anti"))
-    rest = base.join(large, by, "left_semi")
-    linked = linked_groups(endpoint_pairs(rest, by, "line_no", gap), by).withColumnRenamed("id", "line_no")
-    alone = rest.join(linked, [by, "line_no"], "left_anti").withColumn("parts", F.lit(1).cast("bigint"))
-    return small.unionByName(alone).unionByName(joined(rest.join(linked, [by, "line_no"]), "grp"))
+    linked = linked_groups(endpoint_pairs(base, by, "line_no", gap), by).withColumnRenamed("id", "line_no")
+    alone = base.join(linked, [by, "line_no"], "left_anti").withColumn("parts", F.lit(1).cast("bigint"))
+    return alone.unionByName(joined(base.join(linked, [by, "line_no"]), "grp"))

@@ -120,9 +120,9 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
 def check_overrides(ev: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests with the evaluation's maximum and the reason a request is refused, null when it stands."""
     bad = (F.col("has_marks")) & ((F.col("new_marks") < 0) | (F.col("new_marks") > F.col("max_marks")))
-    return requests.join(ev.select("evaluation_id", "max_marks"), "evaluation_id").withColumn(
-        "reject_reason", F.when(bad, F.lit("override_marks out of range"))
-    )
+    known = ev.select("evaluation_id", "max_marks", F.lit(True).alias("_known"))
+    reason = F.when(F.col("_known").isNull(), F.lit("no such evaluation")).when(bad, F.lit("override_marks out of range"))
+    return requests.join(known, "evaluation_id", "left").withColumn("reject_reason", reason).drop("_known")
 
 
 def apply_overrides(ev: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rubrica.config import DEFAULTS
-from rubrica.functions.vectors import cosine_of, dot_of
+from rubrica.functions.vectors import cosine_of, dot, norm
 
 
-def similarity_join(queries: DataFrame, cands: DataFrame, on: list[str], dim: int | None = None) -> DataFrame:
+def similarity_join(queries: DataFrame, cands: DataFrame, on: list[str]) -> DataFrame:
     """Exhaustive cosine of each query vector with the candidates of the same key.
 
     `queries` (concepts) hold at most a rubric's few rows per key, so the result grows with the candidates. No hint is
     given: a small rubric table is broadcast by its measured size; a large one is sort-merged and AQE splits hot keys.
-    Norms are computed once per row before the join. `dim` is the vectors' length where it is known.
+    Norms are computed once per row before the join. Vectors may have any length; two that meet with unequal ones raise.
     """
-    q = queries.withColumn("_qn", F.sqrt(dot_of("q_vec", "q_vec", dim)))
-    c = cands.withColumn("_cn", F.sqrt(dot_of("c_vec", "c_vec", dim)))
-    return q.join(c, on).withColumn("raw", cosine_of(dot_of("q_vec", "c_vec", dim), F.col("_qn"), F.col("_cn"))).drop(
-        "_qn", "_cn", "q_vec", "c_vec"
-    )
+    q = queries.withColumn("_qn", norm("q_vec"))
+    c = cands.withColumn("_cn", norm("c_vec"))
+    raw = cosine_of(dot("q_vec", "c_vec"), F.col("_qn"), F.col("_cn"))
+    fits = F.size("q_vec") == F.size("c_vec")
+    checked = F.when(fits, raw).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("double"))
+    return q.join(c, on).withColumn("raw", checked).drop("_qn", "_cn", "q_vec", "c_vec")
 
 
 def top_k(scored: DataFrame, by: list[str], k: int = DEFAULTS.top_k, value: str = "raw", tie: str = "chunk_no"):

@@ -8,9 +8,9 @@ from rubrica.config import DEFAULTS
 from rubrica.functions.vectors import cosine, hash_embed
 
 
-def pair_similarity(pairs: DataFrame, dim: int = 16, embed=None) -> DataFrame:
+def pair_similarity(pairs: DataFrame, embed=None) -> DataFrame:
     """Append `similarity` of text1 and text2 on the [0, 1] scale."""
-    embed = embed or (lambda df, col, out: hash_embed(df, col, dim, out))
+    embed = embed or (lambda df, col, out: hash_embed(df, col, out=out))
     both = embed(embed(pairs, "text1", "_a"), "text2", "_b")
     return both.withColumn("similarity", (cosine("_a", "_b") + 1) / 2).drop("_a", "_b")
 

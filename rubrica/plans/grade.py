@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from rubrica.config import DEFAULTS, Thresholds
+from rubrica.config import DEFAULTS, PAGE_FAILED_MESSAGE, Thresholds
 from rubrica.operators import pages
 from rubrica.operators.results import sheet_confidence
 from rubrica.plans.score import concept_scores, prepared, question_results
 from rubrica.session import cut_lineage
-from rubrica.sources.sinks import BUCKETS, write_results
+from rubrica.sources.sinks import PER_BUCKET, write_results
 
 
 @dataclass(frozen=True)
@@ -35,33 +35,45 @@ def answers_of(replies: DataFrame, sheets: DataFrame, questions: DataFrame) -> t
     return assigned.where("block_no IS NOT NULL"), answers
 
 
+def failed_sheets(replies: DataFrame) -> DataFrame:
+    """Sheets with a page that could not be read: sheet_id, error_message naming the first such page."""
+    bad = pages.page_status(replies).where("NOT page_ok").groupBy("sheet_id").agg(F.min("page_index").alias("page_index"))
+    return bad.select("sheet_id", F.concat(F.lit(PAGE_FAILED_MESSAGE), F.col("page_index").cast("string")).alias("error_message"))
+
+
 def grade_sheets(
     replies: DataFrame,
     sheets: DataFrame,
     questions: DataFrame,
     concepts: DataFrame,
     votes: DataFrame | None = None,
-    dim: int = 16,
     t: Thresholds = DEFAULTS,
     embed=None,
 ) -> Graded:
-    """Grade every sheet: exactly one evaluation per sheet and question, whatever was found on the pages."""
-    blocks, answers = answers_of(replies, sheets, questions)
+    """Grade every sheet: one evaluation per sheet and question, whatever was found on the pages.
+
+    A sheet with a page that no reply could be read from is FAILED, with a message and without evaluations.
+    """
+    failed = cut_lineage(failed_sheets(replies))
+    readable = sheets.join(failed, "sheet_id", "left_anti")
+    blocks, answers = answers_of(replies.join(failed, "sheet_id", "left_anti"), readable, questions)
     answers = cut_lineage(answers)
     # Scores feed three of the result tables; with a model behind `embed`, computing them again would call it again.
-    scores = cut_lineage(concept_scores(prepared(answers, concepts, dim, t, embed), votes, t))
+    scores = cut_lineage(concept_scores(prepared(answers, concepts, t, embed), votes, t))
     results = question_results(answers, scores, t)
     keys = answers.select("answer_id", "sheet_id", "exam_id", "question_number")
     evaluations = results.join(keys, "answer_id")
     scores = scores.join(keys.select("answer_id", "sheet_id", "exam_id"), "answer_id")
-    graded = sheets.select("sheet_id", "exam_id").join(
-        sheet_confidence(sheets, evaluations, t), "sheet_id"
-    ).withColumn("status", F.lit("DONE"))
+    done = readable.select("sheet_id", "exam_id").join(sheet_confidence(readable, evaluations, t), "sheet_id")
+    lost = sheets.select("sheet_id", "exam_id").join(failed, "sheet_id")
+    graded = done.withColumns({"status": F.lit("DONE"), "error_message": F.lit("")}).unionByName(
+        lost.withColumns({"confidence": F.lit(0.0), "band": F.lit("RED"), "status": F.lit("FAILED")})
+    )
     return Graded(blocks, scores, evaluations, graded)
 
 
-def write_graded(graded: Graded, path: str, buckets: int = BUCKETS) -> None:
+def write_graded(graded: Graded, path: str, per_bucket: int = PER_BUCKET) -> None:
     """Store a run; sheets graded before are replaced whole."""
     regraded = graded.sheets.select("exam_id", "sheet_id")
     for name in ("blocks", "concept_scores", "evaluations", "sheets"):
-        write_results(getattr(graded, name), f"{path}/{name}", regraded, buckets)
+        write_results(getattr(graded, name), f"{path}/{name}", regraded, per_bucket)

@@ -23,12 +23,12 @@ def index_questions(
     old: DataFrame,
     make_model: Callable | None = None,
     make_embedder: Callable | None = None,
-    dim: int = 16,
+    embed: Callable = hash_embed,
 ) -> tuple[DataFrame, DataFrame]:
     """(concepts of questions whose answer changed, rejected questions).
 
     `new`: question_id, question, model_answer; `old`: question_id, model_answer_hash. Without a model the first
-    sentences of the model answer are its concepts.
+    sentences of the model answer are its concepts. Without an embedder `embed(df, text_col)` appends `embedding`.
     """
     changed = questions_to_reindex(new, old)
     if make_model is None:
@@ -40,6 +40,6 @@ def index_questions(
         raw = parse_concepts(good, "question_id")
         rejects = bad.select("question_id", F.col("error").alias("reason"))
     weighted = normalise_weights(raw, "question_id")
-    embedded = call_embed(weighted, "text", make_embedder) if make_embedder else hash_embed(weighted, "text", dim)
+    embedded = call_embed(weighted, "text", make_embedder) if make_embedder else embed(weighted, "text")
     # the order is dense again after blank concepts were dropped
     return embedded, rejects

@@ -20,20 +20,20 @@ from rubrica.functions.vectors import hash_embed
 from rubrica.operators.retrieval import majority_vote, similarity_join, top_k
 
 
-def retrieve(answers: DataFrame, concepts: DataFrame, dim: int, t: Thresholds = DEFAULTS, embed=None) -> DataFrame:
+def retrieve(answers: DataFrame, concepts: DataFrame, t: Thresholds = DEFAULTS, embed=None) -> DataFrame:
     """Per (answer, concept): similarity of the top chunk and the top chunks joined as evidence.
 
     `answers`: answer_id, question_id, text[, spans]; `concepts`: question_id, concept_id, text, weight, embedding.
     `embed(df, text_col)` appends `embedding`; without one the content hash is used.
     """
-    embed = embed or (lambda df, col: hash_embed(df, col, dim))
+    embed = embed or hash_embed
     keep = ["answer_id", "question_id"] + [c for c in ("spans",) if c in answers.columns]
     rows = chunk_text(answers.where(strip("text") != ""), "text", keep, t)
     rows = tag_spans(rows).drop("spans") if "spans" in keep else rows.withColumn("underlined", F.lit(False))
     # Vectors are made per row: equal texts cost a repeated hash, where de-duplicating them would cost a shuffle.
     cands = embed(rows.drop("start", "end"), "text").withColumnRenamed("embedding", "c_vec")
     queries = concepts.select("question_id", "concept_id", F.col("embedding").alias("q_vec"))
-    best = top_k(similarity_join(queries, cands, ["question_id"], dim), ["answer_id", "concept_id"], t.top_k)
+    best = top_k(similarity_join(queries, cands, ["question_id"]), ["answer_id", "concept_id"], t.top_k)
     return (
         best.groupBy("answer_id", "concept_id")
         .agg(
@@ -46,12 +46,12 @@ def retrieve(answers: DataFrame, concepts: DataFrame, dim: int, t: Thresholds =
     )
 
 
-def prepared(answers: DataFrame, concepts: DataFrame, dim: int, t: Thresholds = DEFAULTS, embed=None) -> DataFrame:
+def prepared(answers: DataFrame, concepts: DataFrame, t: Thresholds = DEFAULTS, embed=None) -> DataFrame:
     """One row per answer and concept of its question, blank answers included, with similarity and evidence."""
     spine = answers.select(
         "answer_id", "question_id", "max_marks", "ocr_quality", (strip("text") == "").alias("blank")
     ).join(concepts.select("question_id", "concept_id", "ord", "weight", F.col("text").alias("concept_text")), "question_id")
-    return spine.join(retrieve(answers, concepts, dim, t, embed), ["answer_id", "concept_id"], "left").withColumns(
+    return spine.join(retrieve(answers, concepts, t, embed), ["answer_id", "concept_id"], "left").withColumns(
         {"similarity": F.coalesce("similarity", F.lit(0.0)), "evidence": F.coalesce("evidence", F.lit(""))}
     )
 
@@ -167,10 +167,9 @@ def score_answers(
     answers: DataFrame,
     concepts: DataFrame,
     votes: DataFrame | None = None,
-    dim: int = 16,
     t: Thresholds = DEFAULTS,
     embed=None,
 ) -> tuple[DataFrame, DataFrame]:
     """(concept scores, evaluations) of whole cohorts."""
-    scores = concept_scores(prepared(answers, concepts, dim, t, embed), votes, t)
+    scores = concept_scores(prepared(answers, concepts, t, embed), votes, t)
     return scores, question_results(answers, scores, t)

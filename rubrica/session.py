@@ -71,13 +71,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over at least as many partitions as there are cores, for work that is heavy per row.
-
-    A table of many files already is, and comes back unchanged; only an input too small to be split, such as a single
-    row group, is redistributed.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -7,7 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rubrica.config import ROSTER_ALIASES
 from rubrica.functions.text import strip
 
-_CELLS = 32
+# A comma with an even number of quotes after it stands between cells.
+_BETWEEN_CELLS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    """Trimmed cells of a CSV line, as many as it has; quoted cells lose their quotes and doubled quotes become one."""
+    quoted = r'^"([\s\S]*)"$'
+    plain = lambda c: F.when(c.rlike(quoted), F.regexp_replace(F.regexp_extract(c, quoted, 1), '""', '"')).otherwise(c)
+    return F.transform(F.split(line, _BETWEEN_CELLS, -1), lambda c: strip(plain(strip(c))))
 
 
 def roster_rows(files: DataFrame) -> DataFrame:
@@ -18,15 +26,8 @@ def roster_rows(files: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: strip(s) != "")
     rows = files.select("file", lines.alias("_lines")).where(F.size("_lines") > 0)
-    schema = ", ".join(f"c{i} string" for i in range(_CELLS))
-    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-
-    def cells(line) -> Column:
-        parsed = F.from_csv(line, schema, options)
-        return F.array(*[strip(F.coalesce(parsed[f"c{i}"], F.lit(""))) for i in range(_CELLS)])
-
     alias = F.create_map(*[F.lit(x) for pair in ROSTER_ALIASES.items() for x in pair])
-    head = F.transform(cells(F.col("_lines")[0]), lambda h: strip(F.regexp_replace(F.lower(h), "[_-]+", " ")))
+    head = F.transform(_cells(F.col("_lines")[0]), lambda h: strip(F.regexp_replace(F.lower(h), "[_-]+", " ")))
     rows = rows.withColumn("_head", F.transform(head, lambda h: F.try_element_at(alias, h)))
     rows = rows.withColumn("_has", F.size(F.filter("_head", lambda h: h.isNotNull())) >= 2)
     default = F.array(F.lit("usn"), F.lit("name"), F.lit("email"))
@@ -38,7 +39,7 @@ def roster_rows(files: DataFrame) -> DataFrame:
     at = {field: column_of(field) for field in ("usn", "name", "email")}
     body = F.when(F.col("_has"), F.slice("_lines", 2, F.size("_lines"))).otherwise(F.col("_lines"))
     out = rows.select("file", *[c.alias(f"_{f}") for f, c in at.items()], F.posexplode(body).alias("_i", "_line"))
-    out = out.withColumn("_cells", cells(F.col("_line")))
+    out = out.withColumn("_cells", _cells(F.col("_line")))
     pick = {f: F.coalesce(F.get("_cells", F.col(f"_{f}")), F.lit("")).alias(f) for f in at}
     return out.select("file", (F.col("_i") + 1).alias("row_no"), *pick.values())
 
@@ -49,17 +50,13 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
     return roster_rows(files.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
-def read_pairs(spark: SparkSession, path: str, limit: int | None = 300) -> DataFrame:
-    """Similarity pairs from a tab-separated file with a heading line: text1, text2, human (score / 5).
-
-    `limit` is the sample the calibration report asks for; None reads everything.
-    """
+def read_pairs(spark: SparkSession, path: str, heading: bool = True) -> DataFrame:
+    """All similarity pairs of tab-separated files: text1, text2, human (score / 5). `heading`: each file starts with one."""
     cols = ", ".join(f"c{i} string" for i in range(10))
-    raw = spark.read.csv(path, sep="\t", quote="", escape="", header=True, schema=cols)
-    pairs = raw.select(
+    raw = spark.read.csv(path, sep="\t", quote="", escape="", header=heading, schema=cols)
+    return raw.select(
         F.col("c7").alias("text1"), F.col("c8").alias("text2"), (F.col("c9").cast("double") / 5).alias("human")
     )
-    return pairs.limit(limit) if limit is not None else pairs
 
 
 def extract_test_cases(docs: DataFrame) -> DataFrame:
@@ -80,8 +77,8 @@ def extract_test_cases(docs: DataFrame) -> DataFrame:
         "doc",
         "case_no",
         strip(F.regexp_extract(section, r"^([^\n]*)", 1)).alias("title"),
-        F.substring(strip(question), 1, 1000).alias("question"),
-        F.substring(strip(answer), 1, 2000).alias("model_answer"),
+        strip(question).alias("question"),
+        strip(answer).alias("model_answer"),
     )
 
 

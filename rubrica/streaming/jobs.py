@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rubrica.plans.grade import grade_sheets, write_graded
 from rubrica.session import shared_dir
-from rubrica.sources.sinks import BUCKETS
+from rubrica.sources.sinks import PER_BUCKET
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -38,15 +38,15 @@ def for_each(stream: DataFrame, handle: Callable[[DataFrame], None], checkpoint:
 
 
 def grade_stream(
-    source: DataFrame, sheets: DataFrame, questions: DataFrame, concepts: DataFrame, path: str, checkpoint: str, dim: int = 16,
-    buckets: int = BUCKETS,
+    source: DataFrame, sheets: DataFrame, questions: DataFrame, concepts: DataFrame, path: str, checkpoint: str, embed=None,
+    per_bucket: int = PER_BUCKET,
 ) -> None:
     """Grade page replies as they arrive. A batch that is repeated, or a sheet that is sent again, replaces its rows."""
 
     def grade(batch: DataFrame) -> None:
         batch.persist()
         here = sheets.join(batch.select("sheet_id").distinct(), "sheet_id", "left_semi")
-        write_graded(grade_sheets(batch, here, questions, concepts, dim=dim), path, buckets)
+        write_graded(grade_sheets(batch, here, questions, concepts, embed=embed), path, per_bucket)
         batch.unpersist()
 
     for_each(source, grade, checkpoint)

@@ -35,7 +35,7 @@ def transition(status: str, command: str) -> tuple[str, bool]:
 def _with_outcome(df: DataFrame) -> DataFrame:
     allowed = F.array(*[F.lit(f"{s}:{c}") for s, c in MOVES])
     return df.withColumn(
-        "accepted", F.array_contains(allowed, F.concat_ws(":", "status_before", "command"))
+        "accepted", F.coalesce(F.array_contains(allowed, F.concat(F.col("status_before"), F.lit(":"), F.col("command"))), F.lit(False))
     ).withColumn(
         "message", F.when(F.col("accepted") & (F.col("command") == "cancel"), CANCELLED_MESSAGE).otherwise("")
     )
@@ -46,8 +46,10 @@ def replay_states(commands: DataFrame, width: int = 16384) -> DataFrame:
 
     `commands`: sheet_id, seq (unique, rising), command. Sheets start as QUEUED.
     """
-    table = [[STATUSES.index(transition(s, c)[0]) for c in COMMANDS] for s in STATUSES]
-    symbol = F.array_position(F.array(*[F.lit(c) for c in COMMANDS]), F.col("command")).cast("int") - 1
+    # the last symbol stands for null and for commands nobody knows: they change nothing
+    table = [[STATUSES.index(transition(s, c)[0]) for c in (*COMMANDS, "")] for s in STATUSES]
+    place = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in COMMANDS]), F.col("command")), F.lit(0)).cast("int")
+    symbol = F.when(place == 0, len(COMMANDS)).otherwise(place - 1)
     rows = commands.select("sheet_id", "seq", "command", symbol.alias("symbol"))
     folded = fold_states(rows, "sheet_id", "seq", "symbol", table, STATUSES.index("QUEUED"), width)
     names = F.array(*[F.lit(s) for s in STATUSES])

@@ -1,6 +1,7 @@
 """Model calls: attempts, pacing, batching."""
 
-from rubrica.inference import calls, offline
+from rubrica.inference import calls
+from workload import stand_ins as offline
 from rubrica.operators.audit import diff_words
 from rubrica.plans.index import index_questions
 

@@ -3,7 +3,6 @@
 import math
 import random
 
-import pytest
 
 from rubrica.operators import greedy, spatial
 
@@ -97,11 +96,10 @@ def fold(lines, angle=8.0, gap=20.0):
     return out
 
 
-@pytest.mark.parametrize("whole_block", [1000, 10, 0])
-def test_merge_collinear(spark, whole_block):
+def test_merge_collinear(spark):
     rows = segments(7, [40, 12, 90, 1])
     df = spark.createDataFrame(rows, LINES)
-    got = sorted(tuple(r) for r in greedy.merge_collinear(df, whole_block=whole_block).select("block_id", "line_no", "x1", "y1", "x2", "y2", "parts").collect())
+    got = sorted(tuple(r) for r in greedy.merge_collinear(df).select("block_id", "line_no", "x1", "y1", "x2", "y2", "parts").collect())
     want = sorted((b, *m) for b in range(4) for m in fold([r for r in rows if r[0] == b]))
     assert got == want
     assert len(got) < len(rows)

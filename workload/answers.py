@@ -10,6 +10,13 @@ from rubrica.session import cut_lineage
 from workload.registry import query, r, view
 
 DIM = 16
+
+
+def embedded(df, col):
+    """Vectors of DIM numbers, few enough for the oracles to spell out."""
+    return vectors.hash_embed(df, col, DIM)
+
+
 STOP = (
     "['a','an','the','is','are','was','were','of','in','on','to','for','and','or','it','its','that','this','as','by',"
     "'with','be']"
@@ -553,7 +560,7 @@ FROM (SELECT *, CASE WHEN blank OR verdict = 'MISSING' THEN 'MISSING' WHEN verdi
 
 def _scored(t):
     concepts = vectors.hash_embed(t("v_concept"), "text", DIM)
-    return score.score_answers(t("v_answer"), concepts, None, DIM)
+    return score.score_answers(t("v_answer"), concepts, None, embed=embedded)
 
 
 @query(
@@ -561,7 +568,7 @@ def _scored(t):
     "SELECT answer_id, concept_id, similarity, evidence FROM s_retrieved",
 )
 def _(t):
-    return score.retrieve(t("v_answer").drop("spans"), vectors.hash_embed(t("v_concept"), "text", DIM), DIM)
+    return score.retrieve(t("v_answer").drop("spans"), embedded(t("v_concept"), "text"), embed=embedded)
 
 
 @query(
@@ -612,7 +619,7 @@ def _(t):
 )
 def _(t):
     concepts = vectors.hash_embed(t("v_concept"), "text", DIM)
-    rows = cut_lineage(score.prepared(t("v_answer"), concepts, DIM))
+    rows = cut_lineage(score.prepared(t("v_answer"), concepts, embed=embedded))
     votes = t("v_vote").withColumnRenamed("concept_id", "answer_id").join(
         rows.select("answer_id", "concept_id"), "answer_id"
     )

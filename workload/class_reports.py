@@ -384,8 +384,9 @@ FROM events
 view(
     "s_override_checked",
     """
-SELECT o.*, e.max_marks, coalesce(o.has_marks AND (o.new_marks < 0 OR o.new_marks > e.max_marks), false) AS bad
-FROM v_override o JOIN v_evaluation_unique e ON o.evaluation_id = e.evaluation_id
+SELECT o.*, e.max_marks, coalesce(o.has_marks AND (o.new_marks < 0 OR o.new_marks > e.max_marks), false) OR e.evaluation_id IS NULL AS bad,
+       CASE WHEN e.evaluation_id IS NULL THEN 'no such evaluation' ELSE 'override_marks out of range' END AS reason
+FROM v_override o LEFT JOIN v_evaluation_unique e ON o.evaluation_id = e.evaluation_id
 """,
 )
 
@@ -409,7 +410,7 @@ def _(t):
 
 @query(
     "rejected_overrides",
-    """SELECT evaluation_id, seq, new_marks::DOUBLE AS new_marks, 'override_marks out of range' AS reject_reason
+    """SELECT evaluation_id, seq, new_marks::DOUBLE AS new_marks, reason AS reject_reason
        FROM s_override_checked WHERE bad""",
 )
 def _(t):

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from rubrica.functions import vectors
-from rubrica.inference import offline
+from workload import stand_ins as offline
 from rubrica.operators import audit, pages
 from rubrica.plans import calibrate, grade, index
 from rubrica.session import cut_lineage, shared_dir
 from rubrica.sources import sinks, tables, uploads
 from rubrica.streaming import jobs
-from workload.answers import DIM, strip_sql, vector_sql
+from workload.answers import DIM, embedded, strip_sql, vector_sql
 from workload.registry import VIEWS, query, r, view
 
 # ---- grading whole cohorts -------------------------------------------------------------------------
@@ -18,7 +18,16 @@ view(
     f"""
 SELECT concat(sheet_id, ':', question_id) AS answer_id, sheet_id, question_id, 10::DECIMAL(6,2) AS max_marks, coalesce({strip_sql(
     "string_agg(reconstructed_text, ' ' ORDER BY page_index, y, CASE WHEN content_type = 'TEXT' THEN 1 ELSE 0 END, block_no)"
-)}, '') AS text, coalesce(avg(confidence), 0) AS ocr_quality FROM s_assigned GROUP BY sheet_id, question_id
+)}, '') AS text, coalesce(avg(confidence), 0) AS ocr_quality FROM s_assigned WHERE sheet_id NOT IN (SELECT sheet_id FROM g_failed) GROUP BY sheet_id, question_id
+""",
+)
+view(
+    "g_failed",
+    """
+SELECT sheet_id, min(page_index) AS page_index FROM (
+  SELECT p.sheet_id, p.page_index, p.j IS NULL OR (count(k.block_no) FILTER (WHERE k.reason IS NULL) = 0 AND count(k.reason) > 0) AS bad
+  FROM s_page_json p LEFT JOIN s_judged k ON k.sheet_id = p.sheet_id AND k.page_index = p.page_index GROUP BY p.sheet_id, p.page_index, p.j)
+WHERE bad GROUP BY sheet_id
 """,
 )
 view(
@@ -53,7 +62,7 @@ def _concepts(t):
 
 
 def _graded(t):
-    return grade.grade_sheets(t("v_page_reply"), t("v_doc_sheet"), t("v_exam_question"), _concepts(t), dim=DIM)
+    return grade.grade_sheets(t("v_page_reply"), t("v_doc_sheet"), t("v_exam_question"), _concepts(t), embed=embedded)
 
 
 BAND = "CASE WHEN {c} < 0.65 THEN 'RED' WHEN {c} < 0.8 THEN 'ORANGE' ELSE 'GREEN' END"
@@ -77,13 +86,15 @@ def _(t):
     return _graded(t).concept_scores.select("sheet_id", "concept_id", "similarity", "status", "marks", "evidence")
 
 
-SHEETS = f"""SELECT sheet_id, {r("c", 6)} AS confidence, {BAND.format(c="c")} AS band FROM (
-  SELECT sheet_id, sum(confidence::DECIMAL(18,6))::DOUBLE / count(*) AS c FROM g_result GROUP BY sheet_id)"""
+SHEETS = f"""SELECT sheet_id, {r("c", 6)} AS confidence, {BAND.format(c="c")} AS band, 'DONE' AS status, '' AS error_message FROM (
+  SELECT sheet_id, sum(confidence::DECIMAL(18,6))::DOUBLE / count(*) AS c FROM g_result GROUP BY sheet_id)
+  UNION ALL SELECT sheet_id, 0, 'RED', 'FAILED', 'Evaluation failed: no readable reply for page ' || page_index FROM g_failed
+    WHERE sheet_id IN (SELECT sheet_id FROM v_doc_sheet)"""
 
 
 @query("grade_sheets", SHEETS)
 def _(t):
-    return _graded(t).sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band")
+    return _graded(t).sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band", "status", "error_message")
 
 
 @query("grade_stream", SHEETS)
@@ -95,10 +106,10 @@ def _(t):
     for _ in range(2):
         source = jobs.read_table_stream(t.spark, inbox, "*.parquet", t("v_page_reply").schema)
         jobs.grade_stream(
-            source, t("v_doc_sheet"), t("v_exam_question"), concepts, out, shared_dir(t.spark, "stream-mark"), DIM, 1
+            source, t("v_doc_sheet"), t("v_exam_question"), concepts, out, shared_dir(t.spark, "stream-mark"), embedded
         )
     sheets = t.spark.read.parquet(f"{out}/sheets")
-    return sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band")
+    return sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band", "status", "error_message")
 
 
 # ---- concept index ---------------------------------------------------------------------------------
@@ -116,7 +127,7 @@ INDEXED = f"""SELECT question_id, ord, text, weight, {r("v[1] / n", 6)} AS v1 FR
 
 def _index(t, *models):
     new = t("v_question").select("question_id", F.lit("q").alias("question"), "model_answer")
-    concepts, _ = index.index_questions(new, t("v_indexed_before"), *models, dim=DIM)
+    concepts, _ = index.index_questions(new, t("v_indexed_before"), *models, embed=embedded)
     return concepts.select("question_id", "ord", "text", "weight", F.round(F.col("embedding")[0], 6).alias("v1"))
 
 
@@ -139,8 +150,8 @@ def _(t):
     """Index everything, then index the odd questions again with new texts: theirs are replaced, the others stay."""
     path = shared_dir(t.spark, "concepts")
     rows = t("v_concept").select("question_id", "ord", "text", "weight")
-    sinks.write_concepts(rows, path, 8)
-    sinks.write_concepts(rows.where("question_id % 2 = 1").withColumn("text", F.upper("text")), path, 8)
+    sinks.write_concepts(rows, path, per_bucket=8)
+    sinks.write_concepts(rows.where("question_id % 2 = 1").withColumn("text", F.upper("text")), path, per_bucket=8)
     stored = t.spark.read.parquet(path)
     return stored.select("question_id", "ord", "text", F.col("concepts_indexed_at").isNotNull().alias("stamped"))
 
@@ -158,9 +169,9 @@ def _(t):
     again = joined.where("status = 'DONE'").select(
         "exam_id", "sheet_id", "question_id", (F.col("auto_marks") + 1).cast("decimal(6,2)").alias("auto_marks")
     )
-    sinks.write_results(rows, path, buckets=2)
+    sinks.write_results(rows, path, per_bucket=20_000)
     for _ in range(2):
-        sinks.write_results(again, path, buckets=2)
+        sinks.write_results(again, path, per_bucket=20_000)
     stored = t.spark.read.parquet(path)
     return stored.groupBy("sheet_id", "question_id", "auto_marks").agg(F.count(F.lit(1)).alias("n"))
 
@@ -241,21 +252,20 @@ def _(t):
     """SELECT 'a' || chr(34) || source AS text1, lang AS text2, (n_chars % 6)::DOUBLE / 5 AS human, count(*) AS n FROM documents GROUP BY 1, 2, 3""",
 )
 def _(t):
-    """Write a tab-separated pair file with stray quotes in its texts, then scan all of it."""
+    """Write tab-separated pair files without headings, with stray quotes in its texts, then scan all of it."""
     path = shared_dir(t.spark, "pairs")
     pad = [F.lit(str(i)).alias(f"h{i}") for i in range(7)]
     line = t("documents").select(
         F.concat_ws("\t", *pad, F.concat(F.lit('a"'), "source"), "lang", F.format_number((F.col("n_chars") % 6).cast("double"), 3)).alias("value")
     )
-    head = t("documents").limit(1).select(F.concat_ws("\t", *[F.lit(f"h{i}") for i in range(10)]).alias("value"))
-    head.unionByName(line).coalesce(1).write.text(path)
-    return tables.read_pairs(t.spark, path, None).groupBy("text1", "text2", "human").agg(F.count(F.lit(1)).alias("n"))
+    line.write.option("header", "false").text(path)
+    return tables.read_pairs(t.spark, path, heading=False).groupBy("text1", "text2", "human").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "extract_test_cases",
-    f"""SELECT doc_id, 1::BIGINT AS case_no, source AS title, substr({strip_sql("text")}, 1, 1000) AS question, substr('answer ' || lang, 1, 2000) AS model_answer
-        FROM documents UNION ALL SELECT doc_id, 3, 'last', 'q', substr({strip_sql("text")}, 1, 2000) FROM documents""",
+    f"""SELECT doc_id, 1::BIGINT AS case_no, source AS title, {strip_sql("text")} AS question, 'answer ' || lang AS model_answer
+        FROM documents UNION ALL SELECT doc_id, 3, 'last', 'q', {strip_sql("text")} FROM documents""",
 )
 def _(t):
     fence = "\n\n```text\n"
@@ -320,7 +330,7 @@ def _(t):
     pairs = t("documents").select(
         F.col("text").alias("text1"), F.concat("source", "lang").alias("text2"), ((F.col("n_chars") % 6).cast("double") / 5).alias("human")
     )
-    return calibrate.calibrate(calibrate.pair_similarity(pairs, DIM))
+    return calibrate.calibrate(calibrate.pair_similarity(pairs, lambda df, col, out: vectors.hash_embed(df, col, DIM, out)))
 
 
 # ---- audits ----------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rubrica.session import ship_code, spread
+from rubrica.session import ship_code
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -31,6 +31,8 @@ class View:
 VIEWS: dict[str, View] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Views that DuckDB computes once per oracle, however often it names them.
+HEAVY = {"v_word", "v_mark", "v_cv_mark"}
 
 
 def view(name: str, sql: str, build: Callable | None = None) -> None:
@@ -68,7 +70,7 @@ class Tables:
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
                 # documents feed per-row text work; as a single row group they would all be read by one core
-                self._seen[name] = spread(df) if name == "documents" else df
+                self._seen[name] = df.repartition("doc_id") if name == "documents" else df
             else:
                 v = VIEWS[name]
                 self._seen[name] = v.build(self) if v.build else self.sql(v.sql)
@@ -106,7 +108,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             body = sql.strip()
-            ctes = [f"{n} AS (\n{VIEWS[n].sql}\n)" for n in _closure(body)]
+            ctes = [f"{n} AS {'MATERIALIZED ' if n in HEAVY else ''}(\n{VIEWS[n].sql}\n)" for n in _closure(body)]
             if body.upper().startswith("WITH RECURSIVE"):
                 body = body[len("WITH RECURSIVE") :].lstrip()
                 ORACLES[name] = "WITH RECURSIVE " + ",\n".join([*ctes, body])
