@@ -10,7 +10,8 @@ at least a = ceil(t * n) of them. Hence, under any order of all tokens that is t
 2. Documents with the same set are one from here on (its smallest id).
 3. two partners share a token among their first n - a + 1. Further orders put rare tokens first, by powers of two of their
    frequency, and differ within a frequency class: tokens that one document alone holds use up places and yield nothing.
-   Under the first of these orders documents meet; a pair goes on only if its prefixes meet under every other order too.
+   Under the first of these orders documents meet, where the tokens left to each from the meeting place on suffice for the
+   similarity; a pair goes on only if its prefixes meet under every other order too.
 4. pairs are verified on the whole sets.
 
 A large group of near copies is not expanded into pairs. Documents that meet at a token are first compared with the token's
@@ -212,7 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(row, n, prefixes): each document's first tokens under each order; without a partner possible it is left out."""
+    """(row, n, shared, prefixes): each document's first tokens under each order, and how many of its tokens others hold too.
+
+    Documents without a partner possible are left out.
+    """
     tokens = sets.select("row", "n", F.explode("tokens").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(frequent, "token").select("row", "n", "token", F.floor(F.log2("df")).cast("int").alias("class"))
@@ -226,7 +230,9 @@ def _prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
         )
         return F.transform(F.slice(F.array_sort(ranked), F.lit(1), room), lambda x: x["token"])
 
-    return listed.filter(room >= 1).select("row", "n", F.array(*[prefix(k) for k in range(orders)]).alias("prefixes"))
+    return listed.filter(room >= 1).select(
+        "row", "n", F.size("held").alias("shared"), F.array(*[prefix(k) for k in range(orders)]).alias("prefixes")
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -259,7 +265,9 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
     member = cut_lineage(member.distinct())
     sets = by_small(sets, member.select("row").distinct(), "row", "left_semi").select("row", "n", "tokens")
     prefixes = cut_lineage(_prefixes(sets, percent, orders))
-    meeting = prefixes.select("row", "n", F.explode(F.get("prefixes", F.lit(0))).alias("token"))
+    # `reach`: how many tokens a document can have in common with another whose first common token is this one
+    meeting = prefixes.select("row", "n", "shared", F.posexplode(F.get("prefixes", F.lit(0))).alias("at", "token"))
+    meeting = meeting.select("row", "n", "token", (F.col("shared") - F.col("at")).alias("reach"))
 
     links = None
     where = meeting.withColumn("comp", F.col("row"))
@@ -269,19 +277,19 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
         every = cut_lineage(found if links is None else links.unionByName(found))
         comps = cut_lineage(components(every).withColumnRenamed("id", "row"))
         placed = by_small(meeting, comps, "row", "left")
-        placed = placed.select("token", "row", "n", F.coalesce("comp", "row").alias("comp"))
+        placed = placed.select("token", "row", "n", "reach", F.coalesce("comp", "row").alias("comp"))
         open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
         return every, cut_lineage(placed.join(open_, "token", "left_semi"))
 
     for k in range(rounds):
         lot = F.xxhash64(F.lit(f"leader{k}"), "row")
-        leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "row", "comp", "n")).alias("l"))
-        near = f"comp <> l.comp AND 100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
+        leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "row", "comp", "n", "reach")).alias("l"))
+        near = f"comp <> l.comp AND {100 + percent} * least(reach, l.reach) >= {percent} * (n + l.n)"
         chosen = where.join(leaders, "token").filter(near).groupBy("row", "l.row").agg(F.count("*").alias("times")).toDF("a", "b", "times")
         best = chosen.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
         links, where = joined(_verified(best, sets, prefixes, percent, orders))
-    other = where.select("token", F.col("row").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    near = f"a < b AND comp <> comp_b AND 100 * least(n, m) >= {percent} * greatest(n, m)"
+    other = where.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "comp", "reach")]).withColumnRenamed("row_b", "b")
+    near = f"a < b AND comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b)"
     pairs = where.withColumnRenamed("row", "a").join(other, "token").filter(near).select("a", "b").distinct()
     links, _ = joined(_verified(pairs, sets, prefixes, percent, orders))
 
