@@ -36,7 +36,7 @@ CLASSES = (
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[A-Za-z_-]*[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z_-]*",
-    r"(?:/?[A-Za-z]+[0-9]{0,2})+(?:/[A-Za-z]*[0-9]{0,4})+",
+    r"/?[A-Za-z]+[0-9]{0,2}(?:/[A-Za-z]*[0-9]{0,4})+",
     r"(?i:.*(?:example|placeholder|changeme|xxxxxx|abcdef|012345).*)",
 )
 MARK, OTHER = chr(0xE000), chr(0xE001)
@@ -109,7 +109,8 @@ def is_high_entropy(string: Column, window: int = 20, classes=CLASSES, allowed=A
     for pattern in allowed:
         listed = listed | string.rlike(f"^(?:{pattern})$")
     # a difference of rounding errors must not decide
-    return F.when(least.isNull() | listed, False).otherwise(window_entropy(string, window) + 1e-9 >= least)
+    high = window_entropy(string, window) + 1e-9 >= least
+    return F.when(least.isNull(), False).when(listed, False).otherwise(high)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", window: int = 20, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
