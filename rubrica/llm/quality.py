@@ -11,6 +11,7 @@ table gives no rows. Columns of the input other than the id and the text are not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ from rubrica.llm.common import WORDS, pick
 from rubrica.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
+SYMBOL = re.compile(f"[{SYMBOLS}]")
 STATS = (
-    "n_words n_distinct word_chars n_symbols n_lines n_dup_lines n_repeat_words n_upper_words n_marks n_end_lines n_letters"
+    "n_words n_distinct word_chars n_symbols n_lines n_dup_lines n_repeat_words n_upper_words n_marks n_end_lines n_letters n_symbol_words"
 ).split()
 
 
@@ -63,6 +65,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     per_word = np.bincount(ids, minlength=len(seen)) if words else np.zeros(0, dtype=np.int64)
     upper = sum(int(n) for w, n in zip(seen, per_word, strict=True) if len(w) > 1 and w.isupper())
     letters = sum(int(n) for w, n in zip(seen, per_word, strict=True) if any(map(str.isalpha, w)))
+    odd = sum(int(n) for w, n in zip(seen, per_word, strict=True) if SYMBOL.search(w))
     return (
         len(words),
         len(seen),
@@ -76,6 +79,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         text.count("!") + text.count("?"),
         ends,
         letters,
+        odd,
     )
 
 
@@ -108,10 +112,12 @@ def rules() -> dict[str, Column]:
     symbols, upper, marks = _share("n_symbols", "n_words"), _share("n_upper_words", "n_words"), _share("n_marks", "n_words")
     lines, repeats, ends = _share("n_dup_lines", "n_lines"), _share("n_repeat_words", "n_words"), _share("n_end_lines", "n_lines")
     fresh, letters = _share("n_distinct", "n_words"), _share("n_letters", "n_words")
+    odd = _share("n_symbol_words", "n_words")
     enough = F.col("n_words") >= 30
     return {
         "word_length": vote((length >= 3) & (length <= 9), (length < 2) | (length > 14)),
         "symbols": vote(symbols < 0.02, symbols > 0.15),
+        "symbol_words": vote(odd < 0.05, odd > 0.3),
         "upper_words": vote(upper < 0.05, upper > 0.3),
         "marks": vote(marks < 0.1, marks > 0.25),
         "repeated_lines": vote(lines < 0.05, (lines > 0.5) & (F.col("n_lines") >= 4)),
@@ -122,12 +128,12 @@ def rules() -> dict[str, Column]:
     }
 
 
-#: Kinds of bad documents and the rules that speak of each; EM starts from these and estimates the rest.
+#: Kinds of bad documents and the rules that speak of each; EM starts from these and estimates the rest. The other rules
+#: (word_length, line_ends) often err on good documents and speak of no kind alone.
 KINDS = {
-    "symbols": ("symbols", "letters"),
+    "symbols": ("symbols", "symbol_words", "letters"),
     "shouting": ("upper_words", "marks"),
     "repetition": ("repeated_lines", "repeated_words", "fresh_words"),
-    "shape": ("word_length", "line_ends"),
 }
 
 

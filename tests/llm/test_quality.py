@@ -58,13 +58,14 @@ def test_accuracies_are_found():
     bad = rng.random(20000) < 0.1
     votes = np.ones((20000, len(names)), dtype=int)
     votes[bad & (rng.random(20000) < 0.95), names.index("symbols")] = -1
-    votes[bad & (rng.random(20000) < 0.8), names.index("letters")] = -1
+    votes[bad & (rng.random(20000) < 0.9), names.index("symbol_words")] = -1
+    votes[bad & (rng.random(20000) < 0.6), names.index("letters")] = -1
     votes[~bad & (rng.random(20000) < 0.06), names.index("line_ends")] = -1
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     good, model = quality.estimate(patterns, counts.astype(float), names)
     p = dict(zip(map(tuple, patterns), good, strict=True))
     lone = tuple(-1 if n == "line_ends" else 1 for n in names)
-    assert p[lone] > 0.5 and p[tuple(-1 if n in ("symbols", "letters") else 1 for n in names)] < 0.01
+    assert p[lone] > 0.5 and p[tuple(-1 if n in ("symbols", "symbol_words") else 1 for n in names)] < 0.01
     assert abs(model["votes"][names.index("line_ends"), 0, 0] - 0.06) < 0.02
 
 
