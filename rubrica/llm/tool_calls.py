@@ -5,8 +5,8 @@
 * Order: a call has the sort key (turn, hop). It starts as (own turn, 0) and is raised to (t, h + 1) of any call (t, h) it
   depends on, until nothing rises. Calls that depend on earlier turns only never rise, so the rounds are as many as the
   longest chain of references to the same or a later turn. Sorting by (order_turn, order_hop, turn, call_id) puts every call
-  after what it depends on. If keys still rise after as many rounds as a conversation has raised calls, it has a cycle: its
-  rising calls get a null key and the status `cycle`.
+  after what it depends on. If keys still rise after as many rounds as a conversation has raised calls, it has a cycle: what
+  rises in as many rounds again, on the cycle or after it, gets a null key and the status `cycle`.
 * Arguments are parsed as variants and checked field by field against the tool's schema: known tool, an object, required
   fields, no unknown fields, types, allowed values. Canonical JSON has no white space and sorted keys at every level.
 
@@ -110,8 +110,11 @@ def ordered(calls: DataFrame) -> DataFrame:
         rounds += 1
         most = keys.groupBy("conv_id").count().agg(F.max("count")).first()[0]
         if rounds > most:
-            cyclic = moved.select("conv_id", "call_id", F.lit(True).alias("cycle"))
-            break
+            # on a cycle keys rise by turns; within as many rounds again each of its calls has risen
+            seen = moved.select("conv_id", "call_id", F.lit(True).alias("cycle"))
+            cyclic = seen if cyclic is None else cyclic.unionByName(seen).distinct()
+            if rounds > 2 * most:
+                break
         m = moved.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.struct(F.col("key.turn"), (F.col("key.hop") + 1).alias("hop")).alias("up"))
         pushed = links.join(m, (links["conv_id"] == F.col("_c")) & (links["ref"] == F.col("_i"))).groupBy("conv_id", "call_id", "turn").agg(F.max("up").alias("up"))
         old = keys.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "key")
