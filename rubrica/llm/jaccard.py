@@ -3,10 +3,12 @@
 Tokens are the 64-bit hashes of a document's distinct shingles. With n tokens and the least similarity t, any partner shares
 at least a = ceil(t * n) of them. Hence, under any order of all tokens that is the same for all documents,
 
-1. of a document's first m tokens, at least m - (n - a) are shared with some other document. The first order is the hash
-   itself and m about `lead` of the tokens; documents that fail have no partner and leave. Tokens are counted in packed
-   blocks: a task sends each of its tokens once per block (those that several of its documents hold are settled at home), so
-   a token that is everywhere is one entry a block.
+1. of a document's first m tokens, some are among the first m' of any partner: with o tokens in common, at least
+   o - max(n - m, n' - m'), as the common tokens past either cut are at most those that the cut leaves off. The first order
+   is the hash itself and m about `lead` of the tokens; documents that share fewer than the least of this over all sizes n'
+   that a partner can have (`least_met`) have no partner and leave. Tokens are counted in packed blocks: a task sends each
+   of its tokens once per block (those that several of its documents hold are settled at home), so a token that is
+   everywhere is one entry a block.
 2. Documents with the same set are one from here on (its smallest id).
 3. two partners share a token among their first n - a + 1. Further orders put rare tokens first, by powers of two of their
    frequency, and differ within a frequency class: tokens that one document alone holds use up places and yield nothing.
@@ -54,14 +56,26 @@ def least_shared(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
+def leading(n: np.ndarray, percent: int, lead: float) -> np.ndarray:
+    """How many of its first tokens a document of n sends."""
+    return np.minimum(n, np.maximum(n - least_shared(n, percent) + 1, np.ceil(lead * n).astype(np.int64)))
+
+
+def least_met(n: int, percent: int, lead: float) -> int:
+    """Tokens that a document of n > 0 and any partner, of whatever size, both send: 1 at least."""
+    other = np.arange(least_shared(n, percent), 100 * n // percent + 1)
+    common = -(-percent * (n + other) // (100 + percent))
+    ends = np.maximum(n - leading(np.int64(n), percent, lead), other - leading(other, percent, lead))
+    return int((common - ends).min())
+
+
 def _packed_blocks(docs: DataFrame, percent: int, lead: float, width: int, buckets: int) -> DataFrame:
     """Per block and bucket the leading tokens; per block its documents with the number of shared tokens they still need."""
 
     def flush(held: list, block: int) -> Iterator[pa.RecordBatch]:
         docs_, sets = [h[0] for h in held], [h[1] for h in held]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        spare = sizes - least_shared(sizes, percent)
-        first = np.minimum(sizes, np.maximum(spare + 1, np.ceil(lead * sizes).astype(np.int64)))
+        first = leading(sizes, percent, lead)
         tokens = np.concatenate([s[:m] for s, m in zip(sets, first, strict=True)])
         rows = np.repeat(np.arange(len(sets)), first)
         order = np.argsort(tokens, kind="stable")
@@ -69,7 +83,9 @@ def _packed_blocks(docs: DataFrame, percent: int, lead: float, width: int, bucke
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(tokens)))
         several = np.repeat(counts > 1, counts)
-        needs = np.where(sizes > 0, first - spare, 1) - np.bincount(rows[several], minlength=len(sets))
+        each, of_size = np.unique(sizes, return_inverse=True)
+        least = np.array([least_met(int(n), percent, lead) if n else 1 for n in each], dtype=np.int64)
+        needs = least[of_size] - np.bincount(rows[several], minlength=len(sets))
         sent, whose = tokens[starts], np.where(counts > 1, _SEVERAL, rows[starts])
         bucket = (sent % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from rubrica.llm import jaccard
@@ -51,6 +52,26 @@ def test_against_all_pairs(docs, monkeypatch, seed):
     assert sorted(rows(jaccard.linked(docs(texts)))) == brute(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize(("short", "long"), [(7, 8), (10, 12), (19, 24)])
+def test_pairs_at_the_bound(docs, short, long):
+    """All of the short text's shingles are three quarters of the long one's, wherever the hash puts the others."""
+    texts = [" ".join(f"p{i}w{k}" for k in range(n)) for i in range(60) for n in (short, long)]
+    assert sorted(rows(jaccard.linked(docs(texts)))) == [(i, (short, long)[i % 2] - 4, i - i % 2) for i in range(120)]
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_least_met_in_the_worst_order(percent):
+    """Both first have the tokens that the other lacks, which leaves as few common ones before the cuts as any order."""
+    for n in range(1, 90):
+        met = []
+        for other in range(1, 2 * n + 1):
+            for common in range(1, min(n, other) + 1):
+                if 100 * common >= percent * (n + other - common):
+                    cuts = [int(jaccard.leading(np.int64(k), percent, 0.35)) - (k - common) for k in (n, other)]
+                    met.append(max(0, min(cuts)))
+        assert jaccard.least_met(n, percent, 0.35) == min(met) >= 1
+
+
 def test_large_group_of_near_copies(docs):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(150)]
