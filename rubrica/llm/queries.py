@@ -25,4 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": lambda spark, sf_dir: packing.pack_digest(table(spark, sf_dir, "documents"), TOKENIZER),
 }
 QUERIES["op10_tool_calls"] = lambda spark, sf_dir: tool_calls.chat_digest(table(spark, sf_dir, "conversations"))
+#: op1_lm_score's SQL has bigrams; with longer contexts it is held against counting alone.
+QUERIES["op1_lm_score_trigrams"] = lambda spark, sf_dir: lm_score.scored(table(spark, sf_dir, "documents"), order=3)
 ORACLES: dict[str, str] = {"op1_lm_score": lm_score.SCORE_SQL, "op2_warc": warc.DIGEST_SQL, "op6_mix_sources": mixing.DIGEST_SQL}

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 from rubrica.llm import lm_score
+from rubrica.llm.queries import QUERIES
 from tests.llm.conftest import rows
 
 
@@ -36,6 +37,12 @@ def test_against_counting(docs):
         assert [g[1:3] for g in got] == [(n, s) for n, s in brute(TEXTS, order)]
 
 
+def test_trigrams_are_registered(llm, docs, tmp_path):
+    docs(TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(rows(QUERIES["op1_lm_score_trigrams"](llm, str(tmp_path))))
+    assert [g[1:3] for g in got] == brute(TEXTS, 3) != brute(TEXTS, 2)
+
+
 def test_repeated_rows_and_empty_table(docs):
     got = sorted(rows(lm_score.scored(docs(["a b", "a b"], ids=[1, 1]))))
     assert [g[:3] for g in got] == [(1, 2, brute(["a b", "a b"], 2)[0][1])] * 2
