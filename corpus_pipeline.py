@@ -39,9 +39,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes; a document at its source's edge is cut after the words taken."""
+    """A row per copy that the mix takes, by shard in shuffled order; a document at its source's edge is cut after the words taken."""
     prepared(spark)
-    return mixing.mixed_documents(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    mixed = mixing.mixed_documents(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rubrica.llm import mixing
 from tests.llm.conftest import rows
 
@@ -56,6 +57,12 @@ def test_shards_split_the_quotas(docs):
     assert words == placed.taken.sum()
 
 
+def test_the_stage_gives_shards_in_shuffled_order(llm, docs):
+    d, *_ = corpus(docs)
+    want = mixing.mixed_documents(d.select(*corpus_pipeline.COLUMNS)).orderBy("shard", "shard_order").select("doc_id", "text")
+    assert rows(corpus_pipeline.mix_sources(llm, d, "").select("doc_id", "text")) == rows(want)
+
+
 def test_tree_keeps_sums(llm):
     units = [1500, 300, 0, 77, 5]
     q = llm.createDataFrame(list(enumerate(units)), "number long, units long")
