@@ -32,12 +32,15 @@ CLASSES = (
     ("base62", r"^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z]+$", 3.6),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/_=-]+$", 3.9),
 )
-#: Whole candidates that are no secrets: UUIDs, dates with a word, paths of words, spelled-out placeholders.
+_WORDS = "(?:example|placeholder|changeme|xxxxxx|abcdef|012345)"
+#: A delimited part of a candidate: letters or digits alone, too short for a candidate, or one that holds a placeholder.
+_PART = rf"(?:[A-Za-z]{{0,19}}|[0-9]{{0,19}}|[A-Za-z0-9]*{_WORDS}[A-Za-z0-9]*)(?![A-Za-z0-9])"
+#: Whole candidates that are no secrets: UUIDs, dates with a word, paths of words, placeholders among plain parts.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[A-Za-z_-]*[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z_-]*",
     r"/?[A-Za-z]+[0-9]{0,2}(?:/[A-Za-z]*[0-9]{0,4})+",
-    r"(?i:.*(?:example|placeholder|changeme|xxxxxx|abcdef|012345).*)",
+    rf"(?i:(?=.*{_WORDS})(?!.*(?<![A-Za-z0-9])(?!{_PART})).*)",
 )
 MARK, OTHER = chr(0xE000), chr(0xE001)
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -116,8 +119,8 @@ def is_high_entropy(string: Column, window: int = 20, classes=CLASSES, allowed=A
 def scan_secrets(docs: DataFrame, text: str = "text", window: int = 20, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
     """`docs` plus `secret_spans`: spans (kind, start, end) by start, then kind in the order of KINDS.
 
-    Entropy spans that meet a pattern's span are left out, as that string is reported already. A column of that name in
-    `docs` is replaced.
+    Entropy spans that the patterns' spans cover whole are left out, as that string is reported already. A column of that
+    name in `docs` is replaced.
     """
     t = F.col(f"`{text}`")
     assign = F.when(
@@ -134,9 +137,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", window: int = 20, classes=
     )
     s = F.col("secret_spans")
     base = F.concat(s["a"], s["b"], s["c"])
-    own = F.filter(
-        s["d"], lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    )
+    placed = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+
+    def reached(r):
+        """How far the patterns' spans cover a run from its start on without a gap."""
+        return F.aggregate(placed, r["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+
+    own = F.filter(s["d"], lambda r: reached(r) < r["end"])
     ordered = F.array_sort(
         F.transform(
             F.concat(base, own),
