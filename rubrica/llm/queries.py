@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rubrica.llm import cover_tree, jaccard, language, lm_score, mixing, packing, quality, secrets, tool_calls, warc
+from rubrica.llm import (
+    centroids,
+    cover_tree,
+    jaccard,
+    language,
+    lm_score,
+    mixing,
+    packing,
+    personal,
+    quality,
+    secrets,
+    tool_calls,
+    vector_codes,
+    warc,
+)
 from rubrica.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,4 +41,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 QUERIES["op10_tool_calls"] = lambda spark, sf_dir: tool_calls.chat_digest(table(spark, sf_dir, "conversations"))
 #: op1_lm_score's SQL has bigrams; with longer contexts it is held against counting alone.
 QUERIES["op1_lm_score_trigrams"] = lambda spark, sf_dir: lm_score.scored(table(spark, sf_dir, "documents"), order=3)
-ORACLES: dict[str, str] = {"op1_lm_score": lm_score.SCORE_SQL, "op2_warc": warc.DIGEST_SQL, "op6_mix_sources": mixing.DIGEST_SQL}
+QUERIES["op11_vector_codes"] = lambda spark, sf_dir: vector_codes.code_digest(table(spark, sf_dir, "embeddings"))
+QUERIES["op12_personal_data"] = lambda spark, sf_dir: personal.personal_digest(table(spark, sf_dir, "documents"))
+QUERIES["op13_centroids"] = lambda spark, sf_dir: centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+ORACLES: dict[str, str] = {
+    "op1_lm_score": lm_score.SCORE_SQL,
+    "op2_warc": warc.DIGEST_SQL,
+    "op6_mix_sources": mixing.DIGEST_SQL,
+    "op11_vector_codes": vector_codes.DIGEST_SQL,
+    "op13_centroids": centroids.DIGEST_SQL,
+}
