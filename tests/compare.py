@@ -53,7 +53,7 @@ def check(spark, con, name, sf_dir, queries, oracles):
     kinds = dict(zip(names, [str(t) for t in rel.types], strict=True))
     if sorted(names) != cols:
         return f"columns {cols} vs {sorted(names)}"
-    want_kind = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    want_kind = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     bad = {c: (t, kinds[c]) for c, t in df.dtypes if want_kind.get(t) != kinds[c]}
     if bad:
         return f"types {bad}"
