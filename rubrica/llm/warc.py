@@ -2,9 +2,10 @@
 
 Writing (`write_archives`): payload digests find equal payloads; of each group the record with the largest page id is the
 response and the others become revisits of it. Digests meet in an aggregate and an equi-join that splits when one payload is
-very common. Each partition becomes one archive with a dictionary trained on a bounded number of its own first records. An
-archive is written under a temporary name and renamed, and its name depends on the partition alone, so a repeated task
-replaces what an earlier attempt left. Archives go through a file-system client for the folder's scheme.
+very common. Each partition becomes one archive, or several: a new one is begun when one holds `archive_bytes`, so that a
+reader can take it as one value. Each has a dictionary trained on a bounded number of its own first records. An archive is
+written under a temporary name and renamed, and its name depends on the partition and the number in it alone, so a repeated
+task replaces what an earlier attempt left. Archives go through a file-system client for the folder's scheme.
 
 Reading (`read_archives`): Spark lists and reads the archives as binary files, a task each; the dictionary is loaded from
 the skippable frame (plain or itself compressed), frames are found by walking their block headers and decoded one at a
@@ -23,6 +24,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -191,7 +193,8 @@ def linked(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(
-    pages: DataFrame, folder: str, least: int = 0, level: int = 3, dict_bytes: int = 65536, dict_records: int = 200
+    pages: DataFrame, folder: str, least: int = 0, level: int = 3, dict_bytes: int = 65536, dict_records: int = 200,
+    archive_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Write `pages` (page_id, url, html) as archives into `folder`; returns (archive, records, bytes), already computed."""
 
@@ -203,24 +206,25 @@ def write_archives(
                 for page, url, payload, original in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     yield record(page, url, payload, digest(payload), original)
 
-        stream = records()
-        first = [r for r, _ in zip(stream, range(dict_records), strict=False)]
-        if not first:
-            return
         system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.zst"
-        draft = f"{root}/_draft-{uuid.uuid4().hex}"
-        archive, n = Archive([r[:4096] for r in first], level, dict_bytes), 0
-        with system.open_output_stream(draft) as out:
-            out.write(archive.head())
-            for part in (first, stream):
-                for raw in part:
+        stream, part = records(), 0
+        while first := list(islice(stream, dict_records)):
+            stream = chain(first, stream)
+            system.create_dir(root, recursive=True)
+            name = f"part-{TaskContext.get().partitionId():06d}-{part:04d}.warc.zst"
+            draft = f"{root}/_draft-{uuid.uuid4().hex}"
+            archive, n = Archive([r[:4096] for r in first], level, dict_bytes), 0
+            with system.open_output_stream(draft) as out:
+                out.write(archive.head())
+                for raw in stream:
                     out.write(archive.compress(raw))
                     n += 1
-            size = out.tell()
-        system.move(draft, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [n], "bytes": [size]})
+                    if out.tell() >= archive_bytes:
+                        break
+                size = out.tell()
+            system.move(draft, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [n], "bytes": [size]})
+            part += 1
 
     return cut_lineage(linked(pages, least).mapInArrow(run, "archive string, records bigint, bytes bigint"))
 

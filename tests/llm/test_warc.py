@@ -71,3 +71,20 @@ def test_dictionary_is_used():
     assert a.dictionary is not None
     found = list(warc.decode(a.head() + b"".join(map(a.compress, samples[:5]))))
     assert [f[0] for f in found] == [0, 1, 2, 3, 4]
+
+
+def test_many_records_in_a_partition(llm, pages):
+    data = [(i, f"http://a/{i}", f"<p>page {i % 700}</p>") for i in range(1000)]
+    folder = "file://" + shared_dir(llm, "warc").removeprefix("file://")
+    made = rows(warc.write_archives(pages(data).coalesce(1), folder))
+    assert sum(m[1] for m in made) == 1000
+    assert sorted(r["page_id"] for r in warc.read_archives(llm, folder).collect()) == list(range(1000))
+
+
+def test_archives_are_cut(llm, pages):
+    data = [(i, "http://a", f"<p>{i}</p>") for i in range(500)]
+    folder = "file://" + shared_dir(llm, "warc").removeprefix("file://")
+    made = rows(warc.write_archives(pages(data).coalesce(1), folder, dict_records=30, archive_bytes=4000))
+    assert len(made) > 3 and sum(m[1] for m in made) == 500 and len({m[0] for m in made}) == len(made)
+    back = warc.read_archives(llm, folder).collect()
+    assert sorted(r["page_id"] for r in back) == list(range(500)) and not any(r["error"] for r in back)
