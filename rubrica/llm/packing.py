@@ -35,14 +35,15 @@ _SPACE = "\t-\r \x85\xa0" + "".join(
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 WORD_UNIT = re.compile(f" ?[{_LETTER}]+")
-UNITS_KEPT = 1_000_000
+UNITS_KEPT = 100_000  # at most twice as many, about 40 MB, are held while a task runs
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 )
 
 
 class _Units(dict):
-    """Ids of text units as little-endian unsigned 32-bit bytes; forgets everything when it holds UNITS_KEPT.
+    """Ids of text units as little-endian unsigned 32-bit bytes. When it holds UNITS_KEPT, all but those used since it was
+    last full are forgotten.
 
     A unit that is a single word goes to the vocabulary's merges directly, in the byte alphabet of a byte-level vocabulary.
     """
@@ -55,24 +56,27 @@ class _Units(dict):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= UNITS_KEPT:
+            self.older = dict(self)
             self.clear()
-        if WORD_UNIT.fullmatch(unit):
-            ids = [t.id for t in self.merged(unit.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        self[unit] = found = np.array(ids, dtype="<u4").tobytes()
+        found = self.older.get(unit)
+        if found is None:
+            if WORD_UNIT.fullmatch(unit):
+                ids = [t.id for t in self.merged(unit.encode().decode("latin-1").translate(self.alphabet))]
+            else:
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            found = np.array(ids, dtype="<u4").tobytes()
+        self[unit] = found
         return found
 
 
-_UNITS: dict[str, _Units] = {}  # a worker's tasks share what it has found
-
-
 def encoder(path: str):
-    """Text to the bytes of its ids, as the tokenizer file at `path` gives them for the whole text."""
-    units = _UNITS[path] = _UNITS.get(path) or _Units(path)
+    """Text to the bytes of its ids, as the tokenizer file at `path` gives them for the whole text. What it remembers goes
+    with it: a task makes its own."""
+    units = _Units(path)
     return lambda text: b"".join(map(units.__getitem__, UNITS.findall(text)))
 
 

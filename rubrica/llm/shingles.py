@@ -6,16 +6,23 @@ import numpy as np
 import xxhash
 
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
-WORDS_KEPT = 400_000
+WORDS_KEPT = 50_000  # at most twice as many, about 20 MB, are held by a worker
 
 
 class _Words(dict):
-    """64-bit hashes of words; forgets everything when it holds WORDS_KEPT."""
+    """64-bit hashes of words. When it holds WORDS_KEPT, all but those used since it was last full are forgotten."""
+
+    def __init__(self):
+        self.older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self.older.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h
         return h
 
 
