@@ -207,6 +207,8 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is kept; rows that repeat an id stay if each of them would."""
-    bad = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of `docs` whose text is kept; each row is decided on its own, also where an id repeats."""
+    row = F.struct("doc_id", F.md5("text").alias("mark"))
+    bad = judge(docs.select(row.alias("doc_id"), "text")).filter(~F.col("kept")).select("doc_id.*").toDF("_bad", "_mark").distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_bad")) & F.md5(docs["text"]).eqNullSafe(F.col("_mark"))
+    return docs.join(bad, same, "left_anti")

@@ -2,18 +2,23 @@
 
 * Calls meet results in an equi-join on (conversation, call id), which hashes or sorts as Spark sees fit and splits when one
   conversation is very long. No conversation is ever gathered in one row or window.
-* Order: a call has the sort key (turn, hop). It starts as (own turn, 0) and is raised to (t, h + 1) of any call (t, h) it
-  depends on, until nothing rises. Calls that depend on earlier turns only never rise, so the rounds are as many as the
-  longest chain of references to the same or a later turn. Sorting by (order_turn, order_hop, turn, call_id) puts every call
-  after what it depends on. If keys still rise after as many rounds as a conversation has raised calls, it has a cycle: what
-  rises in as many rounds again, on the cycle or after it, gets a null key and the status `cycle`.
+* Order: a call's key is the greatest (turn, hop) over all paths of references from it, where a path's end after `hop` steps
+  is worth that call's turn; the call itself is (own turn, 0). So a key is above those of the calls it depends on, unless
+  theirs are below its own turn anyway, and sorting by (order_turn, order_hop, turn, call_id) puts every call after what it
+  depends on. Keys come from pointer doubling: each call points to one of its references, and a round replaces the pointer by
+  its pointer's pointer, with the best key on the way. After as many rounds as the longest conversation's number of calls has
+  bits, pointers have come to an end or go round a cycle; a key with more hops than the conversation has calls is that of a
+  cycle. Calls with several references then take the best of them as their pointer, and doubling is repeated until none gets
+  better. A call on a cycle, or behind one whose turns are above its own, has a null key and the status `cycle`.
 * Arguments are parsed as variants and checked field by field against the tool's schema: known tool, an object, required
   fields, no unknown fields, types, allowed values. Canonical JSON has no white space and sorted keys at every level.
 
 Null or malformed arguments are invalid, with the reason; null texts of results are JSON null. Rows that repeat a call id
 within a conversation become one call, that of the smallest turn and arguments, with status `duplicate_id`; repeated results
 likewise keep the first and add to `n_results`. Results without a call are returned with status `orphan_result`.
-References to unknown ids are errors of the call and do not order it. Null conversations or ids never match. Empty tables give no rows.
+References to unknown ids are errors of the call and do not order it. Null conversations or ids never match and are ordered
+by their turn alone. Texts of any length go whole into the message; they are parsed a row at a time. Empty tables give no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,47 +94,93 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return d.withColumn("errors", errors).drop("_tool", "_rules", "_given")
 
 
+def _doubled(points: DataFrame, rounds: int) -> DataFrame:
+    """(conv_id, call_id, key): the best (turn, hop) over the path of pointers from each call, itself not counted; null if none.
+
+    `points`: conv_id, call_id, to (a call id, null at an end), key (of the first step). Calls whose path has ended are done
+    and only looked up.
+    """
+    at = cut_lineage(points.select("conv_id", "call_id", "to", "key", F.lit(1).cast("long").alias("length")))
+    for _ in range(rounds):
+        on = at.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("to").alias("_to"), F.col("key").alias("_key"), F.col("length").alias("_length"))
+        going = at.filter("to IS NOT NULL").join(on, (F.col("conv_id") == F.col("_c")) & (F.col("to") == F.col("_i")), "left")
+        beyond = F.when(F.col("_key").isNotNull(), F.struct(F.col("_key.turn").alias("turn"), (F.col("_key.hop") + F.col("length")).alias("hop")))
+        going = going.select("conv_id", "call_id", F.col("_to").alias("to"), F.greatest("key", beyond).alias("key"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length"))
+        at = cut_lineage(at.filter("to IS NULL").unionByName(going))  # it is read three times in the next round
+        if at.filter("to IS NOT NULL").isEmpty():
+            break
+    return at.select("conv_id", "call_id", "key")
+
+
+ENDLESS = 1 << 40  # hops of a call whose path never ends; more than a conversation has calls
+
+
 def ordered(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, order_turn, order_hop, unknown_refs) of calls with a unique (conv_id, call_id)."""
+    """(conv_id, call_id, order_turn, order_hop, unknown_refs, cycle) of calls with a unique (conv_id, call_id)."""
     nodes = calls.select("conv_id", "call_id", "turn")
     edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("depends_on")).alias("ref"))
     targets = nodes.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("turn").alias("ref_turn"))
     met = edges.join(targets, (edges["conv_id"] == F.col("_c")) & (edges["ref"] == F.col("_i")), "left")
     unknown = met.filter("_i IS NULL").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("ref")).alias("unknown_refs"))
-    links = cut_lineage(met.filter("_i IS NOT NULL").select("conv_id", "call_id", "turn", "ref", "ref_turn"))
-    key = lambda t, h: F.struct(F.col(t).alias("turn"), h.alias("hop"))
-    # first raised by the turns alone; later rounds only follow calls that were raised
-    zero = F.lit(0).cast("long")
-    raised = links.filter("ref_turn >= turn").groupBy("conv_id", "call_id").agg(F.max(key("ref_turn", zero + 1)).alias("key"))
-    keys, moved, rounds, cyclic = cut_lineage(raised), None, 0, None
-    moved = keys
-    while True:
-        n = moved.count()
-        if n == 0:
+    links = cut_lineage(met.filter("_i IS NOT NULL").select("conv_id", "call_id", "ref", "ref_turn"))
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    rounds = (2 * most).bit_length()  # paths of twice as many steps as there are calls
+    several = not links.groupBy("conv_id", "call_id").count().filter("count > 1").isEmpty()
+    pick_one = F.max(F.struct("ref_turn", "ref")).alias("best")
+    chosen = links.groupBy("conv_id", "call_id").agg(pick_one)
+    counts = nodes.groupBy(F.col("conv_id").alias("_n")).agg(F.count("*").alias("n"))
+
+    own = F.struct("turn", F.lit(0).cast("long").alias("hop"))
+    step = F.when(F.col("best").isNotNull(), F.struct(F.col("best.ref_turn").alias("turn"), F.lit(1).cast("long").alias("hop")))
+    endless = lambda key: F.coalesce(F.col(f"{key}.hop") >= ENDLESS, F.lit(False))
+
+    def keyed(chosen: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        """(conv_id, call_id, turn, best, key): keys from pointers; endless ones have ENDLESS hops.
+
+        `old` has keys that a change of pointers made better. A call that is worse for it now goes round a cycle of changes,
+        each of which was for the better: its key can be raised without end, by going round before leaving for its turn.
+        Calls known to be endless are the end of a path.
+        """
+        points = nodes.join(chosen, ["conv_id", "call_id"], "left")
+        if old is None:
+            points = points.select("conv_id", "call_id", "turn", "best", F.col("best.ref").alias("to"), step.alias("key"))
+        else:
+            known = old.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("key").alias("_to"))
+            points = points.join(known, (F.col("conv_id") == F.col("_c")) & (F.col("best.ref") == F.col("_i")), "left")
+            points = points.select(
+                "conv_id", "call_id", "turn", "best", F.when(~endless("_to"), F.col("best.ref")).alias("to"),
+                F.when(endless("_to"), F.col("_to")).otherwise(step).alias("key"),
+            )
+        points = cut_lineage(points)
+        found = _doubled(points.select("conv_id", "call_id", "to", "key"), rounds)
+        both = points.drop("key", "to").join(found, ["conv_id", "call_id"], "left").withColumn("key", F.greatest(own, "key"))
+        both = both.join(counts, F.col("conv_id") == F.col("_n"), "left")
+        hop = F.when(F.col("key.hop") >= F.col("n"), ENDLESS).otherwise(F.col("key.hop"))
+        new = both.select("conv_id", "call_id", "turn", "best", F.struct(F.col("key.turn").alias("turn"), hop.alias("hop")).alias("key"))
+        if old is not None:
+            new = new.join(old.select("conv_id", "call_id", F.col("key").alias("_old")), ["conv_id", "call_id"], "left")
+            lost = F.coalesce(F.col("key") < F.col("_old"), F.lit(False))
+            round_ = F.struct(F.col("_old.turn").alias("turn"), F.lit(ENDLESS).alias("hop"))
+            new = new.withColumn("key", F.when(endless("_old"), F.col("_old")).when(lost, round_).otherwise(F.col("key"))).drop("_old")
+        return cut_lineage(new)
+
+    at = keyed(chosen)
+    while several:
+        up = F.struct(F.col("key.turn").alias("turn"), F.least(F.col("key.hop") + 1, F.lit(ENDLESS)).alias("hop"))
+        to = at.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), up.alias("up"))
+        offers = links.join(to, (links["conv_id"] == F.col("_c")) & (links["ref"] == F.col("_i")))
+        offers = offers.groupBy("conv_id", "call_id").agg(F.max(F.struct("up", F.struct("ref_turn", "ref").alias("best"))).alias("o"))
+        better = at.join(offers, ["conv_id", "call_id"]).filter(F.col("o.up") > F.col("key"))
+        better = cut_lineage(better.select("conv_id", "call_id", F.col("o.best").alias("other")))
+        if better.isEmpty():
             break
-        rounds += 1
-        most = keys.groupBy("conv_id").count().agg(F.max("count")).first()[0]
-        if rounds > most:
-            # on a cycle keys rise by turns; within as many rounds again each of its calls has risen
-            seen = moved.select("conv_id", "call_id", F.lit(True).alias("cycle"))
-            cyclic = seen if cyclic is None else cyclic.unionByName(seen).distinct()
-            if rounds > 2 * most:
-                break
-        m = moved.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.struct(F.col("key.turn"), (F.col("key.hop") + 1).alias("hop")).alias("up"))
-        pushed = links.join(m, (links["conv_id"] == F.col("_c")) & (links["ref"] == F.col("_i"))).groupBy("conv_id", "call_id", "turn").agg(F.max("up").alias("up"))
-        old = keys.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "key")
-        better = pushed.join(old, (pushed["conv_id"] == F.col("_c")) & (pushed["call_id"] == F.col("_i")), "left").filter(
-            F.col("up") > F.coalesce(F.col("key"), key("turn", zero))
-        )
-        moved = cut_lineage(better.select("conv_id", "call_id", F.col("up").alias("key")))
-        keys = cut_lineage(keys.unionByName(moved).groupBy("conv_id", "call_id").agg(F.max("key").alias("key")))
-    out = nodes.join(keys, ["conv_id", "call_id"], "left").withColumn("key", F.coalesce("key", key("turn", zero)))
-    out = out.join(unknown, ["conv_id", "call_id"], "left")
-    out = out.join(cyclic, ["conv_id", "call_id"], "left") if cyclic is not None else out.withColumn("cycle", F.lit(None).cast("boolean"))
-    place = lambda c: F.when(F.col("cycle").isNull(), F.col(f"key.{c}"))
+        moved = at.join(better, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("other", "best").alias("best"))
+        at = keyed(moved, at)
+    out = at.join(unknown, ["conv_id", "call_id"], "left").withColumn("cycle", F.col("key.hop") >= ENDLESS)
+    place = lambda c: F.when(~F.col("cycle"), F.col(f"key.{c}"))
     return out.select(
         "conv_id", "call_id", place("turn").alias("order_turn"), place("hop").alias("order_hop"),
-        F.coalesce("unknown_refs", F.array().cast("array<string>")).alias("unknown_refs"), F.coalesce("cycle", F.lit(False)).alias("cycle"),
+        F.coalesce("unknown_refs", F.array().cast("array<string>")).alias("unknown_refs"), "cycle",
     )
 
 
@@ -191,8 +242,9 @@ def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     """Calls, results and tool schemas read off a chat table: a user's turn is a call, the assistant's turn after it its result.
 
     The tool follows from the turn's number; its arguments are the text and numbers of it. Some are wrong on purpose of the
-    rule, as in real logs: the length of a text as a string, a field no schema knows, JSON cut short. A call depends on the
-    user's turn two before it; every fifth refers to the one after it instead.
+    rule, as in real logs: the length of a text as a string, a field no schema knows, JSON without its last brace. A call
+    depends on the user's turn two before it; every fifth refers to the one after it instead. Turns of other roles, the
+    system's among them, are neither calls nor results and give no row; their number is that of the rows of those roles.
     """
     c = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
     n = F.length(F.coalesce("text", F.lit("")))
@@ -200,7 +252,7 @@ def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     tool = F.element_at(F.array(F.lit("search"), F.lit("calculate"), F.lit("translate")), (n % 3 + 1).cast("int"))
     plain = F.to_json(F.struct(F.col("text").alias("text"), (n % 10).alias("limit"), F.lit("en").alias("lang")))
     args = (
-        F.when(n % 17 == 0, F.expr("substring(to_json(struct(text AS text)), 1, 9)"))
+        F.when(n % 17 == 0, F.expr("left(to_json(struct(text AS text)), length(to_json(struct(text AS text))) - 1)"))
         .when(n % 13 == 0, F.to_json(F.struct((n % 10).cast("string").alias("limit"), F.col("text").alias("text"))))
         .when(n % 11 == 0, F.to_json(F.struct(n.alias("zoom"), F.col("text").alias("text"))))
         .otherwise(plain)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -88,3 +89,55 @@ def test_chats(llm):
     roles = chats.toPandas().role.value_counts()
     assert len(got[got.status != "orphan_result"]) == roles["user"] and set(got.status) >= {"ok", "invalid"}
     assert all(json.loads(m)["id"] for m in got.message)
+
+
+def brute_keys(calls):
+    """Greatest (turn, hop) over all walks, by as many relaxations as there are calls; None where it keeps rising."""
+    turn = {(c, i): t for c, t, i, *_ in calls}
+    refs = {(c, i): [(c, r) for r in (d or []) if (c, r) in turn] for c, _, i, _, _, d in calls}
+    key = {v: (t, 0) for v, t in turn.items()}
+
+    def relax():
+        new = {v: max([key[v], *((key[u][0], key[u][1] + 1) for u in refs[v])]) for v in key}
+        return new, {v for v in key if new[v] != key[v]}
+
+    for _ in range(len(turn) + 1):
+        key, _ = relax()
+    rising = set()
+    for _ in range(len(turn) + 1):
+        key, more = relax()
+        rising |= more
+    return {v: None if v in rising else k for v, k in key.items()}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_order_at_random(link, seed):
+    rng = random.Random(seed)
+    calls = []
+    for conv in range(40):
+        n = rng.randint(1, 9)
+        for i in range(n):
+            refs = rng.sample(range(n + 1), min(n, rng.choice([0, 1, 1, 1, 2, 3]))) if rng.random() < 0.8 else [max(0, i - 1)] * (i > 0)
+            calls.append((conv, rng.randint(0, n) if seed else i, f"c{i}", "ping", "{}", [f"c{r}" for r in refs] or None))
+    want = brute_keys(calls)
+    got = by_id(link(calls, []))
+    assert {k: None if r["order_turn"] is None else (r["order_turn"], r["order_hop"]) for k, r in got.items()} == want
+    assert None in want.values()
+
+
+def test_long_conversations(link):
+    """A chain of references forward, one backward and a cycle, each as long as the conversation."""
+    n = 300
+    calls = [(1, i, f"c{i}", "ping", "{}", [f"c{i + 1}"] if i < n - 1 else None) for i in range(n)]
+    calls += [(2, i, f"c{i}", "ping", "{}", [f"c{i - 1}"] if i else None) for i in range(n)]
+    calls += [(3, i, f"c{i}", "ping", "{}", [f"c{(i + 1) % n}"]) for i in range(n)]
+    got = by_id(link(calls, []))
+    assert all((got[1, f"c{i}"]["order_turn"], got[1, f"c{i}"]["order_hop"]) == (n - 1, n - 1 - i) for i in range(n))
+    assert all((got[2, f"c{i}"]["order_turn"], got[2, f"c{i}"]["order_hop"]) == (i, 0) for i in range(n))
+    assert all(got[3, f"c{i}"]["order_turn"] is None for i in range(n))
+
+
+def test_long_text(llm):
+    chats = llm.createDataFrame([(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", None), (1, 2, "system", "s"), (1, 3, None, "n"), (None, 0, "user", None)], "conv_id bigint, turn bigint, role string, text string")
+    got = by_id(tool_calls.chat_digest(chats))
+    assert len(got) == 2 and len(got[1, "call_0"]["message"]) > 3_000_000
