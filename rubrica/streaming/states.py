@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rubrica.config import CANCELLED_MESSAGE, STATUSES, STUCK_QUEUED_MESSAGE, TERMINAL_STATUSES
 from rubrica.operators.scans import fold_states, previous_value
+from rubrica.streaming.keyed import InOrder, Waiting, millis, over_keys
 
 # --- fixed values: which command moves a sheet from which status to which -----------------------------
 COMMANDS = ("run", "finish", "fail", "retry", "cancel", "approve")
@@ -64,30 +61,31 @@ def replay_states(commands: DataFrame, width: int = 16384) -> DataFrame:
     )
 
 
-def sheet_states(commands: DataFrame) -> DataFrame:
-    """The same over a stream: keyed state holds the status and the last command applied.
+class _Sheets(InOrder):
+    """Applies commands; a sheet is closed when it is done, failed or approved."""
+
+    columns = ("seq", "command", "status_before", "status", "late")
+    start = "QUEUED"
+
+    def take(self, status, seq, command, late):
+        nxt = status if late else transition(status, command)[0]
+        return nxt, [(seq, command, status, nxt, late)]
+
+    def closed(self, status):
+        return status in TERMINAL_STATUSES
 
-    Commands of one micro-batch are taken in seq order; one that arrives after a later command was applied is rejected
-    as late rather than rewriting history. A micro-batch is bounded by the source's trigger limits.
+
+def sheet_states(commands: DataFrame, delay: str = "0 seconds", keep: str = "30 days") -> DataFrame:
+    """The same over a stream: `commands` has sheet_id, seq, ts, command; adds status_before, status, late, accepted, message.
+
+    Commands wait until the watermark, `delay` behind the newest time seen, has passed them, and are then applied in seq
+    order, so that a log that is out of order within the delay gives what the batch gives. A command whose seq is not above
+    the last one applied is rejected as late; one older than the watermark is dropped by the stream and counted in its
+    progress. A sheet closed for `keep` of event time leaves no state behind: what comes after that begins a new life.
+    Rows without a sheet, seq or time take no part.
     """
     schema = "sheet_id bigint, seq bigint, command string, status_before string, status string, late boolean"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, last = state.get if state.exists else ("QUEUED", -1)
-        rows = []
-        for seq, command in sorted((s, c) for pdf in batches for s, c in zip(pdf["seq"], pdf["command"], strict=True)):
-            late = seq <= last
-            nxt = status if late else transition(status, command)[0]
-            rows.append((key[0], seq, command, status, nxt, late))
-            status, last = nxt, max(last, int(seq))
-        state.update((status, last))
-        yield pd.DataFrame(rows, columns=["sheet_id", "seq", "command", "status_before", "status", "late"])
-
-    out = (
-        commands.select("sheet_id", "seq", "command")
-        .groupBy("sheet_id")
-        .applyInPandasWithState(step, schema, "status string, last bigint", "append", GroupStateTimeout.NoTimeout)
-    )
+    out = over_keys(commands, "sheet_id", "command", _Sheets(millis(keep)), schema, delay)
     judged = _with_outcome(out)
     return judged.withColumn("accepted", F.col("accepted") & ~F.col("late")).withColumn(
         "message", F.when(F.col("accepted"), F.col("message")).otherwise("")
@@ -108,68 +106,105 @@ def status_changes_batch(events: DataFrame, width: int = 16384) -> DataFrame:
     )
 
 
-def status_changes(events: DataFrame) -> DataFrame:
-    """The same over a stream: sheet_id, seq, status of each change."""
+class _Feed(InOrder):
+    """Emits a status that differs from the one before, up to the first final one."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, closed = state.get if state.exists else ("", False)
-        rows = []
-        for seq, status in sorted((s, v) for pdf in batches for s, v in zip(pdf["seq"], pdf["status"], strict=True)):
-            if closed or status == last:
-                continue
-            rows.append((key[0], seq, status))
-            last, closed = status, status in TERMINAL_STATUSES
-        state.update((last, closed))
-        yield pd.DataFrame(rows, columns=["sheet_id", "seq", "status"])
+    columns = ("seq", "status")
+    start = ""
+
+    def take(self, last, seq, status, late):
+        if late or status == last or self.closed(last):
+            return last, []
+        return status, [(seq, status)]
+
+    def closed(self, status):
+        return status in TERMINAL_STATUSES
+
+
+def status_changes(events: DataFrame, delay: str = "0 seconds", keep: str = "30 days") -> DataFrame:
+    """The same over a stream: sheet_id, seq, status of each change. `events`: sheet_id, seq, ts, status.
+
+    Order, late rows and the end of state are those of `sheet_states`.
+    """
+    return over_keys(events, "sheet_id", "status", _Feed(millis(keep)), "sheet_id bigint, seq bigint, status string", delay)
+
+
+def stage_counts(events: DataFrame, by: str = "status") -> DataFrame:
+    """Sheets per status (or per `by`) now: the newest event of each sheet, counted. `events`: sheet_id, seq and `by`."""
+    now = events.groupBy("sheet_id").agg(F.max_by(by, "seq").alias(by))
+    return now.groupBy(by).agg(F.count(F.lit(1)).alias("sheets"))
+
+
+class _Moves(InOrder):
+    """Emits a retraction of the stage a sheet leaves and an addition of the one it enters."""
+
+    columns = ("seq", "stage", "delta")
+    start = None
+
+    def take(self, stage, seq, new, late):
+        if late or new == stage:
+            return stage, []
+        left = [] if stage is None else [(seq, stage, -1)]
+        return new, left + ([] if new is None else [(seq, new, 1)])
+
+    def closed(self, stage):
+        return False  # a finished sheet still counts in its stage
 
-    return (
-        events.select("sheet_id", "seq", "status")
-        .groupBy("sheet_id")
-        .applyInPandasWithState(
-            step, "sheet_id bigint, seq bigint, status string", "last string, closed boolean", "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
 
+def stage_moves(events: DataFrame, by: str = "stage", delay: str = "0 seconds") -> DataFrame:
+    """Change log of a stream of stages: sheet_id, seq, stage, delta (-1 for the stage left, +1 for the one entered).
 
-def stage_counts(events: DataFrame) -> DataFrame:
-    """Sheets per status now: the newest event of each sheet, counted. `events`: sheet_id, seq, status."""
-    now = events.groupBy("sheet_id").agg(F.max_by("status", "seq").alias("status"))
-    return now.groupBy("status").agg(F.count(F.lit(1)).alias("sheets"))
+    `events`: sheet_id, seq, ts and `by`. Rows count at once, without waiting for the watermark, and a row whose seq is not
+    above its sheet's last one is passed over; so the deltas of all batches so far sum to `stage_counts` of all rows so far.
+    State is a stage and a seq per sheet, as every sheet counts somewhere.
+    """
+    schema = "sheet_id bigint, seq bigint, stage string, delta bigint"
+    return over_keys(events, "sheet_id", by, _Moves(None), schema, delay)
+
+
+class _Stuck(Waiting):
+    """Fires when a sheet's newest status has been QUEUED for `minutes`."""
+
+    state = "status string, at bigint"
+
+    def __init__(self, minutes: int, message: str):
+        self.minutes, self.message = minutes, message
+
+    def handleInputRows(self, key, rows, timerValues):
+        status, at = self.now.get() if self.now.exists() else ("", -1)
+        for pdf in rows:
+            newest = pdf["at"].idxmax()
+            if pdf["at"][newest] >= at:
+                status, at = pdf["value"][newest], int(pdf["at"][newest])
+        self.now.update((status, at))
+        if status == "QUEUED":
+            self.ring(at + self.minutes * 60_000, timerValues)
+        elif status in TERMINAL_STATUSES:
+            self.ring(at, timerValues)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.now.exists():
+            return
+        status, at = self.now.get()
+        passed = timerValues.getCurrentWatermarkInMs()
+        if status == "QUEUED" and at + self.minutes * 60_000 <= passed:
+            self.now.clear()
+            yield self.frame(key, [(at, self.message)], ("since_ms", "error_message"))
+        elif status in TERMINAL_STATUSES and at <= passed:
+            self.now.clear()
 
 
 def stuck_stream(events: DataFrame, minutes: int = 15, delay: str = "0 seconds") -> DataFrame:
     """Sheets left QUEUED for longer than `minutes` of event time: sheet_id, since, error_message.
 
     `events`: sheet_id, ts (timestamp), status. The timer of a sheet is set by its newest event and fires when the
-    watermark passes it.
+    watermark passes it. A sheet that was reported, or whose final status the watermark has passed, leaves no state.
     """
     message = STUCK_QUEUED_MESSAGE.format(minutes=minutes)
-    schema = "sheet_id bigint, since timestamp, error_message string"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            since = pd.Timestamp(state.get[1], unit="ms")
-            state.remove()
-            yield pd.DataFrame({"sheet_id": [key[0]], "since": [since], "error_message": [message]})
-            return
-        status, at = state.get if state.exists else ("", -1)
-        for pdf in batches:
-            millis = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            newest = millis.idxmax()
-            if millis[newest] >= at:
-                status, at = pdf["status"][newest], int(millis[newest])
-        state.update((status, at))
-        due = at + minutes * 60_000
-        # A timer may not lie before the watermark; such a sheet is overdue and fires at the next one.
-        if status == "QUEUED":
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("sheet_id")
-        .applyInPandasWithState(step, schema, "status string, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    schema = "sheet_id bigint, since_ms bigint, error_message string"
+    out = over_keys(events.withColumn("seq", F.lit(0).cast("long")), "sheet_id", "status", _Stuck(minutes, message), schema, delay)
+    return out.select("sheet_id", F.timestamp_millis("since_ms").alias("since"), "error_message")
 
 
 def quota_stream(calls: DataFrame, limit: int, delay: str = "0 seconds") -> DataFrame:
@@ -186,27 +221,23 @@ def quota_stream(calls: DataFrame, limit: int, delay: str = "0 seconds") -> Data
     )
 
 
-def reindex_stream(questions: DataFrame) -> DataFrame:
-    """Question versions whose answer hash differs from the one before: question_id, seq, hash.
+class _Versions(InOrder):
+    """Emits a question's hash when it differs from the one before."""
 
-    `questions`: question_id, seq, hash. State is the last hash of each question.
-    """
+    columns = ("seq", "hash")
+    start = None
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for seq, digest in sorted((s, h) for pdf in batches for s, h in zip(pdf["seq"], pdf["hash"], strict=True)):
-            if digest != last:
-                rows.append((key[0], seq, digest))
-                last = digest
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["question_id", "seq", "hash"])
+    def take(self, last, seq, digest, late):
+        return (last, []) if late or digest == last else (digest, [(seq, digest)])
+
+    def closed(self, digest):
+        return False
 
-    return (
-        questions.select("question_id", "seq", "hash")
-        .groupBy("question_id")
-        .applyInPandasWithState(
-            step, "question_id bigint, seq bigint, hash string", "last string", "append", GroupStateTimeout.NoTimeout
-        )
-    )
 
+def reindex_stream(questions: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Question versions whose answer hash differs from the one before: question_id, seq, hash.
+
+    `questions`: question_id, seq, ts, hash. State is the last hash of each question, kept as long as questions can change.
+    `jobs.reindex_on_change` drives the concept job from the versions themselves.
+    """
+    return over_keys(questions, "question_id", "hash", _Versions(millis("0 seconds")), "question_id bigint, seq bigint, hash string", delay)

@@ -75,6 +75,7 @@ def test_stream_of_several_batches_equals_replay(spark, tmp_path):
     rows = log(600, 9)
     for part in range(3):
         chunk = spark.createDataFrame(rows[part * 200 : part * 200 + 200], "sheet_id bigint, seq bigint, command string")
+        chunk = chunk.withColumn("ts", F.timestamp_seconds(F.col("seq") + 1))
         chunk.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = jobs.read_table_stream(spark, str(tmp_path / "in"), "*.parquet", chunk.schema, 1)
     got = jobs.run_available(states.sheet_states(source)).select("sheet_id", "seq", "status_before", "status", "accepted")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rubrica.config import STAGES as STAGE_LIST
 from rubrica.operators import scans
 from rubrica.session import shared_dir
 from rubrica.streaming import jobs, states
@@ -62,7 +63,7 @@ def _(t):
 def _(t):
     commands = _stream(
         t,
-        ["user_id AS sheet_id", "event_id AS seq", "CASE event_type WHEN 'view' THEN 'run' WHEN 'purchase' THEN 'finish' "
+        ["user_id AS sheet_id", "event_id AS seq", "CAST(ts AS timestamp) AS ts", "CASE event_type WHEN 'view' THEN 'run' WHEN 'purchase' THEN 'finish' "
          "WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'approve' ELSE CASE WHEN value < 10 THEN 'cancel' ELSE 'retry' END END AS command"],
     )
     return jobs.run_available(states.sheet_states(commands)).drop("late")
@@ -104,25 +105,38 @@ STAGES = """SELECT status, count(*) AS sheets FROM (SELECT * FROM v_status_event
   PARTITION BY sheet_id ORDER BY seq DESC) = 1) GROUP BY status"""
 
 
+view(
+    "v_stage_event",
+    f"""
+SELECT user_id % 500 AS sheet_id, event_id AS seq, ts, split_part('{",".join(STAGE_LIST)}', ',', 1 + CAST((event_id * 7 + user_id) % 13 AS INT)) AS stage
+FROM events
+""",
+)
+STAGE_NOW = """SELECT stage, count(*) AS sheets FROM (SELECT * FROM v_stage_event QUALIFY row_number() OVER (
+  PARTITION BY sheet_id ORDER BY seq DESC) = 1) GROUP BY stage"""
+
+
 @query("stage_counts", STAGES)
 def _(t):
     return states.stage_counts(t("v_status_event"))
 
 
-@query("stage_counts_stream", STAGES)
+@query("stage_counts_stream", STAGE_NOW)
+def _(t):
+    """Counts by stage, kept by adding each change's retraction and addition as the log arrives."""
+    path = shared_dir(t.spark, "stage-counts")
+    events = _stream(
+        t,
+        ["user_id % 500 AS sheet_id", "event_id AS seq", "CAST(ts AS timestamp) AS ts",
+         f"split_part('{','.join(STAGE_LIST)}', ',', 1 + CAST((event_id * 7 + user_id) % 13 AS INT)) AS stage"],
+    )
+    jobs.follow_stages(events, path, shared_dir(t.spark, "stream-mark"))
+    return jobs.newest_counts(t.spark, path)
+
+
+@query("stage_counts_by_stage", STAGE_NOW)
 def _(t):
-    """Counts after every change of the log has arrived; a batch replaces the counts it updates."""
-    path, mark = shared_dir(t.spark, "stage-counts"), shared_dir(t.spark, "stream-mark")
-    changes = _stream(t, STATUS_COLUMNS).groupBy("sheet_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
-    query_ = (
-        changes.writeStream.outputMode("update")
-        .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/{n:010d}"))
-        .option("checkpointLocation", mark)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query_.awaitTermination()
-    return states.stage_counts(t.spark.read.parquet(f"{path}/*"))
+    return states.stage_counts(t("v_stage_event"), "stage")
 
 
 @query(
@@ -173,5 +187,40 @@ view("v_question_version", "SELECT user_id AS question_id, event_id AS seq, sha2
        WHERE hash IS DISTINCT FROM p""",
 )
 def _(t):
-    versions = _stream(t, ["user_id AS question_id", "event_id AS seq", "sha2(event_type, 256) AS hash"])
+    versions = _stream(t, ["user_id AS question_id", "event_id AS seq", "CAST(ts AS timestamp) AS ts", "sha2(event_type, 256) AS hash"])
     return jobs.run_available(states.reindex_stream(versions))
+
+
+@query(
+    "reindex_concepts_stream",
+    """SELECT question_id, seq, CAST(ord AS BIGINT) AS ord, CASE ord WHEN 0 THEN 'The answer names every ' || event_type || ' event.'
+         ELSE 'It counts ' || (seq % 7) || ' of these events.' END AS text, 0.5::DOUBLE AS weight
+       FROM (SELECT user_id AS question_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id),
+         (SELECT unnest(range(0, 2)) AS ord)""",
+)
+def _(t):
+    """Versions of questions arrive over several batches; the concepts stored at the end are those of the newest."""
+    inbox, path = shared_dir(t.spark, "inbox"), shared_dir(t.spark, "reindexed")
+    text = "concat('The answer names every ', event_type, ' event. It counts ', event_id % 7, ' of these events.')"
+    versions = t("events").selectExpr("user_id AS question_id", "event_id AS seq", "'q' AS question", f"{text} AS model_answer")
+    versions.repartition(3, "seq").write.parquet(inbox)
+    source = jobs.read_table_stream(t.spark, inbox, "*.parquet", versions.schema, 1)
+    for _ in range(2):  # the second run finds nothing new
+        jobs.reindex_on_change(source, path, f"{path}/mark", per_bucket=1000)
+    concepts = t.spark.read.parquet(f"{path}/concepts").select("question_id", "ord", "text", "weight")
+    return concepts.join(t.spark.read.parquet(f"{path}/indexed").select("question_id", "seq"), "question_id")
+
+
+@query(
+    "open_sheets_stream",
+    """SELECT sheet_id, arg_max(status, seq) AS status, max(seq) AS last FROM (
+         SELECT *, event_id // 3 AS sheet_id, event_id AS seq FROM (SELECT event_id, status FROM v_status_event JOIN events ON seq = event_id))
+       GROUP BY sheet_id HAVING count_if(status IN ('DONE', 'FAILED', 'APPROVED')) = 0""",
+)
+def _(t):
+    """What the status feed still holds when the watermark has passed all of the log: the sheets that are not closed."""
+    mark = shared_dir(t.spark, "stream-mark")
+    events = _stream(t, ["event_id DIV 3 AS sheet_id", *STATUS_COLUMNS[1:]])
+    jobs.run_available(states.status_changes(events, keep="0 seconds"), mark=mark)
+    held = t.spark.read.format("statestore").option("stateVarName", "now").load(mark)
+    return held.select(F.col("key.sheet_id").alias("sheet_id"), F.col("value.value").alias("status"), F.col("value.last").alias("last"))
