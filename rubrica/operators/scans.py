@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rubrica.session import cut_lineage
+
 ROWS = 16384
 
 
@@ -36,17 +38,39 @@ def previous_value(df: DataFrame, by: str, order: str, value: str, out: str, wid
 def trailing_count(df: DataFrame, by: str, ts: str, seconds: int = 60, out: str = "trailing") -> DataFrame:
     """Append the number of the key's rows in the `seconds` up to and including each row.
 
-    Time is cut into slices of that length; a row counts rows of its own slice and of the one before, so each row is
-    sent to two slices and a slice is all a task has to hold.
+    A row counts as many rows as lie up to it, less those before its window begins: a difference of two ranks in its key.
+    Rows of one moment are counted together first. Each moment gives two points, its own place and where its window begins;
+    points are dealt to ranges of (key, place), ranks are summed inside a range, and each range's total is carried to those
+    after it. So a key that holds most of the table is split over tasks, however short the time, and a task holds one range;
+    the carry has one row per range and key. Both ranks of a moment then meet, and the count joins its rows.
+
+    Rows without a time get null; rows without a key are one key.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    spark = df.sparkSession
     span = seconds * 1_000_000
-    placed = df.withColumn("_us", micros).withColumn("_slice", F.floor(F.col("_us") / span))
-    both = placed.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "_slice", F.when(F.col("_own"), F.col("_slice")).otherwise(F.col("_slice") + 1)
+    placed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    moments = placed.where("_us IS NOT NULL").groupBy(F.col(by).alias("_k"), "_us").agg(F.count(F.lit(1)).alias("_n"))
+    # where a window begins sorts before a moment at the same place, which still is inside the window
+    begin = F.struct((F.col("_us") - span).alias("place"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"))
+    own = F.struct(F.col("_us").alias("place"), F.lit(1).alias("kind"), F.col("_n").alias("n"))
+    points = moments.select("_k", "_us", F.explode(F.array(begin, own)).alias("p")).select("_k", "_us", "p.*")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.repartitionByRange(ranges, "_k", "place", "kind").withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(dealt)  # ranges must not change between the totals and the ranks
+    totals = dealt.groupBy("_k", "_range").agg(F.sum("n").alias("_total"))
+    earlier = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_k", "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy("_range", "_k").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_rank", F.sum("n").over(inside))
+    same = ranked["_range"] == F.col("_r")
+    ranked = ranked.join(
+        carried.select(F.col("_k").alias("_key"), F.col("_range").alias("_r"), "_carried"), same & ranked["_k"].eqNullSafe(F.col("_key"))
+    ).select("_k", "_us", "kind", (F.col("_rank") + F.col("_carried")).alias("_rank"))
+    counted = ranked.groupBy("_k", F.col("_us").alias("_at")).agg(
+        F.sum(F.when(F.col("kind") == 1, F.col("_rank")).otherwise(-F.col("_rank"))).alias(out)
     )
-    window = Window.partitionBy(by, "_slice").orderBy("_us").rangeBetween(-span, 0)
-    return both.withColumn(out, F.count(F.lit(1)).over(window)).where("_own").drop("_us", "_slice", "_own")
+    met = placed.join(counted, placed[by].eqNullSafe(F.col("_k")) & (placed["_us"] == F.col("_at")), "left")
+    return met.drop("_us", "_k", "_at")
 
 
 def fold_states(

@@ -60,6 +60,26 @@ def test_trailing_count(spark):
     assert got == want
 
 
+def test_trailing_count_splits_a_key(spark, monkeypatch):
+    """Half of the rows are one account's in an hour, many at one moment; some have no account or no time."""
+    rng, at, rows = random.Random(6), datetime(2024, 1, 1), []
+    for i in range(6000):
+        hot = i % 2 == 0
+        t = at + timedelta(milliseconds=rng.randrange(0, 3_600_000, 500) if hot else rng.randrange(0, 900_000_000))
+        rows.append((1 if hot else rng.choice([None, *range(2, 30)]), i, None if i % 501 == 0 else t))
+    kept, cut = [], scans.cut_lineage
+    monkeypatch.setattr(scans, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    df = spark.createDataFrame(rows, "account int, id int, ts timestamp_ntz")
+    got = {r["id"]: r["trailing"] for r in scans.trailing_count(df, "account", "ts", 60).collect()}
+    by = {}
+    for a, _, t in rows:
+        by.setdefault(a, []).append(t)
+    want = {i: None if t is None else sum(1 for u in by[a] if u and t - timedelta(seconds=60) <= u <= t) for a, i, t in rows}
+    assert got == want
+    hot = [r["count"] for r in kept[0].where("_k = 1").groupBy("_range").count().collect()]
+    assert len(hot) >= 4 and max(hot) < 0.4 * sum(hot)
+
+
 def test_batches_number_a_key_across_buckets(spark):
     df = spark.range(1000).withColumn("k", F.when(F.col("id") % 10 < 7, "hot").otherwise("cold"))
     df = df.withColumn("bucket", F.floor(F.col("id") / 64))
