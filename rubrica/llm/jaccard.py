@@ -18,13 +18,14 @@ at least a = ceil(t * n) of them. Hence, under any order of all tokens that is t
 
 A large group of near copies is not expanded into pairs. Documents that meet at a token are first compared with the token's
 leader (smallest under a hash), each with the leader it meets most often; links give components; tokens whose documents are
-in one component by then are left alone. Two such rounds are followed by one over all pairs of documents that still are in
-different components, which makes the components exact.
+in one component by then are left alone. The pairs still ahead are counted before they are made: while they are many, such
+rounds go on, each under a hash of its own. A last one over all pairs of documents that still are in different components
+makes the components exact.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case. Fewer words than a shingle make one shingle.
 Null texts and texts without words have no tokens, link with nothing and are components of their own. Every row is a
-document; rows with one id are one component's member each. A null id keeps its place and its component is null, or the
-smallest other id it is linked with. Empty tables give no rows. Other columns are not read. The input is a stored table: its
+document; rows with one id are one component's member each. A row with a null id links and bridges like any other; its
+component is the smallest id that it reaches, null if it reaches none. Empty tables give no rows. Other columns are not read. The input is a stored table: its
 rows are read again in the same order if a task is repeated.
 """
 
@@ -269,16 +270,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: i
     return both.filter(100 * F.col("common") >= percent * (F.size("va") + F.size("vb") - F.col("common"))).select("a", "b")
 
 
-def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.35, orders: int = 3, rounds: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
+def _pairs_ahead(where: DataFrame) -> float:
+    """Pairs of documents in different components that share a token, counted once a token: what joining them all would make."""
+    held = where.groupBy("token", "comp").agg(F.count("*").cast("double").alias("c"))
+    each = held.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    return each.agg(F.sum("pairs")).first()[0] or 0.0
+
+
+def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.35, orders: int = 3, spare: float = 8.0) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text).
+
+    Rounds with leaders go on while more than `spare` pairs a document are ahead, as long as a round takes a tenth of them off.
+    """
     d = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    tallied = cut_lineage(survivors(d, percent, lead, width))
-    alive = tallied.filter("alive AND doc_id IS NOT NULL").select("doc_id").distinct()
-    sets = cut_lineage(with_sets(by_small(d, cut_lineage(alive), "doc_id", "left_semi"), width).filter("n > 0"))
-    # of equal sets the smallest id stands for all; nodes from here on are rows
-    first = sets.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("same"))
-    member = sets.select("doc_id", "mark").join(first, "mark").select("doc_id", F.col("same.doc_id").alias("same"), "same.row")
-    member = cut_lineage(member.distinct())
+    named_docs = d.filter("doc_id IS NOT NULL")
+    tallied = cut_lineage(survivors(d, percent, lead, width)).filter("doc_id IS NOT NULL")
+    alive = tallied.filter("alive").select("doc_id").distinct()
+    # rows without an id are told apart by their numbers in this table, so all of them go on
+    chosen = by_small(named_docs, cut_lineage(alive), "doc_id", "left_semi").unionByName(d.filter("doc_id IS NULL"))
+    known = cut_lineage(with_sets(chosen, width))
+    sets = known.filter("n > 0")
+    # of equal sets one row stands for all, that of the smallest id; nodes from here on are such rows
+    first = sets.groupBy("mark").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("same"))
+    member = sets.select(F.col("row").alias("me"), "doc_id", "mark").join(first, "mark").select("me", "doc_id", F.col("same.row").alias("row"))
+    member = cut_lineage(member)
     sets = by_small(sets, member.select("row").distinct(), "row", "left_semi").select("row", "n", "tokens")
     prefixes = cut_lineage(_prefixes(sets, percent, orders))
     # `reach`: how many tokens a document can have in common with another whose first common token is this one
@@ -297,26 +312,35 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
         open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
         return every, cut_lineage(placed.join(open_, "token", "left_semi"))
 
-    for k in range(rounds):
+    enough, ahead, k = spare * max(prefixes.count(), 1), _pairs_ahead(where), 0
+    while ahead > enough:
         lot = F.xxhash64(F.lit(f"leader{k}"), "row")
         leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "row", "comp", "n", "reach")).alias("l"))
         near = f"comp <> l.comp AND {100 + percent} * least(reach, l.reach) >= {percent} * (n + l.n)"
         chosen = where.join(leaders, "token").filter(near).groupBy("row", "l.row").agg(F.count("*").alias("times")).toDF("a", "b", "times")
         best = chosen.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
         links, where = joined(_verified(best, sets, prefixes, percent, orders))
+        before, ahead, k = ahead, _pairs_ahead(where), k + 1
+        if ahead > 0.9 * before:
+            break
     other = where.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "comp", "reach")]).withColumnRenamed("row_b", "b")
     near = f"a < b AND comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b)"
     pairs = where.withColumnRenamed("row", "a").join(other, "token").filter(near).select("a", "b").distinct()
     links, _ = joined(_verified(pairs, sets, prefixes, percent, orders))
 
-    # back from rows to ids: an id may stand for several sets, which it then joins
-    real = member.select("row", F.col("same").alias("a")).distinct()
-    of_row = components(links).withColumnRenamed("id", "row").join(real, "row")
-    of_comp = of_row.groupBy("comp").agg(F.min("a").alias("b"))
-    edges = of_row.join(of_comp, "comp").select("a", "b").unionByName(member.select(F.col("doc_id").alias("a"), F.col("same").alias("b")))
+    # back from rows to ids: an id may stand for several sets, whose components it joins
+    comps = cut_lineage(components(links).withColumnRenamed("id", "row"))
+    placed = cut_lineage(by_small(member, comps, "row", "left").select("me", "doc_id", F.coalesce("comp", "row").alias("comp")))
+    lowest = cut_lineage(placed.groupBy("comp").agg(F.min("doc_id").alias("b")))
+    edges = by_small(placed.filter("doc_id IS NOT NULL"), lowest, "comp").select(F.col("doc_id").alias("a"), "b")
     named = cut_lineage(components(edges).withColumnRenamed("id", "doc_id"))
     out = by_small(tallied.select("doc_id", "n"), named, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    nameless = known.filter("doc_id IS NULL").select(F.col("row").alias("me"), "n")
+    theirs = placed.filter("doc_id IS NULL").join(lowest, "comp").select("me", F.col("b").alias("id"))
+    theirs = theirs.join(named.select(F.col("doc_id").alias("id"), "comp"), "id", "left").select("me", F.coalesce("comp", "id").alias("component_id"))
+    nameless = nameless.join(theirs, "me", "left").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(nameless)
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
@@ -324,6 +348,6 @@ def jaccard_digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of `docs` whose document is the smallest id of its component."""
+    """The rows of `docs` whose document is the smallest id of its component; rows with a null id stay."""
     gone = linked(docs, **settings).filter("component_id <> doc_id").select("doc_id").distinct()
     return by_small(docs, cut_lineage(gone), "doc_id", "left_anti")
