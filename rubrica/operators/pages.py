@@ -337,11 +337,35 @@ def to_crop_space(marks: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataF
     return moved, cropped.where("empty_crop").select(*PAGE, "block_no")
 
 
+def block_marks(marks: DataFrame, labelled: DataFrame, assigned: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Marks of the blocks that were kept, in the pixels of their block's crop.
+
+    `marks` are those of `page_marks`, `labelled` the blocks of `carry_forward`, `assigned` the prepared blocks with their
+    question, `only` as for `prepare_blocks`. A mark goes where its block went: to the joined text block of its question, to
+    the whole page where boxes are unreliable, or stays with its own block. Empty crops carry none. Returns sheet_id, exam_id,
+    question_id, page_index, block_no (the block that holds the mark), part_no (the one it was read from), mark_no, the mark.
+    """
+    judged = flag_suspicious(labelled)
+    odd = judged.where("suspicious")
+    if only is not None:
+        odd = odd.join(only, "sheet_id", "left").withColumn("key", F.coalesce("only_key", "key"))
+    whole = F.min("block_no").over(Window.partitionBy(*PAGE, "key"))
+    parts = merged_parts(judged.where("NOT suspicious")).unionByName(odd.select(*PAGE, "block_no", whole.alias("head_no")))
+    moved = marks.join(parts, [*PAGE, "block_no"]).withColumnRenamed("block_no", "part_no").withColumnRenamed("head_no", "block_no")
+    held = crop_origin(assigned.where("block_no IS NOT NULL")).where("NOT empty_crop")
+    placed = moved.join(held.select("exam_id", "question_id", *PAGE, "block_no", "x0", "y0"), [*PAGE, "block_no"])
+    return placed.select(
+        "sheet_id", "exam_id", "question_id", "page_index", "block_no", "part_no", "mark_no", "kind", "intent",
+        (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "w", "h", "confidence",
+        F.lit("VLM").alias("resolved_by"),
+    )
+
+
 def question_spine(sheets: DataFrame, questions: DataFrame) -> DataFrame:
     """One row per sheet and question of its exam, with the question's text and maximum as they are now."""
     q = questions.select(
         "exam_id", "question_id", F.col("number").alias("question_number"), norm_number("number").alias("key"), "max_marks",
-        *[c for c in ("text",) if c in questions.columns],
+        *[F.col(c).alias(f"question_{c}") for c in ("text",) if c in questions.columns],
     )
     return sheets.select("sheet_id", "exam_id").join(q, "exam_id")
 
@@ -362,7 +386,8 @@ def assign_blocks(sheets: DataFrame, questions: DataFrame, blocks: DataFrame) ->
 def assemble_answers(assigned: DataFrame) -> DataFrame:
     """Text and mean quality per sheet and question: blocks in page order joined by spaces, 0 quality without blocks."""
     order = "page_index, y, CASE WHEN content_type = 'TEXT' THEN 1 ELSE 0 END, block_no"
-    return assigned.groupBy("sheet_id", "exam_id", "question_id", "question_number", "max_marks").agg(
+    texts = [c for c in ("question_text",) if c in assigned.columns]
+    return assigned.groupBy("sheet_id", "exam_id", "question_id", "question_number", "max_marks", *texts).agg(
         strip(F.coalesce(_agg("reconstructed_text", order), F.lit(""))).alias("text"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("ocr_quality"),
         F.count("block_no").alias("blocks"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from rubrica.config import DEFAULTS, PAGE_FAILED_MESSAGE, Thresholds
 from rubrica.operators import pages
 from rubrica.operators.results import sheet_confidence
-from rubrica.plans.score import concept_scores, prepared, question_results
+from rubrica.plans.score import concept_scores, evaluation_runs, prepared, question_results
 from rubrica.session import cut_lineage
 from rubrica.sources.sinks import PER_BUCKET, write_results
 
@@ -19,20 +19,26 @@ class Graded:
     """Result tables of one run, all keyed by sheet_id."""
 
     blocks: DataFrame
+    annotations: DataFrame
     concept_scores: DataFrame
+    evaluation_runs: DataFrame
     evaluations: DataFrame
     sheets: DataFrame
 
 
-def answers_of(replies: DataFrame, sheets: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks per question, answers per sheet and question) from page replies."""
-    labelled = pages.carry_forward(pages.page_blocks(replies))
-    ready = pages.prepare_blocks(labelled, pages.only_questions(sheets, questions))
+TABLES = ("blocks", "annotations", "concept_scores", "evaluation_runs", "evaluations", "sheets")
+
+
+def answers_of(replies: DataFrame, sheets: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks per question, marks of those blocks, answers per sheet and question) from page replies."""
+    labelled = cut_lineage(pages.carry_forward(pages.page_blocks(replies)))
+    only = pages.only_questions(sheets, questions)
+    ready = pages.prepare_blocks(labelled, only)
     # Everything below reads the blocks more than once; reading them back is cheaper than parsing replies again.
     ready = cut_lineage(ready)
     assigned = pages.assign_blocks(sheets, questions, ready)
     answers = pages.assemble_answers(assigned).withColumn("answer_id", F.concat_ws(":", "sheet_id", "question_id"))
-    return assigned.where("block_no IS NOT NULL"), answers
+    return assigned.where("block_no IS NOT NULL"), pages.block_marks(pages.page_marks(replies), labelled, assigned, only), answers
 
 
 def failed_sheets(replies: DataFrame) -> DataFrame:
@@ -52,16 +58,20 @@ def grade_sheets(
 ) -> Graded:
     """Grade every sheet: one evaluation per sheet and question, whatever was found on the pages.
 
+    Evaluations keep the question's text, number and maximum as they are now, so that editing the exam later changes none.
     A sheet with a page that no reply could be read from is FAILED, with a message and without evaluations.
     """
     failed = cut_lineage(failed_sheets(replies))
     readable = sheets.join(failed, "sheet_id", "left_anti")
-    blocks, answers = answers_of(replies.join(failed, "sheet_id", "left_anti"), readable, questions)
+    blocks, marks, answers = answers_of(replies.join(failed, "sheet_id", "left_anti"), readable, questions)
     answers = cut_lineage(answers)
     # Scores feed three of the result tables; with a model behind `embed`, computing them again would call it again.
-    scores = cut_lineage(concept_scores(prepared(answers, concepts, t, embed), votes, t))
+    rows = cut_lineage(prepared(answers, concepts, t, embed))
+    scores = cut_lineage(concept_scores(rows, votes, t))
     results = question_results(answers, scores, t)
-    keys = answers.select("answer_id", "sheet_id", "exam_id", "question_number")
+    texts = [c for c in ("question_text",) if c in answers.columns]
+    keys = answers.select("answer_id", "sheet_id", "exam_id", "question_number", *texts)
+    runs = evaluation_runs(rows, votes).join(answers.select("answer_id", "sheet_id", "exam_id", "question_id"), "answer_id")
     evaluations = results.join(keys, "answer_id")
     scores = scores.join(keys.select("answer_id", "sheet_id", "exam_id"), "answer_id")
     done = readable.select("sheet_id", "exam_id").join(sheet_confidence(readable, evaluations, t), "sheet_id")
@@ -69,11 +79,11 @@ def grade_sheets(
     graded = done.withColumns({"status": F.lit("DONE"), "error_message": F.lit("")}).unionByName(
         lost.withColumns({"confidence": F.lit(0.0), "band": F.lit("RED"), "status": F.lit("FAILED")})
     )
-    return Graded(blocks, scores, evaluations, graded)
+    return Graded(blocks, marks, scores, runs, evaluations, graded)
 
 
 def write_graded(graded: Graded, path: str, per_bucket: int = PER_BUCKET) -> None:
     """Store a run; sheets graded before are replaced whole."""
     regraded = graded.sheets.select("exam_id", "sheet_id")
-    for name in ("blocks", "concept_scores", "evaluations", "sheets"):
+    for name in TABLES:
         write_results(getattr(graded, name), f"{path}/{name}", regraded, per_bucket)

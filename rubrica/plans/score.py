@@ -64,6 +64,20 @@ def keyword_votes(rows: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_runs(rows: DataFrame, votes: DataFrame | None) -> DataFrame:
+    """The passes behind each concept's verdict: answer_id, concept_id, pass_no (from 1), verdict, raw_response.
+
+    `rows` are those of `prepared`. Votes of a model keep its reply where the vote table has one; without a vote table the
+    keyword pass is recorded. Blank answers are not asked about and have no passes.
+    """
+    if votes is None:
+        taken = keyword_votes(rows)
+    else:
+        taken = votes.join(rows.where(~F.col("blank")).select("answer_id", "concept_id"), ["answer_id", "concept_id"], "left_semi")
+    reply = F.col("raw_response") if "raw_response" in taken.columns else F.lit("")
+    return taken.select("answer_id", "concept_id", F.col("pass_no").cast("int").alias("pass_no"), "verdict", reply.alias("raw_response"))
+
+
 def concept_scores(rows: DataFrame, votes: DataFrame | None, t: Thresholds = DEFAULTS) -> DataFrame:
     """Status, marks and evidence per answer and concept.
 

@@ -276,12 +276,21 @@ def _(t):
 
 
 # ---- vectors ---------------------------------------------------------------------------------------
+# Every vector counts: a label's eight concepts are the means of its vectors in eight slots.
 view(
     "v_vector_concept",
     """
-SELECT vec_id AS concept_id, label, embedding AS q_vec FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 8
+SELECT label * 8 + slot AS concept_id, label, list(m ORDER BY place) AS q_vec FROM (
+  SELECT label, vec_id % 8 AS slot, place, avg(embedding[place]::DOUBLE) AS m FROM (
+    SELECT *, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings) GROUP BY ALL) GROUP BY label, slot
 """,
+    lambda t: t("embeddings")
+    .select("label", (F.col("vec_id") % 8).alias("slot"), F.posexplode("embedding").alias("place", "v"))
+    .groupBy("label", "slot", "place")
+    .agg(F.avg(F.col("v").cast("double")).alias("m"))
+    .groupBy("label", "slot")
+    .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "m"))), lambda x: x["m"]).alias("q_vec"))
+    .select((F.col("label") * 8 + F.col("slot")).alias("concept_id"), "label", "q_vec"),
 )
 view(
     "v_vector_chunk",
@@ -313,14 +322,12 @@ def _(t):
 
 @query(
     "cosine_similarity",
-    f"""SELECT e.vec_id, {r("list_cosine_similarity(e.embedding::DOUBLE[], c.q_vec::DOUBLE[])", 6)} AS cosine
-        FROM embeddings e JOIN (SELECT label, q_vec FROM v_vector_concept QUALIFY
-          row_number() OVER (PARTITION BY label ORDER BY concept_id) = 1) c ON c.label = e.label""",
+    f"""SELECT e.vec_id, c.concept_id, {r("list_cosine_similarity(e.embedding::DOUBLE[], c.q_vec::DOUBLE[])", 6)} AS cosine
+        FROM embeddings e JOIN v_vector_concept c ON c.label = e.label""",
 )
 def _(t):
-    first = t("v_vector_concept").groupBy("label").agg(F.min_by("q_vec", "concept_id").alias("q_vec"))
-    return t("embeddings").join(first, "label").select(
-        "vec_id", F.round(vectors.cosine("embedding", "q_vec"), 6).alias("cosine")
+    return t("embeddings").join(t("v_vector_concept"), "label").select(
+        "vec_id", "concept_id", F.round(vectors.cosine("embedding", "q_vec"), 6).alias("cosine")
     )
 
 

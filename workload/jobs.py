@@ -61,8 +61,12 @@ def _concepts(t):
     return vectors.hash_embed(rows, "text", DIM)
 
 
-def _graded(t):
-    return grade.grade_sheets(t("v_page_reply"), t("v_doc_sheet"), t("v_exam_question"), _concepts(t), embed=embedded)
+def _questions(t):
+    return t("v_exam_question").withColumn("text", F.concat(F.lit("What is asked under "), "raw_number", F.lit("?")))
+
+
+def _graded(t, votes=None):
+    return grade.grade_sheets(t("v_page_reply"), t("v_doc_sheet"), _questions(t), _concepts(t), votes, embed=embedded)
 
 
 BAND = "CASE WHEN {c} < 0.65 THEN 'RED' WHEN {c} < 0.8 THEN 'ORANGE' ELSE 'GREEN' END"
@@ -86,6 +90,46 @@ def _(t):
     return _graded(t).concept_scores.select("sheet_id", "concept_id", "similarity", "status", "marks", "evidence")
 
 
+STORED_EVALUATIONS = f"""SELECT g.sheet_id, s.exam_id, g.question_id, q.number AS question_number, 'What is asked under ' || q.raw_number || '?' AS question_text,
+  10::DOUBLE AS max_marks, auto_marks, confidence, CASE WHEN confidence = 1 AND answer_id IN (SELECT answer_id FROM g_answer WHERE text = '')
+    THEN 'RED' ELSE {BAND.format(c="confidence")} END AS band
+FROM g_result g JOIN v_doc_sheet s ON s.sheet_id = g.sheet_id JOIN v_exam_question q ON q.question_id = g.question_id"""
+
+
+@query("grade_question_text", STORED_EVALUATIONS)
+def _(t):
+    """Evaluations as stored, with the snapshot of their question."""
+    return _graded(t).evaluations.select(
+        "sheet_id", "exam_id", "question_id", "question_number", "question_text", "max_marks", "auto_marks", "confidence", "band"
+    )
+
+
+@query("grade_annotations", "SELECT * FROM s_held_mark WHERE sheet_id NOT IN (SELECT sheet_id FROM g_failed)")
+def _(t):
+    """Marks as stored: run, write, read back."""
+    out = shared_dir(t.spark, "graded")
+    grade.write_graded(_graded(t), out)
+    return t.spark.read.parquet(f"{out}/annotations").drop("sheet_bucket")
+
+
+@query(
+    "grade_evaluation_runs",
+    f"""SELECT a.answer_id, c.concept_id, a.sheet_id, a.question_id, p AS pass_no, CASE (c.concept_id + p) % 3 WHEN 0 THEN 'COVERED' WHEN 1 THEN 'PARTIAL'
+          ELSE 'MISSING' END AS verdict, 'reply ' || p AS raw_response
+        FROM g_answer a JOIN g_concept c ON c.question_id = a.question_id, (SELECT unnest(range(1, 3)) AS p) WHERE a.text <> ''""",
+)
+def _(t):
+    """Two passes of a model over every concept of every answer; those of blank answers are not kept."""
+    spine = pages.question_spine(t("v_doc_sheet"), t("v_exam_question")).select(F.concat_ws(":", "sheet_id", "question_id").alias("answer_id"), "question_id")
+    asked = spine.join(_concepts(t).select("question_id", "concept_id"), "question_id").withColumn("pass_no", F.explode(F.array(F.lit(1), F.lit(2))))
+    names = F.array(F.lit("COVERED"), F.lit("PARTIAL"), F.lit("MISSING"))
+    votes = asked.select(
+        "answer_id", "concept_id", "pass_no", F.get(names, ((F.col("concept_id") + F.col("pass_no")) % 3).cast("int")).alias("verdict"),
+        F.concat(F.lit("reply "), "pass_no").alias("raw_response"),
+    )
+    return _graded(t, votes).evaluation_runs.select("answer_id", "concept_id", "sheet_id", "question_id", "pass_no", "verdict", "raw_response")
+
+
 SHEETS = f"""SELECT sheet_id, {r("c", 6)} AS confidence, {BAND.format(c="c")} AS band, 'DONE' AS status, '' AS error_message FROM (
   SELECT sheet_id, sum(confidence::DECIMAL(18,6))::DOUBLE / count(*) AS c FROM g_result GROUP BY sheet_id)
   UNION ALL SELECT sheet_id, 0, 'RED', 'FAILED', 'Evaluation failed: no readable reply for page ' || page_index FROM g_failed
@@ -106,7 +150,7 @@ def _(t):
     for _ in range(2):
         source = jobs.read_table_stream(t.spark, inbox, "*.parquet", t("v_page_reply").schema)
         jobs.grade_stream(
-            source, t("v_doc_sheet"), t("v_exam_question"), concepts, out, shared_dir(t.spark, "stream-mark"), embedded
+            source, t("v_doc_sheet"), _questions(t), concepts, out, shared_dir(t.spark, "stream-mark"), embedded
         )
     sheets = t.spark.read.parquet(f"{out}/sheets")
     return sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band", "status", "error_message")

@@ -354,6 +354,32 @@ def _(t):
     return out.select("sheet_id", "question_id", "text", F.round("ocr_quality", 6).alias("ocr_quality"), "blocks")
 
 
+view(
+    "s_held_mark",
+    """
+SELECT m.sheet_id, a.exam_id, a.question_id, m.page_index, p.block_no, m.block_no AS part_no, m.mark_no, m.kind, m.intent,
+  m.x - greatest(0, floor(p.x)) AS x, m.y - greatest(0, floor(p.y)) AS y, m.w, m.h, m.confidence, 'VLM' AS resolved_by
+FROM s_page_mark m JOIN s_sane l ON l.sheet_id = m.sheet_id AND l.page_index = m.page_index AND l.block_no = m.block_no
+JOIN s_merged p ON p.sheet_id = l.sheet_id AND p.page_index = l.page_index AND (CASE WHEN l.content_type = 'TEXT'
+  THEN p.content_type = 'TEXT' AND p.key = l.key ELSE p.content_type <> 'TEXT' AND p.block_no = l.block_no END)
+JOIN s_assigned a ON a.sheet_id = p.sheet_id AND a.page_index = p.page_index AND a.block_no = p.block_no
+WHERE least(l.page_w, floor(p.x + p.w)) > floor(p.x) AND least(l.page_h, floor(p.y + p.h)) > floor(p.y)
+UNION ALL SELECT m.sheet_id, a.exam_id, a.question_id, m.page_index, p.block_no, m.block_no, m.mark_no, m.kind, m.intent, m.x, m.y, m.w, m.h, m.confidence, 'VLM'
+FROM s_page_mark m JOIN s_odd l ON l.sheet_id = m.sheet_id AND l.page_index = m.page_index AND l.block_no = m.block_no
+JOIN s_full_page p ON p.sheet_id = l.sheet_id AND p.page_index = l.page_index AND p.key = l.key
+JOIN s_assigned a ON a.sheet_id = p.sheet_id AND a.page_index = p.page_index AND a.block_no = p.block_no
+""",
+)
+
+
+@query("block_marks", "SELECT * FROM s_held_mark")
+def _(t):
+    labelled = _labelled(t)
+    only = pages.only_questions(t("v_doc_sheet"), t("v_exam_question"))
+    assigned = pages.assign_blocks(t("v_doc_sheet"), t("v_exam_question"), pages.prepare_blocks(labelled, only))
+    return pages.block_marks(pages.page_marks(t("v_page_reply")), labelled, assigned, only)
+
+
 view(
     "v_label_text",
     """

@@ -96,17 +96,17 @@ COVERAGE_SQL = f"""concat('<concept>', chr(10), {strip_sql("c.text")}, chr(10),
 
 
 def _coverage(t):
-    first = t("v_concept").where("ord = 0").select("question_id", F.col("text").alias("concept_text"))
+    every = t("v_concept").select("question_id", "ord", F.col("text").alias("concept_text"))
     a = t("v_answer").select("answer_id", "question_id", F.col("text").alias("evidence"))
-    return prompts.with_prompt(a.join(first, "question_id"), "coverage")
+    return prompts.with_prompt(a.join(every, "question_id"), "coverage")
 
 
 @query(
     "coverage_prompts",
-    f"SELECT a.answer_id, {COVERAGE_SQL} AS prompt FROM v_answer a JOIN v_concept c ON c.question_id = a.question_id AND c.ord = 0",
+    f"SELECT a.answer_id, c.ord, {COVERAGE_SQL} AS prompt FROM v_answer a JOIN v_concept c ON c.question_id = a.question_id",
 )
 def _(t):
-    return _coverage(t).select("answer_id", "prompt")
+    return _coverage(t).select("answer_id", "ord", "prompt")
 
 
 @query(
@@ -136,13 +136,13 @@ def _(t):
 
 @query(
     "call_text_model",
-    f"""SELECT a.answer_id, {verdict_sql(words_sql("c.text"), words_sql("a.text"))} AS verdict, 1::BIGINT AS attempts
+    f"""SELECT a.answer_id, c.ord, {verdict_sql(words_sql("c.text"), words_sql("a.text"))} AS verdict, 1::BIGINT AS attempts
         FROM (SELECT answer_id, question_id, coalesce(nullif({strip_sql("text")}, ''), '(nothing relevant was retrieved from the answer)') AS text
-              FROM v_answer) a JOIN v_concept c ON c.question_id = a.question_id AND c.ord = 0""",
+              FROM v_answer) a JOIN v_concept c ON c.question_id = a.question_id""",
 )
 def _(t):
-    called = calls.call_text(_coverage(t).select("answer_id", "prompt"), "prompt", offline.keyword_model)
-    return replies.extract_verdict(called).select("answer_id", "verdict", "attempts")
+    called = calls.call_text(_coverage(t).select("answer_id", "ord", "prompt"), "prompt", offline.keyword_model)
+    return replies.extract_verdict(called).select("answer_id", "ord", "verdict", "attempts")
 
 
 def _stubborn():
