@@ -82,6 +82,7 @@ OVERLOAD_PATTERN = r"rate limit|ratelimit|429|503|overloaded|timeout|connection"
 EMPTY_EXCERPT = "(nothing relevant was retrieved from the answer)"
 
 
+# --- fixed values: cut-offs and weights ---
 @dataclass(frozen=True)
 class Thresholds:
     """Cut-offs and weights; pass a changed copy to a job to calibrate it."""

@@ -10,7 +10,6 @@ import ast
 import json
 import re
 import time
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -133,30 +132,6 @@ def call_embed(df: DataFrame, text_col: str, make_model: Callable[[], Callable[[
     return keyed.join(vectors, "_h", "left").drop("_h")
 
 
-def paced(make_model: Callable, per_minute: int, partitions: int, clock=time.monotonic, sleep=time.sleep) -> Callable:
-    """Model factory that holds each partition to its share of an account's calls per minute.
-
-    No trailing minute of a partition sees more than per_minute / partitions calls (one at least); run it over a table
-    repartitioned to `partitions`, so that the account's quota holds whatever the number of executors.
-    """
-    share = max(per_minute // partitions, 1)
-
-    def make():
-        model, recent = make_model(), deque(maxlen=share)
-
-        def call(*args):
-            if len(recent) == share:
-                wait = recent[0] + 60 - clock()
-                if wait > 0:
-                    sleep(wait)
-            recent.append(clock())
-            return model(*args)
-
-        return call
-
-    return make
-
-
 def call_stats(calls: DataFrame, by: str) -> DataFrame:
     """Calls, repeats, failures and latency per provider."""
     return calls.groupBy(by).agg(

@@ -42,17 +42,15 @@ PAGE_PROMPT = (
 
 
 def feedback_prompts(scores: DataFrame, by: list[str]) -> DataFrame:
-    """One prompt per answer listing its concepts with their status, in rubric order."""
-    lines = scores.groupBy(*by).agg(
-        F.expr("listagg(concat('- ', concept_text, ' [', status, ']'), '\n') WITHIN GROUP (ORDER BY ord)").alias("_lines")
+    """One prompt per answer: a line for each concept with its status before it, in rubric order."""
+    line = "concat('(', lower(status), ') ', concept_text)"
+    graded = scores.groupBy(*by).agg(F.expr(f"listagg({line}, '\n') WITHIN GROUP (ORDER BY ord)").alias("_lines"))
+    task = (
+        "\n\nTell them what went well, what is lacking and what to read again. Answer as JSON: "
+        '{"strengths": "...", "gaps": "...", "suggestions": "..."}'
     )
-    return lines.select(
-        *by,
-        F.concat(
-            F.lit("Concept coverage for this answer:\n"), F.col("_lines"),
-            F.lit('\n\nWrite to the student. Answer as JSON: {"strengths": "...", "gaps": "...", "suggestions": "..."}'),
-        ).alias("prompt"),
-    )
+    head = "A student's answer was graded fact by fact.\n\n"
+    return graded.select(*by, F.concat(F.lit(head), F.col("_lines"), F.lit(task)).alias("prompt"))
 
 
 def with_prompt(df: DataFrame, kind: str) -> DataFrame:

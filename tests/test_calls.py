@@ -6,22 +6,6 @@ from rubrica.operators.audit import diff_words
 from rubrica.plans.index import index_questions
 
 
-def test_pacing_holds_every_trailing_minute():
-    now, made = [0.0], []
-
-    def sleep(s):
-        now[0] += s
-
-    def model():
-        return lambda x: made.append(now[0]) or "ok"
-
-    call = calls.paced(model, 12, 4, clock=lambda: now[0], sleep=sleep)()
-    for i in range(20):
-        now[0] += i % 3
-        call(i)
-    assert len(made) == 20
-    assert all(sum(1 for b in made if a - 60 < b <= a) <= 3 for a in made)
-
 
 def test_repair_counts_attempts_and_keeps_neighbours(spark):
     def model():
@@ -62,8 +46,8 @@ def test_index_with_a_model_that_never_answers(spark):
     concepts, rejects = index_questions(new, old, lambda: lambda p: "sorry", None)
     assert concepts.count() == 0
     assert rejects.count() == 2
-    concepts, rejects = index_questions(new, old, offline.keyword_model, None)
-    assert concepts.count() == 3 and rejects.count() == 0
+    concepts, rejects = index_questions(new, old, offline.drawing_model, None)
+    assert concepts.count() == 4 and rejects.count() == 0
 
 
 def test_word_diff():

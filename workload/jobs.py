@@ -180,9 +180,13 @@ def _(t):
     return _index(t)
 
 
-@query("index_with_models", INDEXED)
+ENDS = f"""SELECT question_id, 0 AS ord, {strip_sql("left(a, 20)")} AS text, 0.25::DOUBLE AS weight FROM (SELECT question_id, {strip_sql("model_answer")} AS a FROM v_question)
+  UNION ALL SELECT question_id, 1, {strip_sql("right(a, 20)")}, 0.75::DOUBLE FROM (SELECT question_id, {strip_sql("model_answer")} AS a FROM v_question)"""
+
+
+@query("index_with_models", INDEXED.replace("FROM v_concept WHERE", f"FROM (SELECT question_id, ord::BIGINT AS ord, text, weight FROM ({ENDS})) WHERE"))
 def _(t):
-    return _index(t, offline.keyword_model, offline.hash_model(DIM))
+    return _index(t, offline.drawing_model, offline.hash_model(DIM))
 
 
 @query(

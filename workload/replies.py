@@ -124,9 +124,9 @@ def _(t):
 
 @query(
     "feedback_prompts",
-    """SELECT sheet_id, concat('Concept coverage for this answer:', chr(10), string_agg(concat('- ', concept_text, ' [', status, ']'), chr(10)
-         ORDER BY concept_text, status), chr(10), chr(10),
-         'Write to the student. Answer as JSON: {"strengths": "...", "gaps": "...", "suggestions": "..."}') AS prompt
+    """SELECT sheet_id, concat('A student''s answer was graded fact by fact.', chr(10), chr(10), string_agg(concat('(', lower(status), ') ', concept_text), chr(10)
+         ORDER BY concept_text, status), chr(10), chr(10), 'Tell them what went well, what is lacking and what to read again. Answer as JSON: ',
+         '{"strengths": "...", "gaps": "...", "suggestions": "..."}') AS prompt
        FROM v_concept_score GROUP BY sheet_id""",
 )
 def _(t):
@@ -136,12 +136,11 @@ def _(t):
 
 @query(
     "call_text_model",
-    f"""SELECT a.answer_id, c.ord, {verdict_sql(words_sql("c.text"), words_sql("a.text"))} AS verdict, 1::BIGINT AS attempts
-        FROM (SELECT answer_id, question_id, coalesce(nullif({strip_sql("text")}, ''), '(nothing relevant was retrieved from the answer)') AS text
-              FROM v_answer) a JOIN v_concept c ON c.question_id = a.question_id""",
+    f"""SELECT answer_id, ord, {offline.drawn_sql("prompt")} AS verdict, 1::BIGINT AS attempts FROM (
+          SELECT a.answer_id, c.ord, {COVERAGE_SQL} AS prompt FROM v_answer a JOIN v_concept c ON c.question_id = a.question_id)""",
 )
 def _(t):
-    called = calls.call_text(_coverage(t).select("answer_id", "ord", "prompt"), "prompt", offline.keyword_model)
+    called = calls.call_text(_coverage(t).select("answer_id", "ord", "prompt"), "prompt", offline.drawing_model)
     return replies.extract_verdict(called).select("answer_id", "ord", "verdict", "attempts")
 
 
@@ -200,10 +199,9 @@ def _(t):
     "SELECT conv_id, turn, length(text)::VARCHAR AS reply FROM conversations",
 )
 def _(t):
-    parts = 4
-    rows = t("conversations").select("conv_id", "turn", "text").repartition(parts)
-    model = calls.paced(lambda: lambda prompt: str(len(prompt)), 100_000_000, parts)
-    return calls.call_text(rows, "text", model).select("conv_id", "turn", "reply")
+    """Calls over a table dealt to a few partitions, which bounds how many run at a time; a client keeps its own pace."""
+    rows = t("conversations").select("conv_id", "turn", "text").repartition(4)
+    return calls.call_text(rows, "text", lambda: lambda prompt: str(len(prompt))).select("conv_id", "turn", "reply")
 
 
 @query(

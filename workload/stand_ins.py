@@ -1,52 +1,52 @@
-"""Canned replies in place of models, for queries and tests. They prove the mechanics, not the grading."""
+"""Replies of a rule of our own in place of models, for queries and tests. They prove the mechanics, not the grading.
+
+The text model reads nothing into a prompt: a verdict is drawn from the prompt's MD5, and the concepts of a model answer are
+its two ends.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
-import re
 
 import numpy as np
 
-from rubrica.config import DEFAULTS, STOP_WORDS
-
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-#: Verdict by the least share of a concept's words that the excerpt holds.
-VERDICTS = ((0.5, "COVERED"), (0.2, "PARTIAL"), (0.0, "MISSING"))
-
-
-def _fields(prompt: str) -> dict[str, str]:
-    """Texts of a prompt by their tag."""
-    return {tag: text.strip() for tag, text in re.findall(r"<(\w+)>(.*?)</\1>", prompt, re.DOTALL)}
+OPENING, CLOSING = "<model_answer>\n", "\n</model_answer>"
+#: Drawn by the first hexadecimal digit of a prompt's MD5.
+DRAWN = ("MISSING", "COVERED", "PARTIAL")
+END_CHARS = 20
 
 
-def _concepts(fields: dict[str, str]) -> dict:
-    parts = [p for p in map(str.strip, SENTENCE_END.split(fields["model_answer"])) if p][: DEFAULTS.concept_cap]
-    parts = parts or [fields["model_answer"]]
-    return {"concepts": [{"text": p, "weight": round(1 / len(parts), 6)} for p in parts]}
+def two_ends(answer: str) -> dict:
+    """The first and the last END_CHARS characters, one weighing a quarter, the other the rest."""
+    ends = ((answer[:END_CHARS], 0.25), (answer[-END_CHARS:], 0.75))
+    return {"concepts": [{"text": t, "weight": w} for t, w in ends]}
 
 
-def _verdict(fields: dict[str, str]) -> dict:
-    concept, excerpt = (set(re.findall("[a-z]+", fields[k].lower())).difference(STOP_WORDS) for k in ("concept", "excerpt"))
-    share = len(concept & excerpt) / max(1, len(concept))
-    return {"verdict": next(v for least, v in VERDICTS if share >= least)}
+def drawn_verdict(prompt: str) -> dict:
+    return {"verdict": DRAWN[int(hashlib.md5(prompt.encode()).hexdigest()[0], 16) % len(DRAWN)]}
 
 
-REPLIES = (({"model_answer"}, _concepts), ({"concept", "excerpt"}, _verdict))
-
-
-def keyword_model():
-    """Text model: the reply is the first in REPLIES whose tags the prompt has."""
+def drawing_model():
+    """Text model for prompts of concepts and of coverage."""
 
     def reply(prompt: str) -> str:
-        fields = _fields(prompt)
-        return json.dumps(next((make(fields) for tags, make in REPLIES if tags <= fields.keys()), {}))
+        at = prompt.find(OPENING)
+        if at < 0:
+            return json.dumps(drawn_verdict(prompt))
+        return json.dumps(two_ends(prompt[at + len(OPENING) : prompt.rindex(CLOSING)]))
 
     return reply
 
 
+#: The draw in DuckDB.
+def drawn_sql(prompt: str) -> str:
+    names = ", ".join(f"'{v}'" for v in DRAWN)
+    return f"[{names}][1 + ('0x' || md5({prompt})[1])::INTEGER % {len(DRAWN)}]"
+
+
 def hash_model(dim: int = 16):
     """Embedding model with the same vectors as the `hash_embed` column expression."""
-    import hashlib
 
     def vector(text: str) -> list[float]:
         digests = b"".join(hashlib.sha256(f"{text.strip().lower()}#{b}".encode()).digest() for b in range(-(-dim // 16)))
