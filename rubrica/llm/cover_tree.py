@@ -1,21 +1,25 @@
 """Exact top-k by inner product with dual-tree search over cover trees, in blocks.
 
 Vectors become integers, floor(scale * x). They are dealt to cells around pivots (a documented sample of at most `pivots`
-vectors) and each cell is cut into blocks of about `block_rows` by a hash of the id, so that a cell or a value that is very
-common is many blocks. In each block a cover tree is built over the distinct vectors; rows with equal vectors hang on one
-point, smallest ids first. Queries are blocked and indexed alike.
-
-Every pair of a query block and a data block is one row, met by an equi-join on the query block: the query set against all
-rows, in blocks. A pair is searched by descending both trees together. A pair of nodes is dropped when the bound
+vectors, as many as there are blocks) and each cell is cut into blocks of about `block_rows` by a hash, so that a cell or a
+value that is very common is many blocks. In each block a cover tree is built over the distinct vectors; rows with equal
+vectors hang on one point, smallest ids first. Queries are blocked and indexed alike.
+
+A first round searches every query block against a block of its own cell, which gives each query a score that k candidates
+reach: its floor. Then query blocks and data blocks are dealt to a grid, so that each pair meets in one cell and a cell holds
+at most SIDE of either; this is the query set against all rows, in blocks. In a cell each query block takes the data blocks
+in order of their bound and leaves those whose bound is below the floor of all its queries. A pair of blocks is searched by
+descending both trees together: a pair of nodes is dropped when the bound
 <q,p> <= <cq,cp> + rq*|cp| + rp*|cq| + rq*rp, with centres c and covering radii r, is below the worst k-th score among the
-node's queries. That score starts from a first round in which every query block is searched against the blocks of its own
-cell, so a whole block is usually dropped at its root. Scores are integers below 2^53, exact in doubles.
+node's queries. Scores are integers below 2^53, exact in doubles.
 
-At most k rows of a query leave a pair, and their ranks are limited before and after the shuffle by query.
+At most k rows of a query leave a cell, and their ranks are limited before and after the shuffle by query.
 
-Vectors that are null or hold null or non-finite components take no part; repeated ids are rows of their own, and a query
-does not meet rows of its own id. Vectors of different lengths are compared with their own length only. Ties go to the
-smaller id. Fewer than k candidates give fewer rows; an empty table gives none.
+Vectors that are null or hold null or non-finite components take no part. Every row is a candidate of every query but of
+itself: rows that repeat an id, also with the same vector, are rows of their own, and a repeated query id gives an answer per
+row. Vectors of different lengths are compared with their own length only. Ties go to the smaller id. Fewer than k
+candidates give fewer rows; an empty table gives none. Null ids are ids like others that come last among ties. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rubrica.llm.common import pick
 from rubrica.session import cut_lineage
 
-LEAF = 48  # distinct vectors in a leaf
+LEAF = 192  # distinct vectors in a leaf
+SIDE = 16  # blocks of queries, and of data, in a cell of the grid
+NO_ID = np.iinfo(np.int64).max
 
 
 class Tree:
@@ -40,8 +46,10 @@ class Tree:
     child's centre, and centres are further apart than that. The first child keeps the node's own centre.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray | None = None):
+        """`numbers` tell rows apart (by default their ids do)."""
+        numbers = ids if numbers is None else numbers
+        order = np.lexsort((numbers, ids))
         points, inverse = np.unique(vectors[order], axis=0, return_inverse=True)
         inverse = inverse.reshape(-1)
         self.perm = np.arange(len(points))
@@ -83,7 +91,7 @@ class Tree:
         self.norm = np.sqrt((self.points**2).sum(axis=1))
         # rows of each point, ids ascending
         rows = np.argsort(inverse, kind="stable")
-        self.ids = ids[order][rows]
+        self.ids, self.numbers = ids[order][rows], numbers[order][rows]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(points)))]).astype(np.int64)
 
 
@@ -96,49 +104,63 @@ def bound(q: Tree, d: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query point's rows; `worst` is the score a newcomer must reach."""
+    """The k best (score, id) of each query row; `worst` is the score a newcomer must reach."""
 
     def __init__(self, q: Tree, k: int, floor: np.ndarray):
         self.q, self.k, self.floor = q, k, floor
-        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in q.ids]
+        self.scores = np.full((len(q.ids), k), -np.inf)
+        self.ids = np.full((len(q.ids), k), NO_ID)
+        self.numbers = np.full((len(q.ids), k), -1, dtype=np.int64)
         self.worst = floor.copy()
 
-    def offer(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        good = (scores >= self.worst[row]) & (ids != self.q.ids[row])
-        if not good.any():
+    def offer(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> None:
+        """Candidates (columns) for the query rows `at`, all merged in one sort; a row is no candidate of its own."""
+        r, c = np.nonzero((scores >= self.worst[at][:, None]) & (numbers[None, :] != self.q.numbers[at][:, None]))
+        if not len(r):
             return
-        s, i = np.concatenate([self.held[row][0], scores[good]]), np.concatenate([self.held[row][1], ids[good]])
-        keep = np.lexsort((i, -s))[: self.k]
-        self.held[row] = (s[keep], i[keep])
-        if len(keep) == self.k:
-            self.worst[row] = max(self.floor[row], s[keep[-1]])
-
-
-def search(q: Tree, d: Tree, k: int, floor: np.ndarray) -> Best:
-    """Dual-tree descent. `floor`: per query row, a score already known to be reached by k candidates (-inf if none)."""
-    best = Best(q, k, floor)
+        rows = np.unique(r)
+        mine = at[rows]
+        r = np.concatenate([np.repeat(rows, self.k), r])
+        s = np.concatenate([self.scores[mine].reshape(-1), scores[r[len(mine) * self.k :], c]])
+        i, n = np.concatenate([self.ids[mine].reshape(-1), ids[c]]), np.concatenate([self.numbers[mine].reshape(-1), numbers[c]])
+        order = np.lexsort((n, i, -s, r))
+        r = r[order]
+        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        keep = order[(starts[:, None] + np.arange(self.k)).reshape(-1)]  # every row holds k entries already
+        for held, new in ((self.scores, s), (self.ids, i), (self.numbers, n)):
+            held[mine] = new[keep].reshape(-1, self.k)
+        self.worst[mine] = np.maximum(self.floor[mine], self.scores[mine, -1])
+
+
+def search(q: Tree, d: Tree, k: int, floor: np.ndarray, best: Best | None = None) -> Best:
+    """Dual-tree descent. `floor`: per query row, a score already known to be reached by k candidates (-inf if none);
+    `best` goes on with what earlier blocks gave."""
+    best = best or Best(q, k, floor)
     if not len(q.centre) or not len(d.centre):
         return best
     # rows of query points in tree order, so that a node's rows are one slice
-    starts = q.first[q.perm], q.first[q.perm + 1]
-    tree_rows = np.concatenate([np.arange(s, e) for s, e in zip(*starts, strict=True)]) if len(q.perm) else np.zeros(0, dtype=np.int64)
-    offset = np.concatenate([[0], np.cumsum(starts[1] - starts[0])])
-    rows_of = lambda node: tree_rows[offset[q.spans[node, 0]] : offset[q.spans[node, 1]]]
-    stack = [(0, 0)]
+    starts, ends = q.first[q.perm], q.first[q.perm + 1]
+    tree_rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)])
+    point = np.repeat(q.perm, ends - starts)
+    offset = np.concatenate([[0], np.cumsum(ends - starts)])
+    of = lambda node: slice(offset[q.spans[node, 0]], offset[q.spans[node, 1]])
+    stack = [(0, 0, float(bound(q, d, np.array([0]), np.array([0]))[0]))]
     while stack:
-        a, b = stack.pop()
-        if bound(q, d, np.array([a]), np.array([b]))[0] < best.worst[rows_of(a)].min():
+        a, b, reach = stack.pop()
+        mine = tree_rows[of(a)]
+        if reach < best.worst[mine].min():
             continue
         leaf_a, leaf_b = q.kids[a, 0] == q.kids[a, 1], d.kids[b, 0] == d.kids[b, 1]
         if leaf_a and leaf_b:
-            mine, theirs = q.perm[q.spans[a, 0] : q.spans[a, 1]], d.perm[d.spans[b, 0] : d.spans[b, 1]]
-            scores = q.points[mine] @ d.points[theirs].T
+            theirs = d.perm[d.spans[b, 0] : d.spans[b, 1]]
+            scores = q.points[point[of(a)]] @ d.points[theirs].T
             n = np.minimum(d.first[theirs + 1] - d.first[theirs], k + 1)  # of equal vectors the k + 1 smallest ids can matter
-            ids = np.concatenate([d.ids[s : s + m] for s, m in zip(d.first[theirs], n, strict=True)])
-            for x, row_scores in zip(mine, scores, strict=True):
-                spread = np.repeat(row_scores, n)
-                for row in range(q.first[x], q.first[x + 1]):
-                    best.offer(row, spread, ids)
+            if (n > 1).any():
+                rows = np.concatenate([np.arange(s, s + m) for s, m in zip(d.first[theirs], n, strict=True)])
+                scores = np.repeat(scores, n, axis=1)
+            else:
+                rows = d.first[theirs]
+            best.offer(mine, scores, d.ids[rows], d.numbers[rows])
             continue
         # split the wider node; the most promising child is searched first
         if leaf_b or (not leaf_a and q.radius[a] > d.radius[b]):
@@ -146,17 +168,31 @@ def search(q: Tree, d: Tree, k: int, floor: np.ndarray) -> Best:
         else:
             pairs = [(a, x) for x in range(*d.kids[b])]
         reach = bound(q, d, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
-        stack += [pairs[i] for i in np.argsort(reach, kind="stable")]
+        stack += [(*pairs[i], float(reach[i])) for i in np.argsort(reach, kind="stable")]
     return best
 
 
+def search_blocks(queries: list[tuple[Tree, np.ndarray]], data: list[Tree], k: int) -> Iterator[Best]:
+    """Each query block (tree, floors) against all data blocks, those of the highest bound first."""
+    zero = np.zeros(1, dtype=np.int64)
+    for q, floor in queries:
+        best = Best(q, k, floor)
+        reach = np.array([bound(q, d, zero, zero)[0] for d in data])
+        for i in np.argsort(-reach, kind="stable"):
+            if reach[i] < best.worst.min():
+                break
+            search(q, data[i], k, floor, best)
+        yield best
+
+
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(id, v): vectors as arrays of integers in doubles; rows that take no part are left out."""
+    """(id, number, v): vectors as arrays of integers in doubles, each row with a number; rows that take no part are left out."""
     d = pick(vectors, id="vec_id", e="embedding").withColumn("e", F.col("e").cast("array<double>"))
     usable = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("e") > 0)
     return d.filter(F.col("e").isNotNull() & usable).select(
-        F.col("id").cast("long").alias("id"), F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("v")
-    )
+        F.col("id").cast("long").alias("id"), F.monotonically_increasing_id().alias("number"),
+        F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("v"),
+    )
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -170,7 +206,7 @@ def celled(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vs = _matrix(batch.column(1))
+            vs = _matrix(batch.column(2))
             sizes = np.array([len(v) for v in vs])
             cell = np.zeros(len(vs), dtype=np.int64)
             for n in np.unique(sizes):
@@ -179,50 +215,53 @@ def celled(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 if p is not None:
                     m = np.stack([vs[i] for i in at])
                     cell[at] = ((p**2).sum(axis=1)[None, :] - 2 * m @ p.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(sizes)], names=["id", "v", "cell", "dim"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(sizes)], names=["id", "number", "v", "cell", "dim"])
 
-    return rows.mapInArrow(run, "id bigint, v array<double>, cell bigint, dim bigint")
+    return rows.mapInArrow(run, "id bigint, number bigint, v array<double>, cell bigint, dim bigint")
 
 
-def indexed(rows: DataFrame, block_rows: int) -> DataFrame:
-    """(dim, cell, part, tree): one cover tree per block of about `block_rows` rows of a cell."""
-    sizes = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"))
-    parts = rows.join(sizes, ["dim", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block_rows)).cast("long"))
-    )
+def parted(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Adds `part`: a block of about `block_rows` rows of a cell, by a hash of the row."""
+    sizes = rows.groupBy(F.col("dim").alias("_d"), F.col("cell").alias("_c")).agg(F.count("*").alias("n"))
+    met = rows.join(F.broadcast(sizes), (rows["dim"] == F.col("_d")) & (rows["cell"] == F.col("_c")))  # a row per pivot at most
+    return met.withColumn("part", F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / F.lit(block_rows)).cast("long"))).drop("n", "_d", "_c")
+
+
+def indexed(rows: DataFrame) -> DataFrame:
+    """(dim, cell, part, tree): one cover tree per block."""
 
     def build(key, table):
         v = np.stack(_matrix(table.column("v").combine_chunks()))
-        tree = Tree(v, table.column("id").to_numpy())
+        ids = table.column("id").fill_null(NO_ID - 1).to_numpy()
+        tree = Tree(v, ids, table.column("number").to_numpy())
         d, c, p = (x.as_py() for x in key)
         return pa.table({"dim": [d], "cell": [c], "part": [p], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
-    return parts.select("dim", "cell", "part", "id", "v").groupBy("dim", "cell", "part").applyInArrow(
+    return rows.select("dim", "cell", "part", "id", "number", "v").groupBy("dim", "cell", "part").applyInArrow(
         build, "dim bigint, cell bigint, part bigint, tree binary"
     )
 
 
-def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each pair's searches; `floors` maps query rows to scores already reached."""
+FOUND = "number bigint, query_id bigint, vec_id bigint, score bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_raw, d_raw, floors in zip(*(batch.column(i) for i in range(3)), strict=True):
-                q, d = pickle.loads(q_raw.as_py()), pickle.loads(d_raw.as_py())
-                known = dict(floors.as_py() or [])
-                floor = np.array([known.get(i, -np.inf) for i in q.ids.tolist()], dtype=np.float64)
-                best = search(q, d, k, floor)
-                n = [len(s) for s, _ in best.held]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(q.ids, n)),
-                        pa.array(np.concatenate([i for _, i in best.held]).astype(np.int64) if n else np.zeros(0, np.int64)),
-                        pa.array(np.concatenate([s for s, _ in best.held]).astype(np.int64) if n else np.zeros(0, np.int64)),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    return pairs.select("q_tree", "d_tree", "floors").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+def _found(best: Best) -> pa.Table:
+    row, place = np.nonzero(best.scores > -np.inf)
+    ids = lambda x: pa.array(x, mask=x == NO_ID - 1)
+    return pa.table(
+        {
+            "number": best.q.numbers[row],
+            "query_id": ids(best.q.ids[row]),
+            "vec_id": ids(best.ids[row, place]),
+            "score": best.scores[row, place].astype(np.int64),
+        }
+    )
+
+
+def _floored(tree: bytes, floors: list) -> tuple[Tree, np.ndarray]:
+    q = pickle.loads(tree)
+    known = dict(floors or [])
+    return q, np.array([known.get(i, -np.inf) for i in q.numbers.tolist()], dtype=np.float64)
 
 
 def top_k(
@@ -234,47 +273,56 @@ def top_k(
     block_rows: int = 4096,
     query_rows: int = 512,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest integer inner products with all other rows.
+    """(query_id, rank, vec_id, score): each query row's k highest integer inner products with all other rows.
 
     `is_query` is a condition on `id`. At most `pivots` rows, those with the smallest hashes, are sampled to lay out cells;
-    every row is indexed and searched. Rows that repeat a query's id ask the same question once.
+    every row is indexed and searched.
     """
     rows = cut_lineage(quantised(vectors, scale))
-    sample = rows.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(pivots).collect()
+    n_pivots = max(1, min(pivots, rows.count() // block_rows))
+    sample = rows.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id", "number").limit(n_pivots).collect()
     dims: dict[int, list] = {}
     for r in sample:
         dims.setdefault(len(r["v"]), []).append(r["v"])
-    placed = celled(rows, {n: np.unique(np.array(v), axis=0) for n, v in dims.items()})
-    trees = cut_lineage(indexed(placed, block_rows))
-    asked = placed.filter(is_query).dropDuplicates(["id", "v"])
-    queries = cut_lineage(indexed(asked, query_rows))
+    placed = cut_lineage(celled(rows, {n: np.unique(np.array(v), axis=0) for n, v in dims.items()}))
+    asked = cut_lineage(parted(placed.filter(is_query), query_rows))
+    trees = cut_lineage(indexed(parted(placed, block_rows)))
+    queries = cut_lineage(indexed(asked))
     data = trees.select("dim", F.col("cell").alias("d_cell"), F.col("part").alias("d_part"), F.col("tree").alias("d_tree"))
     q = queries.select("dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("tree").alias("q_tree"))
-    none = F.lit(None).cast("array<struct<id:bigint,floor:double>>")
+    per_query = Window.partitionBy("number").orderBy(F.col("score").desc(), F.asc_nulls_last("vec_id"))
 
     # round 1: the first block of the query's own cell gives every query k candidates to beat
-    home = q.join(data.filter("d_part = 0"), (q["dim"] == data["dim"]) & (q["q_cell"] == data["d_cell"])).select(
-        "q_tree", "d_tree", none.alias("floors")
-    )
-    per_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    first = _searched(home, k).withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") == k)
-    floors = first.select("query_id", F.col("score").cast("double").alias("floor"))
-
-    # each query block's floors travel with it
-    members = asked.join(asked.groupBy("dim", "cell").agg(F.count("*").alias("n")), ["dim", "cell"]).select(
-        "id", "dim", F.col("cell").alias("q_cell"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(query_rows)).cast("long")).alias("q_part")
-    )
-    known = members.join(floors, members["id"] == floors["query_id"]).groupBy("dim", "q_cell", "q_part").agg(
-        F.collect_list(F.struct("id", "floor")).alias("floors")
-    )
-    q = q.join(known, ["dim", "q_cell", "q_part"], "left")
-    # round 2: query blocks against all blocks of their length, dealt to the cells of a grid so that no key holds many pairs;
-    # its sides balance what is copied, as there are about a hundredth as many query blocks
-    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = max(1, round((cells / 100) ** 0.5))
-    down = -(-cells // across)
-    data = data.select("*", F.pmod(F.xxhash64("d_cell", "d_part"), F.lit(down)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"))
-    q = q.select("*", F.pmod(F.xxhash64("q_cell", "q_part"), F.lit(across)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"))
-    found = _searched(data.join(q, ["dim", "i", "j"]), k)
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_raw, d_raw in zip(batch.column(0), batch.column(1), strict=True):
+                for best in search_blocks([_floored(q_raw.as_py(), [])], [pickle.loads(d_raw.as_py())], k):
+                    yield from _found(best).cast(schema).to_batches()
+
+    schema = pa.schema([("number", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    near = q.join(data.filter("d_part = 0"), (q["dim"] == data["dim"]) & (q["q_cell"] == data["d_cell"])).select("q_tree", "d_tree")
+    first = near.mapInArrow(home, FOUND).withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") == k)
+    floors = first.select(F.col("number").alias("_n"), F.col("score").cast("double").alias("floor"))
+    # a query block's floors travel with it: at most about `query_rows` of them
+    known = asked.select("number", "dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part")).join(floors, F.col("number") == F.col("_n"))
+    known = known.groupBy("dim", "q_cell", "q_part").agg(F.collect_list(F.struct("number", "floor")).alias("floors"))
+    q = cut_lineage(q.join(known, ["dim", "q_cell", "q_part"], "left"))
+
+    # round 2: query blocks against all blocks of their length, on a grid
+    across, down = -(-q.count() // SIDE), -(-trees.count() // SIDE)
+    lot = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(max(1, n)))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    data = data.select("dim", "d_tree", lot(down, "d_cell", "d_part").alias("i"), copies(across).alias("j"))
+    q = q.select("dim", "q_tree", "floors", lot(across, "q_cell", "q_part").alias("j"), copies(down).alias("i"))
+
+    def cell(left, right):
+        held = [pickle.loads(t) for t in right.column("d_tree").to_pylist()]
+        asked_ = (_floored(t, [(x['number'], x['floor']) for x in f or []]) for t, f in zip(left.column("q_tree").to_pylist(), left.column("floors").to_pylist(), strict=True))
+        found = [_found(best).cast(schema) for best in search_blocks(asked_, held, k)] if held else []
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    kinds = F.col("floors").cast("array<struct<number:bigint,floor:double>>")
+    left, right = q.withColumn("floors", kinds).groupBy("dim", "i", "j"), data.groupBy("dim", "i", "j")
+    found = left.cogroup(right).applyInArrow(cell, FOUND)
     ranked = found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

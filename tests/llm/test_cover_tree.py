@@ -16,11 +16,18 @@ def table(llm):
 def brute(data, queries, k):
     usable = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float))) for i, v in data if v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in usable:
+    for me, (i, q) in enumerate(usable):
         if i in queries:
-            found = sorted((-int(q @ v), j) for j, v in usable if j != i and len(v) == len(q))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
-    return sorted(set(out))
+            found = sorted((-int(q @ v), j is None, j or 0) for at, (j, v) in enumerate(usable) if at != me and len(v) == len(q))[:k]
+            out += [(i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(found)]
+    return sorted(out, key=str)
+
+
+def test_repeated_ids_are_rows_of_their_own(table):
+    rng = np.random.default_rng(4)
+    data = [(i % 60, rng.integers(-3, 4, size=4).astype(float).tolist()) for i in range(300)] + [(0, [1.0, 2.0, 3.0, 4.0])] * 3 + [(None, [3.0, 3.0, 3.0, 3.0])]
+    got = rows(cover_tree.top_k(table(data), F.col("id") % 20 == 0, k=6, block_rows=64, query_rows=8, pivots=3))
+    assert sorted(got, key=str) == brute(data, {0, 20, 40}, 6)
 
 
 def test_against_brute_force(table):
@@ -29,7 +36,7 @@ def test_against_brute_force(table):
     data = [(i, (centres[i % 6] + 0.1 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(900)]
     data += [(1000 + i, data[0][1]) for i in range(60)] + [(2000, None), (2001, [float("nan")] * 8), (2002, [None] * 8), (2003, [float("inf")] * 8), (2005, [])]
     got = rows(cover_tree.top_k(table(data), F.col("id") % 50 == 0, k=7, block_rows=128, query_rows=8, pivots=5))
-    assert sorted(got) == brute(data, {i for i, _ in data if i % 50 == 0}, 7)
+    assert sorted(got, key=str) == brute(data, {i for i, _ in data if i % 50 == 0}, 7)
 
 
 def test_few_rows_and_other_lengths(table):
@@ -56,6 +63,6 @@ def test_pruning_drops_nodes(monkeypatch):
     q, d = cover_tree.Tree(np.floor(near * 50), np.arange(500)), cover_tree.Tree(np.floor(np.vstack([near, far]) * 50), np.arange(2500))
     offers = []
     plain = cover_tree.Best.offer
-    monkeypatch.setattr(cover_tree.Best, "offer", lambda self, r, s, i: (offers.append(len(s)), plain(self, r, s, i))[1])
+    monkeypatch.setattr(cover_tree.Best, "offer", lambda self, r, s, i, n: (offers.append(s.size), plain(self, r, s, i, n))[1])
     cover_tree.search(q, d, 3, np.full(500, -np.inf))
     assert sum(offers) < 500 * 2500 * 0.6
