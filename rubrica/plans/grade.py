@@ -11,7 +11,8 @@ from rubrica.operators import pages
 from rubrica.operators.results import sheet_confidence
 from rubrica.plans.score import concept_scores, evaluation_runs, prepared, question_results
 from rubrica.session import cut_lineage
-from rubrica.sources.sinks import PER_BUCKET, write_results
+from rubrica.sources import versions
+from rubrica.sources.sinks import PER_BUCKET, bucket_of
 
 
 @dataclass(frozen=True)
@@ -82,8 +83,20 @@ def grade_sheets(
     return Graded(blocks, marks, scores, runs, evaluations, graded)
 
 
-def write_graded(graded: Graded, path: str, per_bucket: int = PER_BUCKET) -> None:
-    """Store a run; sheets graded before are replaced whole."""
-    regraded = graded.sheets.select("exam_id", "sheet_id")
-    for name in TABLES:
-        write_results(getattr(graded, name), f"{path}/{name}", regraded, per_bucket)
+def write_graded(graded: Graded, path: str, per_bucket: int = PER_BUCKET, batch: tuple[str, int] | None = None) -> int:
+    """Store a run; sheets graded before are replaced whole, in all tables at once. Returns the version.
+
+    `batch` names the writer and its batch: a batch that is repeated changes nothing.
+    """
+    bucket = bucket_of("sheet_id", per_bucket)
+    regraded = graded.sheets.select("exam_id", "sheet_id").withColumn("sheet_bucket", bucket)
+    changes = {
+        name: versions.Change(getattr(graded, name).withColumn("sheet_bucket", bucket), "sheet_id", ("exam_id", "sheet_bucket"), regraded)
+        for name in TABLES
+    }
+    return versions.commit(graded.sheets.sparkSession, path, changes, batch)
+
+
+def read_graded(spark, path: str, table: str, version: int | None = None) -> DataFrame:
+    """A stored result table as of a version, the newest by default."""
+    return versions.read(spark, path, table, version).drop("sheet_bucket")

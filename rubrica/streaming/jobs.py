@@ -34,27 +34,26 @@ def run_available(stream: DataFrame, mode: str = "append", out: str | None = Non
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def for_each(stream: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str):
-    """Start a stream that hands each micro-batch to `handle`; ends when the input there is has been read."""
-    query = (
-        stream.writeStream.foreachBatch(lambda batch, _: handle(batch))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def for_each(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a stream that hands each micro-batch and its number to `handle`; ends when the input there is has been read."""
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def grade_stream(
     source: DataFrame, sheets: DataFrame, questions: DataFrame, concepts: DataFrame, path: str, checkpoint: str, embed=None,
-    per_bucket: int = PER_BUCKET,
+    per_bucket: int = PER_BUCKET, writer: str = "grade_stream",
 ) -> None:
-    """Grade page replies as they arrive. A batch that is repeated, or a sheet that is sent again, replaces its rows."""
+    """Grade page replies as they arrive. A sheet that is sent again replaces its rows in all tables at once.
 
-    def grade(batch: DataFrame) -> None:
+    A batch is committed under `writer` and its number, so one that Spark repeats after a failure changes nothing. A stream
+    that starts over with a new checkpoint numbers its batches anew and needs a writer's name of its own.
+    """
+
+    def grade(batch: DataFrame, number: int) -> None:
         batch.persist()
         here = sheets.join(batch.select("sheet_id").distinct(), "sheet_id", "left_semi")
-        write_graded(grade_sheets(batch, here, questions, concepts, embed=embed), path, per_bucket)
+        write_graded(grade_sheets(batch, here, questions, concepts, embed=embed), path, per_bucket, (writer, number))
         batch.unpersist()
 
     for_each(source, grade, checkpoint)
@@ -127,10 +126,7 @@ def reindex_on_change(
         rows = rows.select("question_id", "seq", "model_answer_hash", F.col("reason").cast("string").alias("reason"))
         replace_rows(rows.withColumn("question_bucket", bucket_of("question_id", per_bucket)), marks, "question_id", ["question_bucket"])
 
-    query = (
-        versions.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    for_each(versions, index, checkpoint)
 
 
 def read_table_stream(

@@ -109,7 +109,7 @@ def _(t):
     """Marks as stored: run, write, read back."""
     out = shared_dir(t.spark, "graded")
     grade.write_graded(_graded(t), out)
-    return t.spark.read.parquet(f"{out}/annotations").drop("sheet_bucket")
+    return grade.read_graded(t.spark, out, "annotations")
 
 
 @query(
@@ -147,12 +147,13 @@ def _(t):
     inbox, out = shared_dir(t.spark, "inbox"), shared_dir(t.spark, "graded")
     t("v_page_reply").write.parquet(inbox)
     concepts = cut_lineage(_concepts(t))
-    for _ in range(2):
+    for writer in ("first", "again"):
         source = jobs.read_table_stream(t.spark, inbox, "*.parquet", t("v_page_reply").schema)
         jobs.grade_stream(
-            source, t("v_doc_sheet"), _questions(t), concepts, out, shared_dir(t.spark, "stream-mark"), embedded
+            source, t("v_doc_sheet"), _questions(t), concepts, out, shared_dir(t.spark, "stream-mark"), embedded,
+            writer=writer,
         )
-    sheets = t.spark.read.parquet(f"{out}/sheets")
+    sheets = grade.read_graded(t.spark, out, "sheets")
     return sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band", "status", "error_message")
 
 
