@@ -4,6 +4,7 @@ from rubrica.inference import calls
 from workload import stand_ins as offline
 from rubrica.operators.audit import diff_words
 from rubrica.plans.index import index_questions
+from rubrica.plans.transcribe import transcribe_pages
 
 
 
@@ -57,3 +58,38 @@ def test_word_diff():
     assert diff_words("x", "y") == [("removed", "x"), ("added", "y")]
     assert diff_words("", "new words") == [("added", "new words")]
     assert diff_words("a b a b", "b a") == [("removed", "a"), ("same", "b a"), ("removed", "b")]
+
+
+def test_pages_are_asked_again_and_no_answered_page_twice(spark, tmp_path):
+    schema = "sheet_id bigint, page_index bigint, page_w bigint, page_h bigint, content binary"
+    pages = spark.createDataFrame([(i, 0, 100, 100, str(i).encode()) for i in range(40)], schema)
+    asked = tmp_path / "asked"
+
+    def model():
+        reply = offline.late_model()
+
+        def call(content, prompt):
+            with open(asked, "a") as f:
+                f.write(f"{content.decode()}\n")
+            return reply(content, prompt)
+
+        return call
+
+    run = lambda: {r["sheet_id"]: (r["attempts"], r["error"] is None) for r in transcribe_pages(pages, model, str(tmp_path / "w")).collect()}
+    got = run()
+    assert got == {i: (1, False) if i % 10 == 0 else (min(3, 1 + i % 4), i % 4 < 3) for i in range(40)}
+    calls_made = sorted(map(int, asked.read_text().split()))
+    assert calls_made == sorted(i for i in range(40) for _ in range(got[i][0]))
+    # a job that was cut off in its second attempt asks for that one's pages only
+    assert run() == got and sorted(map(int, asked.read_text().split())) == calls_made
+    for part in ("raw/attempt=2", "judged/attempt=2", "judged/attempt=3", "raw/attempt=3"):
+        (tmp_path / "w" / part / "_SUCCESS").unlink()
+    assert run() == got
+    again = len(asked.read_text().split()) - len(calls_made)
+    assert again == sum(a >= 2 for a, _ in got.values()) + sum(a >= 3 for a, _ in got.values())
+
+
+def test_no_pages(spark, tmp_path):
+    schema = "sheet_id bigint, page_index bigint, page_w bigint, page_h bigint, content binary"
+    out = transcribe_pages(spark.createDataFrame([], schema), offline.late_model, str(tmp_path / "w"))
+    assert out.columns == ["sheet_id", "page_index", "page_w", "page_h", "reply", "error", "attempts"] and out.count() == 0

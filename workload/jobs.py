@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rubrica.functions import vectors
 from workload import stand_ins as offline
 from rubrica.operators import audit, pages
-from rubrica.plans import calibrate, grade, index
+from rubrica.plans import calibrate, grade, index, transcribe
 from rubrica.session import cut_lineage, shared_dir
 from rubrica.sources import sinks, tables, uploads
 from rubrica.streaming import jobs
@@ -157,6 +157,25 @@ def _(t):
     return sheets.select("sheet_id", F.round("confidence", 6).alias("confidence"), "band", "status", "error_message")
 
 
+@query(
+    "transcribe_pages",
+    """SELECT doc_id AS sheet_id, 0::BIGINT AS page_index, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE least(3, 1 + doc_id % 4) END AS attempts,
+         CASE WHEN doc_id % 10 = 0 THEN 'no answer for ' || doc_id WHEN doc_id % 4 = 3 THEN 'it holds no JSON object' END AS error,
+         CASE WHEN doc_id % 10 <> 0 AND doc_id % 4 < 3 THEN doc_id::VARCHAR END AS text FROM documents""",
+)
+def _(t):
+    """Pages whose replies can be used at the first, second or third try, or never; the second run asks for nothing."""
+    path = shared_dir(t.spark, "transcribed")
+    images = t("documents").select(
+        F.col("doc_id").alias("sheet_id"), F.lit(0).cast("long").alias("page_index"), F.lit(100).cast("long").alias("page_w"),
+        F.lit(100).cast("long").alias("page_h"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("content"),
+    )
+    transcribe.transcribe_pages(images, offline.late_model, path)
+    replies = transcribe.transcribe_pages(images, offline.late_model, path)
+    text = F.when(F.col("error").isNull(), F.get_json_object("reply", "$.blocks[0].raw_text"))
+    return replies.select("sheet_id", "page_index", "attempts", "error", text.alias("text"))
+
+
 # ---- concept index ---------------------------------------------------------------------------------
 view(
     "v_indexed_before",
