@@ -123,10 +123,14 @@ def _(t):
     return pairs.select("block_id", "l_mark_id", "r_mark_id", F.round("iou", 6).alias("iou"))
 
 
+# The oracles' position joins meet on the block and on bands of 32 pixels that both rectangles touch.
+BANDS = "unnest(range(floor((y - {pad}) / 32)::BIGINT, floor((y + h + {pad}) / 32)::BIGINT + 1)) AS band"
 view(
     "s_hit",
-    """
-SELECT DISTINCT w.block_id, w.word_no FROM v_word w JOIN v_mark m ON m.block_id = w.block_id
+    f"""
+SELECT DISTINCT w.block_id, w.word_no FROM (SELECT block_id, word_no, x, y, w, h, {BANDS.format(pad=0)} FROM v_word) w
+JOIN (SELECT block_id, kind, x, y, w, h, {BANDS.format(pad="CASE kind WHEN 'STRIKE' THEN 12 ELSE 0 END")} FROM v_mark) m
+  ON m.block_id = w.block_id AND m.band = w.band
 WHERE m.kind IN ('STRIKE', 'MARGIN') AND NOT (w.x + w.w < m.x OR m.x + m.w < w.x
   OR w.y + w.h < m.y - CASE m.kind WHEN 'STRIKE' THEN 12 ELSE 0 END OR m.y + m.h < w.y - CASE m.kind WHEN 'STRIKE' THEN 12 ELSE 0 END)
 """,
@@ -247,7 +251,8 @@ FROM (SELECT m.*, CASE kind WHEN 'STRIKE' THEN coalesce(u, 0) > coalesce(s, 0) A
       FROM v_mark m LEFT JOIN (
         SELECT a.block_id AS b_id, a.mark_id AS m_id, max(CASE WHEN b.kind = 'STRIKE' THEN b.confidence END) AS s,
                max(CASE WHEN b.kind = 'UNDERLINE' THEN b.confidence END) AS u
-        FROM v_mark a JOIN s_usable b ON a.block_id = b.block_id WHERE {iou_sql("a.", "b.")} >= 0.3 GROUP BY 1, 2) k
+        FROM (SELECT *, {BANDS.format(pad=0)} FROM v_mark) a JOIN (SELECT *, {BANDS.format(pad=0)} FROM s_usable) b
+          ON a.block_id = b.block_id AND a.band = b.band WHERE {iou_sql("a.", "b.")} >= 0.3 GROUP BY 1, 2) k
       ON k.b_id = m.block_id AND k.m_id = m.mark_id)
 """,
 )
@@ -267,8 +272,10 @@ WHERE c.kind = 'UNDERLINE' AND (c.confidence >= 0.7 OR o.mark_id IS NOT NULL)
 
 @query(
     "reconcile_marks",
-    f"""SELECT f.block_id, f.mark_id, f.kind, f.intent, f.confidence, f.resolved_by, f.x, f.y FROM s_flipped f WHERE NOT EXISTS (
-          SELECT 1 FROM s_accepted a WHERE f.kind = 'UNDERLINE' AND a.block_id = f.block_id AND {iou_sql("f.", "a.")} >= 0.3)
+    f"""SELECT f.block_id, f.mark_id, f.kind, f.intent, f.confidence, f.resolved_by, f.x, f.y FROM s_flipped f LEFT JOIN (
+            SELECT DISTINCT f.block_id, f.mark_id FROM (SELECT *, {BANDS.format(pad=0)} FROM s_flipped WHERE kind = 'UNDERLINE') f
+            JOIN (SELECT *, {BANDS.format(pad=0)} FROM s_accepted) a ON a.block_id = f.block_id AND a.band = f.band WHERE {iou_sql("f.", "a.")} >= 0.3) k
+          ON k.block_id = f.block_id AND k.mark_id = f.mark_id WHERE k.mark_id IS NULL
         UNION ALL SELECT block_id, mark_id, kind, intent, confidence, resolved_by, x, y FROM s_accepted""",
 )
 def _(t):

@@ -32,7 +32,7 @@ VIEWS: dict[str, View] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Views that DuckDB computes once per oracle, however often it names them.
-HEAVY = {"v_word", "v_mark", "v_cv_mark", "v_vector_concept"}
+HEAVY = {"v_word", "v_mark", "v_cv_mark", "v_vector_concept", "s_hit", "s_body", "s_kept", "s_flipped", "s_accepted", "s_note_anchor"}
 
 
 def view(name: str, sql: str, build: Callable | None = None) -> None:
