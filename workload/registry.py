@@ -69,8 +69,9 @@ class Tables:
         if name not in self._seen:
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                # documents feed per-row text work; as a single row group they would all be read by one core
-                self._seen[name] = df.repartition("doc_id") if name == "documents" else df
+                # documents feed per-row text work; as a file or two they would all be read by as many cores
+                few = name == "documents" and len(df.inputFiles()) < self.spark.sparkContext.defaultParallelism
+                self._seen[name] = df.repartition("doc_id") if few else df
             else:
                 v = VIEWS[name]
                 self._seen[name] = v.build(self) if v.build else self.sql(v.sql)
