@@ -246,45 +246,53 @@ def _(t):
 
 @query(
     "sheet_documents",
-    """SELECT sheet_id, count(DISTINCT question_id) AS questions, coalesce(sum(n_blocks), 0)::BIGINT AS blocks, coalesce(sum(n_marks), 0)::BIGINT AS marks,
-         (SELECT count(*) FROM v_page_reply p WHERE p.sheet_id = x.sheet_id) AS pages
-       FROM (SELECT a.sheet_id, a.question_id, count(a.block_no) AS n_blocks, sum((SELECT count(*) FROM s_page_mark m WHERE m.sheet_id = a.sheet_id
-                AND m.page_index = a.page_index AND m.block_no = a.block_no)) AS n_marks FROM s_assigned a GROUP BY 1, 2) x GROUP BY sheet_id""",
+    f"""SELECT g.sheet_id, g.question_id, g.auto_marks, CASE WHEN confidence = 1 AND k.text = '' THEN 'RED' ELSE {BAND.format(c="confidence")} END AS band,
+          coalesce(s.v, '') AS scores, coalesce(b.v, '') AS blocks, coalesce(m.v, '') AS marks, coalesce(p.n, 0) AS pages
+        FROM g_result g JOIN g_answer k ON k.answer_id = g.answer_id
+        LEFT JOIN (SELECT s.answer_id, string_agg(s.concept_id || '=' || s.status, ',' ORDER BY c.ord) AS v FROM g_score s
+          JOIN g_concept c ON c.concept_id = s.concept_id GROUP BY s.answer_id) s ON s.answer_id = g.answer_id
+        LEFT JOIN (SELECT sheet_id, question_id, string_agg(concat(sheet_id, '/', page_index, '/', block_no, ' ', reconstructed_text), '|'
+          ORDER BY concat(sheet_id, '/', page_index, '/', block_no)) AS v FROM s_assigned WHERE block_no IS NOT NULL GROUP BY 1, 2) b
+          ON b.sheet_id = g.sheet_id AND b.question_id = g.question_id
+        LEFT JOIN (SELECT sheet_id, question_id, string_agg(concat(sheet_id, '/', page_index, '/', block_no, ':', part_no * 1000 + mark_no, ' ', kind, ' ',
+            x::BIGINT, ' ', y::BIGINT), ',' ORDER BY concat(sheet_id, '/', page_index, '/', block_no), part_no * 1000 + mark_no) AS v
+          FROM s_held_mark GROUP BY 1, 2) m ON m.sheet_id = g.sheet_id AND m.question_id = g.question_id
+        LEFT JOIN (SELECT sheet_id, count(*) AS n FROM v_page_reply GROUP BY sheet_id) p ON p.sheet_id = g.sheet_id""",
 )
 def _(t):
-    replies = t("v_page_reply")
-    found, answers = grade.answers_of(replies, t("v_doc_sheet"), t("v_exam_question"))
-    block_id = F.concat_ws("/", "sheet_id", "page_index", "block_no")
-    blocks = found.select("sheet_id", "question_id", block_id.alias("block_id"), "content_type", "reconstructed_text")
-    marks = pages.page_marks(replies).select(block_id.alias("block_id"), "mark_no", "kind", "confidence")
+    """Documents of a grading run, read back: every evaluation with its scores, blocks and marks."""
+    graded = _graded(t)
+    block_id = F.concat_ws("/", "sheet_id", "page_index", "block_no").alias("block_id")
+    number = (F.col("part_no") * 1000 + F.col("mark_no")).alias("mark_no")
     docs = sinks.sheet_documents(
         t("v_doc_sheet"),
-        answers.select("sheet_id", "question_id", "question_number", "max_marks"),
-        answers.select("sheet_id", "question_id", F.lit(0).alias("ord"), "ocr_quality"),
-        blocks,
-        marks,
-        replies.select("sheet_id", "page_index"),
+        graded.evaluations.select("sheet_id", "question_id", "auto_marks", "band"),
+        graded.concept_scores.select("sheet_id", "question_id", "ord", "concept_id", "status"),
+        graded.blocks.select("sheet_id", "question_id", block_id, "reconstructed_text"),
+        graded.annotations.select(block_id, number, "kind", "x", "y"),
+        t("v_page_reply").select("sheet_id", "page_index"),
     )
-    shape = (
-        "evaluations array<struct<question_id:bigint,blocks:array<struct<block_id:string,annotations:array<struct<mark_no:int>>>>>>,"
-        " pages array<struct<page_index:bigint>>"
-    )
-    d = docs.withColumn("d", F.from_json("document", shape))
-    n = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    per = lambda e: F.coalesce(F.size(e["blocks"]), F.lit(0)).cast("bigint")
-    marks_of = lambda e: n(
-        F.transform(
-            F.coalesce(e["blocks"], F.array().cast("array<struct<block_id:string,annotations:array<struct<mark_no:int>>>>")),
-            lambda b: F.coalesce(F.size(b["annotations"]), F.lit(0)).cast("bigint"),
+    mark = "struct<mark_no:bigint,kind:string,x:double,y:double>"
+    block = f"struct<block_id:string,reconstructed_text:string,annotations:array<{mark}>>"
+    score = "struct<ord:int,concept_id:bigint,status:string>"
+    shape = f"evaluations array<struct<question_id:bigint,auto_marks:double,band:string,concept_scores:array<{score}>,blocks:array<{block}>>>, pages array<struct<page_index:bigint>>"
+    d = docs.select("sheet_id", F.from_json("document", shape).alias("d"))
+    rows = d.select("sheet_id", F.coalesce(F.size("d.pages"), F.lit(0)).alias("pages"), F.explode("d.evaluations").alias("e"))
+    none = lambda a, kind: F.coalesce(a, F.array().cast(f"array<{kind}>"))
+
+    def of_block(b):
+        return F.transform(
+            none(b["annotations"], mark),
+            lambda m: F.concat(b["block_id"], F.lit(":"), m["mark_no"], F.lit(" "), m["kind"], F.lit(" "), m["x"].cast("bigint"), F.lit(" "), m["y"].cast("bigint")),
         )
-    )
-    return d.select(
-        "sheet_id",
-        F.size("d.evaluations").alias("questions"),
-        n(F.transform("d.evaluations", lambda e: F.when(per(e) > 0, per(e)).otherwise(0))).alias("blocks"),
-        n(F.transform("d.evaluations", marks_of)).alias("marks"),
-        F.coalesce(F.size("d.pages"), F.lit(0)).alias("pages"),
-    )
+
+    return rows.select(
+        "sheet_id", "e.question_id", "e.auto_marks", "e.band",
+        F.array_join(F.transform(none(F.col("e.concept_scores"), score), lambda c: F.concat(c["concept_id"], F.lit("="), c["status"])), ",").alias("scores"),
+        F.array_join(F.transform(none(F.col("e.blocks"), block), lambda b: F.concat(b["block_id"], F.lit(" "), F.coalesce(b["reconstructed_text"], F.lit("")))), "|").alias("blocks"),
+        F.array_join(F.flatten(F.transform(none(F.col("e.blocks"), block), of_block)), ",").alias("marks"),
+        "pages",
+    )
 
 
 # ---- sources ---------------------------------------------------------------------------------------

@@ -111,15 +111,14 @@ def _(t):
 
 @query(
     "concept_prompts",
-    f"""SELECT question_id, length(concat('Question: q', question_id, chr(10), chr(10)))
-          + length({strip_sql("model_answer")}) AS known_chars FROM v_question""",
+    f"""SELECT question_id, concat('Question: q', question_id, chr(10), chr(10),
+          'List up to 8 facts of the model answer that can each be graded alone, with a weight per fact; the weights sum to 1. ',
+          'A one-phrase answer is one fact.', chr(10), 'Answer as JSON: {{"concepts": [{{"text": "...", "weight": 0.5}}]}}', chr(10), chr(10),
+          '<model_answer>', chr(10), {strip_sql("model_answer")}, chr(10), '</model_answer>') AS prompt FROM v_question""",
 )
 def _(t):
     q = t("v_question").withColumn("question", F.concat(F.lit("q"), "question_id"))
-    out = prompts.with_prompt(q, "concepts")
-    body = F.regexp_extract("prompt", r"(?s)<model_answer>\n(.*)\n</model_answer>$", 1)
-    head = F.regexp_extract("prompt", r"(?s)^(Question: q\d+\n\n)", 1)
-    return out.select("question_id", (F.length(head) + F.length(body)).alias("known_chars"))
+    return prompts.with_prompt(q, "concepts").select("question_id", "prompt")
 
 
 @query(
