@@ -19,8 +19,9 @@ at least a = ceil(t * n) of them. Hence, under any order of all tokens that is t
 A large group of near copies is not expanded into pairs. Documents that meet at a token are first compared with the token's
 leader (smallest under a hash), each with the leader it meets most often; links give components; tokens whose documents are
 in one component by then are left alone. The pairs still ahead are counted before they are made: while they are many, such
-rounds go on, each under a hash of its own. A last one over all pairs of documents that still are in different components
-makes the components exact.
+rounds go on, each under a hash of its own. Then come the pairs of documents that still are in different components. As long
+as they are many, a round verifies a few of each two components, whose other pairs fall away when one of them links. The pairs
+left in the end are verified all, which makes the components exact.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case. Fewer words than a shingle make one shingle.
 Null texts and texts without words have no tokens, link with nothing and are components of their own. Every row is a
@@ -44,8 +45,9 @@ from rubrica.llm.shingles import shingle_set
 from rubrica.session import cut_lineage
 
 BLOCK_TOKENS = 2_000_000
-BUCKET_BYTES = 16 << 20  # of text behind a bucket of packed tokens
+BUCKETS, BUCKET_BYTES = 64, 16 << 20  # buckets of packed tokens at least, and text behind one at most
 BROADCAST_ROWS = 2_000_000  # of two numbers each, at most
+TRIED = 12  # pairs of two components that a round verifies
 _SEVERAL = 0xFFFF
 _PACKED = "bucket bigint, block bigint, tokens binary, rows binary, docs binary, needs binary, sizes binary, valid binary"
 _FIELDS = ("bucket", "block", "tokens", "rows", "docs", "needs", "sizes", "valid")
@@ -165,8 +167,8 @@ def _settle(table):
 def survivors(docs: DataFrame, percent: int, lead: float, width: int) -> DataFrame:
     """(doc_id, n, alive) per row: `alive` if enough of its leading tokens under the hash order are shared."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * partitions, math.ceil(size / BUCKET_BYTES))
+    # as few as their size allows: a document answers once for each bucket that holds tokens of it
+    buckets = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
     blocks = _packed_blocks(docs, percent, lead, width, buckets)
     settled = blocks.groupBy("bucket").applyInArrow(_settle, "block bigint, row bigint, score bigint, doc_id bigint, n bigint")
     return (
@@ -325,8 +327,28 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
             break
     other = where.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "comp", "reach")]).withColumnRenamed("row_b", "b")
     near = f"a < b AND comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b)"
-    pairs = where.withColumnRenamed("row", "a").join(other, "token").filter(near).select("a", "b").distinct()
-    links, _ = joined(_verified(pairs, sets, prefixes, percent, orders))
+    met = where.withColumnRenamed("row", "a").join(other, "token").filter(near)
+    left = cut_lineage(met.groupBy("a", "b", "comp", "comp_b").agg(F.count("*").alias("times")))
+    n_left, k = left.count(), 0
+    while n_left > enough:
+        # two components need one link: of the pairs between them the likeliest and some at random are tried first
+        best = F.max_by(F.struct("a", "b"), F.struct("times", "a", "b"))
+        lots = [F.max_by(F.struct("a", "b"), F.xxhash64(F.lit(f"pair{k}.{i}"), "a", "b")) for i in range(TRIED - 1)]
+        between = (F.least("comp", "comp_b"), F.greatest("comp", "comp_b"))
+        tried = left.groupBy(*between).agg(F.array_distinct(F.array(best, *lots)).alias("p")).select(F.explode("p").alias("p"))
+        tried = cut_lineage(tried.select("p.a", "p.b"))
+        found = _verified(tried, sets, prefixes, percent, orders)
+        links = cut_lineage(found if links is None else links.unionByName(found))
+        comps = cut_lineage(components(links).withColumnRenamed("id", "row"))
+        rest = left.drop("comp", "comp_b").join(tried, ["a", "b"], "left_anti")
+        for side, name in (("a", "comp"), ("b", "comp_b")):
+            rest = by_small(rest, comps.select(F.col("row").alias(side), F.col("comp").alias(name)), side, "left").withColumn(name, F.coalesce(name, side))
+        left = cut_lineage(rest.filter("comp <> comp_b"))
+        before, n_left, k = n_left, left.count(), k + 1
+        if n_left > 0.9 * before:
+            break
+    found = _verified(left.select("a", "b"), sets, prefixes, percent, orders)
+    links = cut_lineage(found if links is None else links.unionByName(found))
 
     # back from rows to ids: an id may stand for several sets, whose components it joins
     comps = cut_lineage(components(links).withColumnRenamed("id", "row"))

@@ -35,7 +35,7 @@ _SPACE = "\t-\r \x85\xa0" + "".join(
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 WORD_UNIT = re.compile(f" ?[{_LETTER}]+")
-UNITS_KEPT = 100_000  # at most twice as many, about 40 MB, are held while a task runs
+UNITS_KEPT = 200_000  # at most twice as many, about 80 MB, are held while a task runs
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 )

@@ -73,16 +73,41 @@ def test_run_gives_the_last_stage(spark, stages):
     assert got.length.sum() == stages[5].length.sum() and set(key) <= set(got.columns)
 
 
-def test_stages_take_nulls_and_nothing(spark):
-    rng = random.Random(1)
-    text = " ".join(f"word{rng.randint(0, 999)}" for _ in range(80)) + "."
+def words(n, seed):
+    rng = random.Random(seed)
+    return " ".join(f"word{rng.randint(0, 9999)}" for _ in range(n)) + "."
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls anywhere, empty and very long texts, repeated rows and ids, columns with the operators' own names, nothing."""
+    text, long = words(80, 1), words(60_000, 2)
+    rows = [
+        (1, text, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, text, "en", "s", 9), (1, "no", None, "s", 2),
+        (4, long, "en", "s", len(long)), (5, words(90, 3) + " token=abcdefgh12345678", "en", None, 7), (5, words(90, 4), "en", None, 7),
+        (None, words(70, 5), "de", "t", 1),
+    ]
+    named = [(*r, 1, "x", 2, "y", 0.5, True) for r in rows]
     docs = spark.createDataFrame(
-        [(1, text, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, text + " x" * 5, "en", "s", 9)],
-        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+        named, "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, shard string, row int, comp string, p_good double, kept boolean"
     )
-    for d in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, d, SF_DIR).collect()
+    stage = dict(corpus_pipeline.STAGES)
+    columns = list(corpus_pipeline.COLUMNS)
+    for name in list(stage)[:-1]:
+        out = stage[name](spark, docs, SF_DIR)
+        assert out.columns == columns and stage[name](spark, docs.limit(0), SF_DIR).collect() == []
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    kept = stage["quality_rules"](spark, docs, SF_DIR)
+    assert ids(kept) == sorted([1, 3, 4, 5, 5, None], key=str)  # row by row: id 1 stays with its good text
+    one = stage["jaccard_join"](spark, docs, SF_DIR)
+    assert ids(one) == sorted([1, 1, 2, 4, 5, 5, None, None], key=str)
+    clean = {(r["doc_id"], r["n_chars"]): r["text"] for r in stage["secret_scan"](spark, docs, SF_DIR).collect()}
+    assert len(clean) == 9 and clean[4, len(long)] == long and not any(t and "abcdefgh12345678" in t for t in clean.values())
+    mixed = stage["mix_sources"](spark, docs, SF_DIR).collect()
+    assert {r["doc_id"] for r in mixed} <= {1, 2, 3, 4, 5, None} and all(r["text"] for r in mixed)
+    packed = stage["pack_sequences"](spark, docs, SF_DIR).toPandas()
+    assert packed.length.sum() == packed[packed.start + packed.length == packed.doc_tokens].doc_tokens.sum()
+    assert len(packed[packed.start == 0]) == len(rows)
+    assert stage["pack_sequences"](spark, docs.limit(0), SF_DIR).collect() == []
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
