@@ -311,7 +311,8 @@ def top_k(
     # round 2: query blocks against all blocks of their length, on a grid
     across, down = -(-q.count() // SIDE), -(-trees.count() // SIDE)
     lot = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(max(1, n)))
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    # keys of one type on both sides: a co-group hashes whole numbers of different widths apart
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
     data = data.select("dim", "d_tree", lot(down, "d_cell", "d_part").alias("i"), copies(across).alias("j"))
     q = q.select("dim", "q_tree", "floors", lot(across, "q_cell", "q_part").alias("j"), copies(down).alias("i"))
 

@@ -39,6 +39,19 @@ def test_against_brute_force(table):
     assert sorted(got, key=str) == brute(data, {i for i, _ in data if i % 50 == 0}, 7)
 
 
+def test_grid_of_many_cells(llm, table, monkeypatch):
+    """Blocks over many cells and partitions, none of them merged: every pair of blocks meets once."""
+    monkeypatch.setattr(cover_tree, "SIDE", 2)
+    llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(8)
+        data = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(800)]
+        got = rows(cover_tree.top_k(table(data), F.col("id") % 10 == 0, k=5, block_rows=64, query_rows=8, pivots=4))
+        assert sorted(got, key=str) == brute(data, set(range(0, 800, 10)), 5)
+    finally:
+        llm.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_few_rows_and_other_lengths(table):
     data = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (100, [1.0, 1.0, 1.0])]
     got = rows(cover_tree.top_k(table(data), F.col("id") % 100 == 0))
