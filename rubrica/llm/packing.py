@@ -35,7 +35,7 @@ _SPACE = "\t-\r \x85\xa0" + "".join(
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 WORD_UNIT = re.compile(f" ?[{_LETTER}]+")
-UNITS_KEPT = 200_000  # at most twice as many, about 80 MB, are held while a task runs
+UNITS_KEPT = 200_000  # at most twice as many, about 80 MB, are held by a worker
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 )
@@ -73,10 +73,12 @@ class _Units(dict):
         return found
 
 
+_UNITS: dict[str, _Units] = {}  # a worker's tasks share the tokenizer and what it has found, within the bound above
+
+
 def encoder(path: str):
-    """Text to the bytes of its ids, as the tokenizer file at `path` gives them for the whole text. What it remembers goes
-    with it: a task makes its own."""
-    units = _Units(path)
+    """Text to the bytes of its ids, as the tokenizer file at `path` gives them for the whole text."""
+    units = _UNITS[path] = _UNITS.get(path) or _Units(path)
     return lambda text: b"".join(map(units.__getitem__, UNITS.findall(text)))
 
 
