@@ -83,3 +83,8 @@ def test_weights_sum_to_one_after_cap_and_drops(spark):
     assert [r["ord"] for r in got] == [0, 1, 3, 5, 6, 7]
     assert round(sum(r["weight"] for r in got), 9) == 1.0
     assert got[-1]["weight"] == 0.166665
+
+
+def test_upper_case_keeps_the_length_of_a_text(spark):
+    df = spark.createDataFrame([("straße, ǆ ﬁx ᾳ ŉ",), ("plain é",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.upper("t")).collect()] == ["STRAẞE, Ǆ ﬁX ᾼ ŉ", "PLAIN É", None]

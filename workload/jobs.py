@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rubrica.functions import vectors
+from rubrica.functions import text, vectors
 from workload import stand_ins as offline
 from rubrica.operators import audit, pages
 from rubrica.plans import calibrate, grade, index, transcribe
@@ -219,7 +219,7 @@ def _(t):
     path = shared_dir(t.spark, "concepts")
     rows = t("v_concept").select("question_id", "ord", "text", "weight")
     sinks.write_concepts(rows, path, per_bucket=8)
-    sinks.write_concepts(rows.where("question_id % 2 = 1").withColumn("text", F.upper("text")), path, per_bucket=8)
+    sinks.write_concepts(rows.where("question_id % 2 = 1").withColumn("text", text.upper("text")), path, per_bucket=8)
     stored = t.spark.read.parquet(path)
     return stored.select("question_id", "ord", "text", F.col("concepts_indexed_at").isNotNull().alias("stamped"))
 
