@@ -26,20 +26,34 @@ def millis(span: str) -> int:
 
 
 class Waiting(StatefulProcessor):
-    """What the processors here share: the value `now` and timers that never lie behind the watermark."""
+    """What the processors here share: the values `now` and timers that never lie behind the watermark.
+
+    A state entry holds the keys of one range, `now` one row per key. With `width` 1 a range is one key; a wider one takes as
+    many keys in one call of Python and one read of the store, which is what most of the time goes to where keys are many
+    and have few rows. Ranges grow in number with the keys and not in size.
+    """
 
     state = ""
     key = ""  # the key column's name
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", self.state)
+        self.now = handle.getListState("now", f"id bigint, {self.state}")
 
     def ring(self, at: int, timerValues) -> None:
         self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
 
-    def frame(self, key, rows: list[tuple], columns: tuple[str, ...]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=[self.key, *columns])
+    def held(self, state) -> list[tuple]:
+        return [tuple(r) for r in state.get()] if state.exists() else []
+
+    def hold(self, state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        elif state.exists():
+            state.clear()
+
+    def frame(self, rows: list[tuple], columns: tuple[str, ...]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, *columns])
 
     def close(self) -> None:
         pass
@@ -61,7 +75,7 @@ class InOrder(Waiting):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.waiting = handle.getListState("waiting", "seq bigint, at bigint, value string")
+        self.waiting = handle.getListState("waiting", "id bigint, seq bigint, at bigint, value string")
 
     def take(self, value, seq, row, late):
         raise NotImplementedError
@@ -69,57 +83,66 @@ class InOrder(Waiting):
     def closed(self, value) -> bool:
         raise NotImplementedError
 
-    def _taken(self, rows: list[tuple]) -> list[tuple]:
-        value, last, at = self.now.get() if self.now.exists() else (self.start, None, 0)
+    def _taken(self, now: dict, rows: list[tuple]) -> list[tuple]:
         out = []
-        for seq, when, row in sorted(rows, key=lambda r: r[:2]):
+        for id, seq, when, row in sorted(rows, key=lambda r: r[:3]):
+            value, last, at = now.get(id, (self.start, None, 0))
             late = last is not None and seq <= last
             value, emitted = self.take(value, seq, row, late)
-            out += emitted
-            if not late:
-                last, at = seq, max(at, when)
-        self.now.update((value, last, at))
+            out += [(id, *e) for e in emitted]
+            now[id] = (value, last, at) if late else (value, seq, max(at, when))
         return out
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [r for pdf in rows for r in zip(pdf["seq"].tolist(), pdf["at"].tolist(), pdf["value"].tolist(), strict=True)]
+        columns = ("id", "seq", "at", "value")
+        new = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in columns], strict=True)]
         if self.keep is not None:
             self.waiting.appendList(new)
-            self.ring(min(r[1] for r in new), timerValues)
+            self.ring(min(r[2] for r in new), timerValues)
             return
-        out = self._taken(new)
+        now = {r[0]: r[1:] for r in self.held(self.now)}
+        out = self._taken(now, new)
+        self.hold(self.now, [(id, *v) for id, v in now.items()])
         if out:
-            yield self.frame(key, out, self.columns)
+            yield self.frame(out, self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[1] <= passed], [r for r in rows if r[1] > passed]
-        out = self._taken(ready) if ready else []
-        if ready and rest:
-            self.waiting.put(rest)
-        elif ready:
-            self.waiting.clear()
-        if rest:
-            self.ring(min(r[1] for r in rest), timerValues)
-        elif self.now.exists():
-            value, _, at = self.now.get()
-            if self.closed(value):
-                if at + self.keep <= passed:
-                    self.now.clear()
-                else:
-                    self.ring(at + self.keep, timerValues)
+        rows = self.held(self.waiting)
+        ready, rest = [r for r in rows if r[2] <= passed], [r for r in rows if r[2] > passed]
+        now = {r[0]: r[1:] for r in self.held(self.now)}
+        out = self._taken(now, ready)
+        if ready:
+            self.hold(self.waiting, rest)
+        waits = {r[0] for r in rest}
+        ends = {id: at + self.keep for id, (value, _, at) in now.items() if id not in waits and self.closed(value)}
+        over = [id for id, end in ends.items() if end <= passed]
+        for id in over:
+            del now[id], ends[id]
+        if ready or over:
+            self.hold(self.now, [(id, *v) for id, v in now.items()])
+        due = [*(r[2] for r in rest), *ends.values()]
+        if due:
+            self.ring(min(due), timerValues)
         if out:
-            yield self.frame(key, out, self.columns)
+            yield self.frame(out, self.columns)
+
 
+def over_keys(
+    stream: DataFrame, key: str, value: str, processor: StatefulProcessor, schema: str, delay: str, width: int = 1
+) -> DataFrame:
+    """Run a processor over `stream` (key, seq, ts and a value column); its rows have `schema`.
 
-def over_keys(stream: DataFrame, key: str, value: str, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
-    """Run a processor over `stream` (key, seq, ts and a value column); its rows have `schema`."""
+    `width` consecutive keys share a state entry; it can't change while a checkpoint is in use.
+    """
     processor.key = key
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = (
         stream.where(f"`{key}` IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL")
         .withWatermark("ts", delay)
-        .select(F.col(key).cast("bigint").alias(key), F.col("seq").cast("bigint").alias("seq"), "ts", F.unix_millis("ts").alias("at"), F.col(value).alias("value"))
-    )
+        .select(
+            F.expr(f"CAST(`{key}` AS bigint) DIV {int(width)}").alias(key), F.col(key).cast("bigint").alias("id"), F.col("seq").cast("bigint").alias("seq"),
+            "ts", F.unix_millis("ts").alias("at"), F.col(value).alias("value"),
+        )
+    )
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")

@@ -121,12 +121,12 @@ class _Feed(InOrder):
         return status in TERMINAL_STATUSES
 
 
-def status_changes(events: DataFrame, delay: str = "0 seconds", keep: str = "30 days") -> DataFrame:
+def status_changes(events: DataFrame, delay: str = "0 seconds", keep: str = "30 days", width: int = 1) -> DataFrame:
     """The same over a stream: sheet_id, seq, status of each change. `events`: sheet_id, seq, ts, status.
 
-    Order, late rows and the end of state are those of `sheet_states`.
+    Order, late rows and the end of state are those of `sheet_states`. `width` consecutive sheets share a state entry.
     """
-    return over_keys(events, "sheet_id", "status", _Feed(millis(keep)), "sheet_id bigint, seq bigint, status string", delay)
+    return over_keys(events, "sheet_id", "status", _Feed(millis(keep)), "sheet_id bigint, seq bigint, status string", delay, width)
 
 
 def stage_counts(events: DataFrame, by: str = "status") -> DataFrame:
@@ -170,40 +170,49 @@ class _Stuck(Waiting):
     def __init__(self, minutes: int, message: str):
         self.minutes, self.message = minutes, message
 
+    def _due(self, status: str, at: int) -> int | None:
+        return at + self.minutes * 60_000 if status == "QUEUED" else at if status in TERMINAL_STATUSES else None
+
     def handleInputRows(self, key, rows, timerValues):
-        status, at = self.now.get() if self.now.exists() else ("", -1)
+        now = {r[0]: r[1:] for r in self.held(self.now)}
+        due = []
         for pdf in rows:
-            newest = pdf["at"].idxmax()
-            if pdf["at"][newest] >= at:
-                status, at = pdf["value"][newest], int(pdf["at"][newest])
-        self.now.update((status, at))
-        if status == "QUEUED":
-            self.ring(at + self.minutes * 60_000, timerValues)
-        elif status in TERMINAL_STATUSES:
-            self.ring(at, timerValues)
+            # of a sheet's rows of one time the first counts, as does a new row over an old one
+            newest = pdf.loc[pdf.groupby("id")["at"].idxmax()]
+            for id, status, at in zip(newest["id"].tolist(), newest["value"].tolist(), newest["at"].tolist(), strict=True):
+                if at >= now.get(id, ("", -1))[1]:
+                    now[id] = (status, at)
+                    due.append(self._due(status, at))
+        self.hold(self.now, [(id, *v) for id, v in now.items()])
+        due = [d for d in due if d is not None]
+        if due:
+            self.ring(min(due), timerValues)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.now.exists():
-            return
-        status, at = self.now.get()
-        passed = timerValues.getCurrentWatermarkInMs()
-        if status == "QUEUED" and at + self.minutes * 60_000 <= passed:
-            self.now.clear()
-            yield self.frame(key, [(at, self.message)], ("since_ms", "error_message"))
-        elif status in TERMINAL_STATUSES and at <= passed:
-            self.now.clear()
-
-
-def stuck_stream(events: DataFrame, minutes: int = 15, delay: str = "0 seconds") -> DataFrame:
+        now, passed = {r[0]: r[1:] for r in self.held(self.now)}, timerValues.getCurrentWatermarkInMs()
+        due = {id: self._due(*v) for id, v in now.items()}
+        over = [id for id, d in due.items() if d is not None and d <= passed]
+        stuck = [(id, now[id][1], self.message) for id in over if now[id][0] == "QUEUED"]
+        if over:
+            self.hold(self.now, [(id, *v) for id, v in now.items() if id not in set(over)])
+        later = [d for d in due.values() if d is not None and d > passed]
+        if later:
+            self.ring(min(later), timerValues)
+        if stuck:
+            yield self.frame(stuck, ("since_ms", "error_message"))
+
+
+def stuck_stream(events: DataFrame, minutes: int = 15, delay: str = "0 seconds", width: int = 1) -> DataFrame:
     """Sheets left QUEUED for longer than `minutes` of event time: sheet_id, since, error_message.
 
     `events`: sheet_id, ts (timestamp), status. The timer of a sheet is set by its newest event and fires when the
     watermark passes it. A sheet that was reported, or whose final status the watermark has passed, leaves no state.
+    `width` consecutive sheets share a state entry.
     """
     message = STUCK_QUEUED_MESSAGE.format(minutes=minutes)
     schema = "sheet_id bigint, since_ms bigint, error_message string"
-    out = over_keys(events.withColumn("seq", F.lit(0).cast("long")), "sheet_id", "status", _Stuck(minutes, message), schema, delay)
+    out = over_keys(events.withColumn("seq", F.lit(0).cast("long")), "sheet_id", "status", _Stuck(minutes, message), schema, delay, width)
     return out.select("sheet_id", F.timestamp_millis("since_ms").alias("since"), "error_message")
 
 

@@ -95,3 +95,24 @@ def test_older_versions_do_not_replace_newer_ones(spark, tmp_path):
     assert again[1] == stamps[1] and again[2] == stamps[2]  # an older version, and the same answer, index nothing
     marks = {r["question_id"]: r["seq"] for r in spark.read.parquet(f"{path}/indexed").collect()}
     assert marks == {1: 5, 2: 2, 3: 1}
+
+
+def test_sheets_that_share_a_state_entry(spark, tmp_path):
+    """A range of sheets in one entry gives what an entry per sheet gives, over several micro-batches."""
+    batches = [
+        [(1, 1, 1, "QUEUED"), (2, 2, 2, "QUEUED"), (3, 3, 3, "DONE"), (9, 4, 4, "RUNNING")],
+        [(1, 6, 6, "QUEUED"), (1, 5, 5, "RUNNING"), (2, 7, 7, "FAILED"), (3, 8, 8, "QUEUED"), (9, 9, 9, "RUNNING")],
+        [(2, 11, 1900, "QUEUED"), (4, 12, 2000, "QUEUED"), (9, 13, 5000, "DONE")],
+    ]
+    got = {}
+    for width in (1, 4):
+        feed = Feed(spark, f"{tmp_path}/c{width}", "sheet_id bigint, seq bigint, at bigint, status string")
+        stuck = Feed(spark, f"{tmp_path}/s{width}", "sheet_id bigint, seq bigint, at bigint, status string")
+        for rows in batches:
+            a = feed.add(rows).run(lambda s: states.status_changes(s, keep="5 seconds", width=width))  # noqa: B023
+            b = stuck.add(rows).run(lambda s: states.stuck_stream(s, width=width))  # noqa: B023
+        held = feed.held("now").count()
+        got[width] = sorted(map(tuple, a.collect())), sorted((r["sheet_id"], r["since"].timestamp()) for r in b.collect())
+    assert got[1] == got[4]
+    assert got[4][1] == [(1, 6.0), (2, 1900.0), (3, 8.0), (4, 2000.0)]
+    assert held == 3  # sheets 1, 4 and 9, in ranges 0, 1 and 2

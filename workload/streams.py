@@ -28,6 +28,10 @@ FROM events
 view("v_call", "SELECT user_id % 5 AS account, event_id AS call_id, ts FROM events")
 
 
+#: Sheets of the status log that share a state entry: they have one or two events each.
+WIDTH = 256
+
+
 def _stream(t, columns):
     events = jobs.read_table_stream(t.spark, t.sf_dir, "events.parquet", t("events").schema)
     return events.selectExpr(*columns)
@@ -98,7 +102,7 @@ STATUS_COLUMNS = [
 
 @query("status_changes_stream", "SELECT sheet_id, seq, status FROM s_change")
 def _(t):
-    return jobs.run_available(states.status_changes(_stream(t, STATUS_COLUMNS)))
+    return jobs.run_available(states.status_changes(_stream(t, STATUS_COLUMNS), width=WIDTH))
 
 
 STAGES = """SELECT status, count(*) AS sheets FROM (SELECT * FROM v_status_event QUALIFY row_number() OVER (
@@ -148,7 +152,7 @@ def _(t):
          <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
 )
 def _(t):
-    out = jobs.run_available(states.stuck_stream(_stream(t, STATUS_COLUMNS)))
+    out = jobs.run_available(states.stuck_stream(_stream(t, STATUS_COLUMNS), width=WIDTH))
     return out.withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -221,6 +225,6 @@ def _(t):
     """What the status feed still holds when the watermark has passed all of the log: the sheets that are not closed."""
     mark = shared_dir(t.spark, "stream-mark")
     events = _stream(t, ["event_id DIV 3 AS sheet_id", *STATUS_COLUMNS[1:]])
-    jobs.run_available(states.status_changes(events, keep="0 seconds"), mark=mark)
-    held = t.spark.read.format("statestore").option("stateVarName", "now").load(mark)
-    return held.select(F.col("key.sheet_id").alias("sheet_id"), F.col("value.value").alias("status"), F.col("value.last").alias("last"))
+    jobs.run_available(states.status_changes(events, keep="0 seconds", width=WIDTH), mark=mark)
+    held = t.spark.read.format("statestore").option("stateVarName", "now").option("flattenCollectionTypes", True).load(mark)
+    return held.select(F.col("list_element.id").alias("sheet_id"), F.col("list_element.value").alias("status"), F.col("list_element.last").alias("last"))
