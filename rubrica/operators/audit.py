@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,37 +15,39 @@ from rubrica.functions.text import strip
 _IGNORED = str.maketrans("", "", ".,;:!?()\"'")
 
 
-def _removes_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Packed bits, a row per word of a: at (i, j), whether dropping a[i] keeps at least as many common words as dropping b[j].
+def _adds_first(a: list[int], b: list[int]) -> list[int]:
+    """A whole number per word of a, whose bit len(b) - 1 - j says that at (i, j) dropping b[j] keeps more common words.
 
-    Rows of the table of common words are made from the end and forgotten, so that a pair of words costs one bit.
+    Rows of the table of common words are made from the end as bits, one where a row does not grow by b[j]; the carries of
+    the addition are where it grows by a[i]. A row costs a few operations on numbers of len(b) bits.
     """
-    below = np.zeros(len(b) + 1, dtype=np.int32)
-    bits = np.zeros((len(a), (len(b) + 7) // 8), dtype=np.uint8)
-    for i in range(len(a) - 1, -1, -1):
-        row = np.zeros(len(b) + 1, dtype=np.int32)
-        reach = np.maximum(below[:-1], np.where(b == a[i], below[1:] + 1, 0))
-        row[:-1] = np.maximum.accumulate(reach[::-1])[::-1]
-        bits[i] = np.packbits(below[:-1] >= row[1:])
-        below = row
-    return bits
+    at: dict[int, int] = {}
+    for j, word in enumerate(reversed(b)):
+        at[word] = at.get(word, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    flat, rows = full, []
+    for word in reversed(a):
+        met = flat & at.get(word, 0)
+        total = flat + met
+        grown = (flat ^ met ^ total) >> 1
+        flat = (total | (flat ^ met)) & full
+        rows.append(flat & grown)
+    rows.reverse()
+    return rows
 
 
 def diff_words(before: str, after: str) -> list[tuple[str, str]]:
     """Runs (op, text) with op same, removed or added; a tie between removing and adding removes first."""
     old, new = before.split(), after.split()
     numbers: dict[str, int] = {}
-    a, b = (
-        np.array([numbers.setdefault(w.lower().translate(_IGNORED), len(numbers)) for w in words], dtype=np.int64)
-        for words in (old, new)
-    )
-    bits = _removes_first(a, b)
+    a, b = ([numbers.setdefault(w.lower().translate(_IGNORED), len(numbers)) for w in words] for words in (old, new))
+    bits, last = _adds_first(a, b), len(b) - 1
     ops, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             op = "same"
         else:
-            op = "removed" if bits[i, j >> 3] >> (7 - (j & 7)) & 1 else "added"
+            op = "added" if bits[i] >> (last - j) & 1 else "removed"
         ops.append((op, old[i] if op == "removed" else new[j]))
         i, j = i + (op != "added"), j + (op != "removed")
     ops += [("removed", w) for w in old[i:]] + [("added", w) for w in new[j:]]

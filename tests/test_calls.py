@@ -1,5 +1,7 @@
 """Model calls: attempts, pacing, batching."""
 
+import time
+
 from rubrica.inference import calls
 from workload import stand_ins as offline
 from rubrica.operators.audit import diff_words
@@ -93,3 +95,13 @@ def test_no_pages(spark, tmp_path):
     schema = "sheet_id bigint, page_index bigint, page_w bigint, page_h bigint, content binary"
     out = transcribe_pages(spark.createDataFrame([], schema), offline.late_model, str(tmp_path / "w"))
     assert out.columns == ["sheet_id", "page_index", "page_w", "page_h", "reply", "error", "attempts"] and out.count() == 0
+
+
+def test_word_difference_of_long_texts_is_quick():
+    words = [f"w{i * 7919 % 2003}" for i in range(12_000)]
+    kept = [w for i, w in enumerate(words) if i % 7]
+    begun = time.process_time()
+    runs = diff_words(" ".join(words), " ".join(kept))
+    assert time.process_time() - begun < 0.7
+    assert " ".join(t for op, t in runs if op != "added") == " ".join(words)
+    assert " ".join(t for op, t in runs if op != "removed") == " ".join(kept)
