@@ -69,19 +69,22 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: st
 def endpoint_pairs(lines: DataFrame, by: str, line_id: str, radius: float) -> DataFrame:
     """Pairs a < b of lines of one block with an endpoint of each within `radius`: by, a, b.
 
-    Endpoints are joined on square cells one radius wide, the right side looking into the nine around its own.
+    Endpoints are joined on square cells one radius wide. The right side looks into its own cell and four of the eight
+    around it: the other four look into it.
     """
     points = F.array(*[F.struct(F.col(f"x{i}").alias("px"), F.col(f"y{i}").alias("py")) for i in (1, 2)])
     ends = lines.select(by, F.col(line_id).alias("id"), F.explode(points).alias("p")).select(by, "id", "p.px", "p.py")
     cell = [F.floor(F.col("px") / radius), F.floor(F.col("py") / radius)]
     a = ends.select(by, F.col("id").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"), cell[0].alias("cx"), cell[1].alias("cy"))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
     b = (
         ends.select(by, F.col("id").alias("b"), F.col("px").alias("bx"), F.col("py").alias("by_"), cell[0].alias("c0"), cell[1].alias("c1"))
-        .withColumn("dx", F.explode(step))
-        .withColumn("dy", F.explode(step))
-        .withColumn("cx", F.col("c0") + F.col("dx"))
-        .withColumn("cy", F.col("c1") + F.col("dy"))
-    )
+        .withColumn("step", F.explode(steps))
+        .select(
+            by, "b", "bx", "by_", (F.col("c0") + F.col("step.dx")).alias("cx"), (F.col("c1") + F.col("step.dy")).alias("cy"),
+            ((F.col("step.dx") == 0) & (F.col("step.dy") == 0)).alias("own"),
+        )
+    )
     close = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_")) <= radius
-    return a.join(b, [by, "cx", "cy"]).where((F.col("a") < F.col("b")) & close).select(by, "a", "b").distinct()
+    once = (F.col("a") < F.col("b")) | (~F.col("own") & (F.col("a") > F.col("b")))
+    return a.join(b, [by, "cx", "cy"]).where(once & close).select(by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -1,7 +1,11 @@
 """Marks: expressions of a line are computed once a row, however many conditions name them."""
 
+import math
+import random
+
 from rubrica.functions.geometry import with_geometry
 from rubrica.operators import marks
+from rubrica.operators.spatial import endpoint_pairs
 
 LINE = "block_id bigint, line_no bigint, kind string, x1 double, y1 double, x2 double, y2 double, local double, above double, below double, tip double, tail double, confidence double"
 
@@ -25,3 +29,14 @@ def test_ruling_reads_lines_twice(spark):
     got = {r["line_no"]: (r["on_ruling"], r["confidence"]) for r in out.collect()}
     assert got == {1: (True, 0.69), 2: (False, 0.9), 3: (True, 0.69), 4: (False, 0.9)}
     assert times(out, "HYPOT") <= 2
+
+
+def test_endpoint_pairs_meet_once_in_half_the_cells(spark):
+    rng = random.Random(5)
+    lines = [(1, i, *[rng.uniform(-60, 60) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(lines, "block_id bigint, line_no bigint, x1 double, y1 double, x2 double, y2 double")
+    out = endpoint_pairs(df, "block_id", "line_no", 10.0)
+    near = lambda p, q: any(math.dist(p[i : i + 2], q[j : j + 2]) <= 10 for i in (2, 4) for j in (2, 4))
+    want = [(1, p[1], q[1]) for p in lines for q in lines if p[1] < q[1] and near(p, q)]
+    assert sorted(map(tuple, out.collect())) == want
+    assert times(out, "EXPLODE") == 3  # both sides' ends, and cells once where it was twice
