@@ -1,8 +1,9 @@
 """Greedy selection among conflicting marks, and merging of broken strokes.
 
-"Keep a mark unless it conflicts with a better kept one" is decided in rounds over the conflict pairs: a mark without a
-better undecided rival is kept, its rivals are dropped, and the pairs left shrink from round to round. The outcome is
-that of one pass in order of merit, but no block is ever gathered in one place.
+"Keep a mark unless it conflicts with a better kept one": overlapping marks are decided block by block, in one pass in
+order of merit over the pairs that conflict. Arrow ends are decided in rounds over the conflict pairs: a line without a
+better undecided rival is kept, its rivals are dropped, and the pairs left shrink from round to round. The outcome is that
+of one pass in order of merit, but no block is ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 import math
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rubrica.functions.geometry import with_geometry
-from rubrica.operators.spatial import endpoint_pairs, iou_pairs
+from rubrica.operators.spatial import endpoint_pairs
 from rubrica.session import cut_lineage
 
 
@@ -38,17 +40,78 @@ def dropped_by_rivals(pairs: DataFrame, by: str) -> DataFrame:
     return dropped if dropped is not None else pairs.select(by, F.col("lose").alias("id"))
 
 
-def nms(marks: DataFrame, by: str = "block_id", mark_id: str = "mark_id", iou: float = 0.3) -> DataFrame:
-    """Non-maximum suppression: by confidence, keep a mark unless it overlaps a kept one by `iou` or more."""
-    slim = marks.select(by, mark_id, "confidence", "x", "y", "w", "h")
-    better = (F.col("l_confidence") > F.col("r_confidence")) | (
-        (F.col("l_confidence") == F.col("r_confidence")) & (F.col(f"l_{mark_id}") < F.col(f"r_{mark_id}"))
-    )
-    pairs = iou_pairs(slim, slim, [by], iou, better).select(
-        by, F.col(f"l_{mark_id}").alias("win"), F.col(f"r_{mark_id}").alias("lose")
+def _conflicts(block, y, h, box, iou: float):
+    """Pairs of rows of one block, sorted by block and top edge, whose boxes overlap by `iou` or more."""
+    x, w = box
+    foot, area = y + h, w * h
+    upper, step, found = np.arange(len(y)), 0, []
+    while len(upper):
+        step += 1
+        upper = upper[upper + step < len(y)]
+        lower = upper + step
+        # tops ascend within a block, so a box that starts below this one's foot ends its search
+        on = (block[lower] == block[upper]) & (y[lower] < foot[upper])
+        upper, lower = upper[on], lower[on]
+        iw = np.minimum(x[upper] + w[upper], x[lower] + w[lower]) - np.maximum(x[upper], x[lower])
+        ih = np.minimum(foot[upper], foot[lower]) - y[lower]
+        inter = np.maximum(iw, 0.0) * np.maximum(ih, 0.0)
+        union = area[upper] + area[lower] - inter
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = (inter > 0) & (union > 0) & (inter / union >= iou)
+        found.append((upper[hit], lower[hit]))
+    return tuple(np.concatenate([np.zeros(0, int), *side]) for side in (zip(*found, strict=True) if found else ((), ())))
+
+
+def kept_by_merit(ids, confidence, x, y, w, h, iou: float) -> list:
+    """Which marks of each block stay: lists of six columns per block to lists of booleans.
+
+    A mark without a whole box or confidence conflicts with none. All blocks are swept at once, and only the pairs that
+    conflict are gone through, in the order of the worse mark's merit: what beats it is decided by then.
+    """
+    sizes = [len(v) for v in ids]
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    ids = np.concatenate([np.asarray(v) for v in ids]) if sizes else np.zeros(0)
+    if ids.dtype == object:
+        ids = np.unique(ids, return_inverse=True)[1]
+    confidence, x, y, w, h = (
+        np.concatenate([np.asarray(v, float) for v in c]) if sizes else np.zeros(0) for c in (confidence, x, y, w, h)
     )
-    lost = dropped_by_rivals(pairs, by).withColumnRenamed("id", mark_id)
-    return marks.join(lost, [by, mark_id], "left_anti")
+    whole = np.flatnonzero(~np.isnan(confidence + x + y + w + h))
+    rows = whole[np.lexsort((y[whole], block[whole]))]
+    one, two = (rows[side] for side in _conflicts(block[rows], y[rows], h[rows], (x[rows], w[rows]), iou))
+    merit = np.empty(len(ids), int)
+    merit[np.lexsort((ids, -confidence, block))] = np.arange(len(ids))
+    tied = (confidence[one] == confidence[two]) & (ids[one] == ids[two])
+    first = merit[one] < merit[two]
+    win, lose = np.where(first, one, two)[~tied], np.where(first, two, one)[~tied]
+    order = np.argsort(merit[lose], kind="stable")
+    kept = [True] * len(ids)
+    for better, worse in zip(win[order].tolist(), lose[order].tolist(), strict=True):
+        if kept[better]:
+            kept[worse] = False
+    ends = np.cumsum([0, *sizes])
+    return [kept[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _kept_lists(
+    ids: pd.Series, confidence: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, iou: pd.Series
+) -> pd.Series:
+    return pd.Series(kept_by_merit(ids, confidence, x, y, w, h, iou.iloc[0] if len(iou) else 0.0))
+
+
+def nms(marks: DataFrame, by: str = "block_id", mark_id: str = "mark_id", iou: float = 0.3) -> DataFrame:
+    """Non-maximum suppression: by confidence, keep a mark unless it overlaps a kept one by `iou` or more.
+
+    Marks meet in one row per block, which is one crop of one page; they are shuffled once and never joined. Marks without
+    a block are kept.
+    """
+    rows = F.collect_list(F.struct(*[F.col(c) for c in marks.columns if c != by])).alias("_m")
+    blocks = marks.repartition(by).groupBy(by).agg(rows)
+    sides = [F.col(f"_m.{mark_id}"), *[F.col(f"_m.{c}").cast("array<double>") for c in ("confidence", "x", "y", "w", "h")]]
+    judged = blocks.withColumn("_keep", _kept_lists(*sides, F.lit(float(iou))))
+    kept = F.filter("_m", lambda m, i: F.get("_keep", i) | F.col(by).isNull())
+    return judged.select(by, F.inline(kept)).select(*marks.columns)
 
 
 def suppress_endpoints(arrows: DataFrame, by: str = "block_id", line_id: str = "line_no", radius: float = 45.0):

@@ -103,3 +103,24 @@ def test_merge_collinear(spark):
     want = sorted((b, *m) for b in range(4) for m in fold([r for r in rows if r[0] == b]))
     assert got == want
     assert len(got) < len(rows)
+
+
+def test_nms_shuffles_marks_once_and_leaves_odd_marks(spark):
+    schema = "block_id int, mark_id int, confidence double, x double, y double, w double, h double"
+    rows = boxes(2, [40, 15]) + [(0, 100, None, 1.0, 1.0, 90.0, 60.0), (1, 101, 0.99, None, 1.0, 90.0, 60.0)]
+    rows += [(None, i, 0.5, 1.0, 1.0, 9.0, 9.0) for i in range(2)]
+    rows += [(2, 7, 0.9, 1.0, 1.0, 9.0, 9.0), (2, 7, 0.8, 1.0, 1.0, 9.0, 9.0)]  # one id twice: the better stays
+    out = greedy.nms(spark.createDataFrame(rows, schema))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {tuple(r) for r in out.collect()}
+    assert {r for r in rows if r[1] >= 100 or r[0] is None} <= got
+    assert [r for r in got if r[0] == 2] == [(2, 7, 0.9, 1.0, 1.0, 9.0, 9.0)]
+
+
+def test_nms_of_text_ids_and_empty_tables(spark):
+    schema = "block_id int, mark_id string, confidence double, x double, y double, w double, h double"
+    rows = [(1, "b", 0.5, 1.0, 1.0, 9.0, 9.0), (1, "a", 0.5, 1.0, 1.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, schema)
+    assert [r["mark_id"] for r in greedy.nms(df).collect()] == ["a"]
+    assert greedy.nms(df.where("false")).collect() == []
