@@ -26,3 +26,12 @@ def test_words_of_a_page_are_not_exploded(spark):
     rows = t("v_word").groupBy("doc_id", "block_id").count().selectExpr("doc_id", "block_id % 10000 AS b", "count AS words")
     cut = t("v_page_text").select("doc_id", "b", "words")
     assert rows.exceptAll(cut).isEmpty() and cut.exceptAll(rows).isEmpty() and not cut.isEmpty()
+
+
+def test_grading_reads_stored_replies(spark, monkeypatch):
+    from workload import jobs
+
+    seen = []
+    monkeypatch.setattr(jobs.grade, "grade_sheets", lambda replies, *rest, **kw: seen.append(replies))
+    jobs._graded(Tables(spark, "/root/testdata/sf0.001"))
+    assert "ExistingRDD" in plan(seen[0]) and "documents" not in plan(seen[0])
