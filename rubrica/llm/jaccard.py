@@ -21,7 +21,8 @@ leader (smallest under a hash), each with the leader it meets most often; links
 in one component by then are left alone. The pairs still ahead are counted before they are made: while they are many, such
 rounds go on, each under a hash of its own. Then come the pairs of documents that still are in different components. As long
 as they are many, a round verifies a few of each two components, whose other pairs fall away when one of them links. The pairs
-left in the end are verified all, which makes the components exact.
+left in the end are verified all, which makes the components exact. Documents of different components meet only if sketches of
+their sets, which differ in no more bits than the sets do in tokens, allow the similarity.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case. Fewer words than a shingle make one shingle.
 Null texts and texts without words have no tokens, link with nothing and are components of their own. Every row is a
@@ -48,6 +49,7 @@ BLOCK_TOKENS = 2_000_000
 BUCKETS, BUCKET_BYTES = 64, 16 << 20  # buckets of packed tokens at least, and text behind one at most
 BROADCAST_ROWS = 2_000_000  # of two numbers each, at most
 TRIED = 12  # pairs of two components that a round verifies
+SKETCH = 8  # 64-bit numbers that a set is sketched in
 _SEVERAL = 0xFFFF
 _PACKED = "bucket bigint, block bigint, tokens binary, rows binary, docs binary, needs binary, sizes binary, valid binary"
 _FIELDS = ("bucket", "block", "tokens", "rows", "docs", "needs", "sizes", "valid")
@@ -183,8 +185,24 @@ def by_small(df: DataFrame, small: DataFrame, key: str, how: str = "inner") -> D
     return df.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, key, how)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A set as bits, each the parity of the tokens that a part of the hash sends there.
+
+    A token changes one bit, so two sets differ in at least as many tokens as their sketches differ in bits.
+    """
+    bits = 64 * SKETCH
+    place = tokens.view(np.uint64) >> np.uint64(64 - (bits.bit_length() - 1))
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool)).view("<i8")
+
+
+def _alike(percent: int) -> str:
+    """Condition on two sides' sketches and sizes that no pair similar enough fails: such sets differ in few tokens."""
+    differ = " + ".join(f"bit_count(sketch[{i}] ^ sketch_b[{i}])" for i in range(SKETCH))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n_b)"
+
+
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, tokens, mark, row): token sets, a 128-bit mark of each, a number of each row."""
+    """(doc_id, n, tokens, mark, row, sketch): token sets, a 128-bit mark of each, a number of each row, a sketch."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +219,14 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
                     pa.ListArray.from_arrays(offsets, flat),
                     pa.array([hashlib.md5(s.tobytes()).digest() for s in sets]),
                     pa.array(np.arange(row - len(sets), row)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([np.zeros(0, np.int64), *map(sketch, sets)]))
+                    ),
                 ],
-                names=["doc_id", "n", "tokens", "mark", "row"],
+                names=["doc_id", "n", "tokens", "mark", "row", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, tokens array<bigint>, mark binary, row bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, tokens array<bigint>, mark binary, row bigint, sketch array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,7 +319,7 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
     first = sets.groupBy("mark").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("same"))
     member = sets.select(F.col("row").alias("me"), "doc_id", "mark").join(first, "mark").select("me", "doc_id", F.col("same.row").alias("row"))
     member = cut_lineage(member)
-    sets = by_small(sets, member.select("row").distinct(), "row", "left_semi").select("row", "n", "tokens")
+    sets = by_small(sets, member.select("row").distinct(), "row", "left_semi").select("row", "n", "tokens", "sketch")
     prefixes = cut_lineage(_prefixes(sets, percent, orders))
     # `reach`: how many tokens a document can have in common with another whose first common token is this one
     meeting = prefixes.select("row", "n", "shared", F.posexplode(F.get("prefixes", F.lit(0))).alias("at", "token"))
@@ -327,8 +348,9 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
         before, ahead, k = ahead, _pairs_ahead(where), k + 1
         if ahead > 0.9 * before:
             break
-    other = where.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "comp", "reach")]).withColumnRenamed("row_b", "b")
-    near = f"a < b AND comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b)"
+    where = cut_lineage(where.join(sets.select("row", "sketch"), "row"))
+    other = where.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "comp", "reach", "sketch")]).withColumnRenamed("row_b", "b")
+    near = f"a < b AND comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b) AND {_alike(percent)}"
     met = where.withColumnRenamed("row", "a").join(other, "token").filter(near)
     left = cut_lineage(met.groupBy("a", "b", "comp", "comp_b").agg(F.count("*").alias("times")))
     n_left, k = left.count(), 0

@@ -135,3 +135,22 @@ def test_components_are_exact(llm):
         root[max(p, q)] = min(p, q)
     got = dict(rows(jaccard.components(llm.createDataFrame(edges, "a long, b long"))))
     assert got == {x: find(x) for x in root if any(find(y) == find(x) for y in root if y != x)}
+
+
+def test_sketches_tell_unlike_sets_apart(spark):
+    """Sketches differ in no more bits than the sets do in tokens, and leave out most of the pairs that are nearly similar enough."""
+    import numpy as np
+
+    rng, sets = np.random.default_rng(3), []
+    for changed in range(0, 60, 4):
+        one = rng.integers(0, 1 << 63, 146, dtype=np.uint64)
+        two = np.concatenate([one[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)])
+        sets.append((changed, *[np.unique(v * np.uint64(2)).view(np.int64) for v in (one, two)]))
+    rows_ = [(c, len(a), len(b), *[[int(x) for x in jaccard.sketch(v)] for v in (a, b)]) for c, a, b in sets]
+    df = spark.createDataFrame(rows_, "changed int, n int, n_b int, sketch array<bigint>, sketch_b array<bigint>")
+    near = {r["changed"] for r in df.filter(jaccard._alike(75)).collect()}
+    for c, a, b in sets:
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            assert c in near
+    assert max(near) < 32  # 0.64 and less are told apart
