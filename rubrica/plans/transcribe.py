@@ -9,15 +9,17 @@ that is not complete.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rubrica.inference.calls import call_image
 from rubrica.inference.prompts import PAGE_PROMPT
-from rubrica.operators.pages import PAGE, page_rejects, page_status
+from rubrica.operators.pages import PAGE, page_verdicts
 from rubrica.sources.sinks import table_exists
 
+TASKS_A_CORE = 32  # an attempt has at most so many tasks for each core; of a large table each asks for more pages then
 KEPT = (*PAGE, "page_w", "page_h", "reply", "error", "final", "latency_ms")
 
 
@@ -27,12 +29,23 @@ def retry_prompt(attempt: int, attempts: int, error) -> F.Column:
     return F.concat(F.lit(PAGE_PROMPT), told)
 
 
+@contextmanager
+def _images_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches for Python hold at most `rows` rows meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def judged(called: DataFrame) -> DataFrame:
     """Replies with `error`, null where the page can be used, and `final`: a call that raised is not repeated."""
-    status = page_status(called.where("error IS NULL")).select(*PAGE, "page_ok", "unreadable")
-    reasons = page_rejects(called.where("error IS NULL")).groupBy(*PAGE).agg(F.array_sort(F.collect_set("reason")).alias("_reasons"))
-    wrong = F.when(F.col("unreadable"), "it holds no JSON object").otherwise(F.concat(F.lit("no block is valid: "), F.array_join("_reasons", ", ")))
-    out = called.withColumnRenamed("error", "_raised").join(status, list(PAGE), "left").join(reasons, list(PAGE), "left")
+    status = page_verdicts(called.where("error IS NULL")).select(*PAGE, "page_ok", "unreadable", "reasons")
+    wrong = F.when(F.col("unreadable"), "it holds no JSON object").otherwise(F.concat(F.lit("no block is valid: "), F.array_join("reasons", ", ")))
+    out = called.withColumnRenamed("error", "_raised").join(status, list(PAGE), "left")
     error = F.when(F.col("_raised").isNotNull(), F.col("_raised")).when(~F.col("page_ok"), wrong)
     return out.withColumn("error", error).withColumn("final", F.col("_raised").isNotNull()).select(*KEPT)
 
@@ -41,7 +54,8 @@ def transcribe_pages(pages: DataFrame, make_model: Callable, path: str, attempts
     """One row per page: sheet_id, page_index, page_w, page_h, reply (the last one), error (null if it can be used), attempts.
 
     `pages`: sheet_id, page_index, page_w, page_h, content (the image's bytes). `path` holds the work table; what it holds of
-    an earlier run over the same pages is taken as it is. A task asks for about `per_task` pages. A page that still has an
+    an earlier run over the same pages is taken as it is. A task asks for about `per_task` pages, or for more where that would
+    make more than TASKS_A_CORE tasks a core; it holds about `per_task` of them at once. A page that still has an
     error is a reject; `grade_sheets` fails its sheet.
     """
     spark = pages.sparkSession
@@ -59,9 +73,10 @@ def transcribe_pages(pages: DataFrame, make_model: Callable, path: str, attempts
                 n = (asked if k == 1 else again).count()
                 if n == 0:
                     break
-                dealt = todo.repartition(math.ceil(n / per_task), *PAGE)
-                called = call_image(dealt, "content", "prompt", make_model).drop("content", "prompt", "attempts")
-                called.write.mode("overwrite").parquet(raw)
+                tasks = min(math.ceil(n / per_task), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+                called = call_image(todo.repartition(tasks, *PAGE), "content", "prompt", make_model).drop("content", "prompt", "attempts")
+                with _images_at_once(spark, per_task):
+                    called.write.mode("overwrite").parquet(raw)
             judged(spark.read.parquet(raw)).write.mode("overwrite").parquet(folder)
         done = spark.read.parquet(folder)
     if done is None:

@@ -35,3 +35,16 @@ def test_grading_reads_stored_replies(spark, monkeypatch):
     monkeypatch.setattr(jobs.grade, "grade_sheets", lambda replies, *rest, **kw: seen.append(replies))
     jobs._graded(Tables(spark, "/root/testdata/sf0.001"))
     assert "ExistingRDD" in plan(seen[0]) and "documents" not in plan(seen[0])
+
+
+def test_large_tables_are_asked_in_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from rubrica.plans import transcribe
+    from workload.stand_ins import late_model
+
+    monkeypatch.setattr(transcribe, "TASKS_A_CORE", 1, raising=False)
+    pages_ = spark.range(1, 101).selectExpr("id AS sheet_id", "0L AS page_index", "9L AS page_w", "9L AS page_h", "CAST(CAST(id AS string) AS binary) AS content")
+    got = {r["sheet_id"]: r["attempts"] for r in transcribe.transcribe_pages(pages_, late_model, str(tmp_path), per_task=1).collect()}
+    assert got == {i: 1 if i % 10 == 0 else min(3, 1 + i % 4) for i in range(1, 101)}
+    assert len(list(Path(tmp_path, "raw", "attempt=1").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
