@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def _c(x) -> Column:
@@ -33,28 +37,44 @@ def cosine(a, b) -> Column:
     return F.when(same, value).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("double"))
 
 
+NUMBERS_HELD = 1 << 18  # numbers of vectors that a worker makes at once
+
+
+def hash_vectors(texts: list, dim: int) -> pa.Array:
+    """Unit vectors of texts, each number 16 bits of a digest; a null text's are nulls. Sums go in order, as in `norm`."""
+    rounds = range(math.ceil(dim / 16))
+    raw = b"".join(sha256(f"{t}#{r}".encode("utf-8", "surrogatepass")).digest() for t in texts if t is not None for r in rounds)
+    v = np.frombuffer(raw, dtype=">u2").reshape(-1, 16 * len(rounds))[:, :dim] / 32767.5 - 1
+    if dim:
+        size = np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+        v = v / np.where(size == 0, 1.0, size)
+    known = np.array([t is not None for t in texts], dtype=bool)
+    flat = np.zeros((len(texts), dim))
+    flat[known] = v
+    numbers = pa.array(flat.ravel(), mask=np.repeat(~known, dim))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), numbers)
+
+
 def hash_embed(df: DataFrame, text_col: str, dim: int = 2048, out: str = "embedding") -> DataFrame:
     """Append a unit vector derived from the text alone: equal texts, trimmed and lower-cased, get equal vectors.
 
-    The digests are bound to a name of their own, so that they are made once per text and not once per number.
+    One Arrow call per batch; long vectors leave it in batches of few rows.
     """
     from rubrica.functions.text import strip
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    text = F.lower(strip(text_col))
-    digests = F.array(*[F.sha2(F.concat(text, F.lit(f"#{b}")), 256) for b in range(math.ceil(dim / 16))])
-
-    def number(d: Column, i: Column) -> Column:
-        part = F.substring(F.element_at(d, (F.floor(i / 16) + 1).cast("int")), i % 16 * 4 + 1, F.lit(4))
-        return F.conv(part, 16, 10).cast("double") / 32767.5 - 1
+    rows = max(1, NUMBERS_HELD // max(dim, 1))
+    names = [*[c for c in df.columns if c != out], out]
 
-    def unit(v: Column) -> Column:
-        return let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                vectors = hash_vectors(part.column(part.num_columns - 1).to_pylist(), dim)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], names=names)
 
-    raw = let(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: number(d, i)))
-    return df.withColumn(out, let(raw, unit))
+    kept = df.select(*[F.col(f"`{c}`") for c in names[:-1]], F.lower(strip(text_col)).alias("_hashed"))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return kept.mapInArrow(run, schema)
 
 
 def check_embeddings(texts: DataFrame, vectors: DataFrame, key: str, dim: int, col: str = "embedding"):

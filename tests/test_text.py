@@ -88,3 +88,20 @@ def test_weights_sum_to_one_after_cap_and_drops(spark):
 def test_upper_case_keeps_the_length_of_a_text(spark):
     df = spark.createDataFrame([("straße, ǆ ﬁx ᾳ ŉ",), ("plain é",), (None,)], "t string")
     assert [r[0] for r in df.select(text.upper("t")).collect()] == ["STRAẞE, Ǆ ﬁX ᾼ ŉ", "PLAIN É", None]
+
+
+def test_hash_vectors_are_made_in_arrow_batches(spark):
+    """No expression a number: a vector of 2,048 cost as many conversions of text before. Nulls stay nulls."""
+    import math
+    from hashlib import sha256
+
+    df = spark.createDataFrame([(1, " Ab "), (2, None)], "id int, t string")
+    out = vectors.hash_embed(df, "t", 40)
+    assert "conv(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["id"]: r["embedding"] for r in out.collect()}
+    raw = b"".join(sha256(f"ab#{b}".encode()).digest() for b in range(3))
+    want = [int.from_bytes(raw[2 * i : 2 * i + 2], "big") / 32767.5 - 1 for i in range(40)]
+    total = 0.0
+    for x in want:
+        total += x * x
+    assert got == {1: [x / math.sqrt(total) for x in want], 2: [None] * 40}
