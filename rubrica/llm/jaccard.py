@@ -17,12 +17,13 @@ at least a = ceil(t * n) of them. Hence, under any order of all tokens that is t
 4. pairs are verified on the whole sets.
 
 A large group of near copies is not expanded into pairs. Documents that meet at a token are first compared with the token's
-leader (smallest under a hash), each with the leader it meets most often; links give components; tokens whose documents are
-in one component by then are left alone. The pairs still ahead are counted before they are made: while they are many, such
-rounds go on, each under a hash of its own. Then come the pairs of documents that still are in different components. As long
-as they are many, a round verifies a few of each two components, whose other pairs fall away when one of them links. The pairs
-left in the end are verified all, which makes the components exact. Documents of different components meet only if sketches of
-their sets, which differ in no more bits than the sets do in tokens, allow the similarity.
+leader (smallest under a hash), each with the few leaders whose sketches are nearest to its own; links give components; tokens
+whose documents are in one component by then are left alone. The pairs still ahead are counted before they are made: while
+they are many, such rounds go on, each under a hash of its own. Then come the pairs of documents that still are in different
+components. As long as they are many, a round verifies a few of each two components, whose other pairs fall away when one of
+them links. The pairs left in the end are verified all, which makes the components exact. Documents meet only if sketches of
+their sets, which differ in no more bits than the sets do in tokens, allow the similarity, and not at a token where one of the
+few tokens before it is common to both already: at the first token in common, none is, and the tokens left are most.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case. Fewer words than a shingle make one shingle.
 Null texts and texts without words have no tokens, link with nothing and are components of their own. Every row is a
@@ -43,12 +44,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.llm.common import pick
 from rubrica.llm.shingles import shingle_set
-from rubrica.session import cut_lineage
+from rubrica.session import cut_lineage, shuffles_dropped
 
 BLOCK_TOKENS = 2_000_000
 BUCKETS, BUCKET_BYTES = 64, 16 << 20  # buckets of packed tokens at least, and text behind one at most
 BROADCAST_ROWS = 2_000_000  # of two numbers each, at most
 TRIED = 12  # pairs of two components that a round verifies
+LEADERS = 3  # leaders that a round compares a document with
+BEFORE = 4  # tokens before a meeting place that are kept with it
 SKETCH = 8  # 64-bit numbers that a set is sketched in
 _SEVERAL = 0xFFFF
 _PACKED = "bucket bigint, block bigint, tokens binary, rows binary, docs binary, needs binary, sizes binary, valid binary"
@@ -195,10 +198,33 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool)).view("<i8")
 
 
+#: Bits in which two sides' sketches differ.
+_DIFFER = "(" + " + ".join(f"bit_count(sketch[{i}] ^ sketch_b[{i}])" for i in range(SKETCH)) + ")"
+
+
 def _alike(percent: int) -> str:
     """Condition on two sides' sketches and sizes that no pair similar enough fails: such sets differ in few tokens."""
-    differ = " + ".join(f"bit_count(sketch[{i}] ^ sketch_b[{i}])" for i in range(SKETCH))
-    return f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n_b)"
+    return f"{100 + percent} * {_DIFFER} <= {100 - percent} * (n + n_b)"
+
+
+def _near(percent: int) -> str:
+    """Condition on two documents that meet at a token: of different components, and similar enough for all that is known."""
+    return f"comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b) AND {_alike(percent)}"
+
+
+def _beside(where: DataFrame) -> DataFrame:
+    """The other side of a pair that meets at a token."""
+    return where.select("token", *[F.col(c).alias(f"{c}_b") for c in where.columns if c != "token"]).withColumnRenamed("row_b", "b")
+
+
+def _met(where: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components, and how unlike their sketches are.
+
+    A pair meets at its first common token, and again only where none of the BEFORE tokens before are common to both.
+    """
+    first = f"a < b AND {_near(percent)} AND NOT arrays_overlap(before, before_b)"
+    met = where.withColumnRenamed("row", "a").join(_beside(where), "token").filter(first)
+    return met.groupBy("a", "b", "comp", "comp_b").agg(F.min(F.expr(f"{_DIFFER} / (n + n_b)")).alias("unlike"))
 
 
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -253,7 +279,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(row, n, shared, prefixes): each document's first tokens under each order, and how many of its tokens others hold too.
+    """(row, n, shared, prefixes, sketch): each document's first tokens under each order, and how many of its tokens others hold too.
 
     Documents without a partner possible are left out.
     """
@@ -270,9 +296,10 @@ def _prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
         )
         return F.transform(F.slice(F.array_sort(ranked), F.lit(1), room), lambda x: x["token"])
 
-    return listed.filter(room >= 1).select(
+    firsts = listed.filter(room >= 1).select(
         "row", "n", F.size("held").alias("shared"), F.array(*[prefix(k) for k in range(orders)]).alias("prefixes")
     )
+    return firsts.join(sets.select("row", "sketch"), "row")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -307,6 +334,11 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
 
     Rounds with leaders go on while more than `spare` pairs a document are ahead, as long as a round takes a tenth of them off.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _linked(docs, percent, width, lead, orders, spare)
+
+
+def _linked(docs: DataFrame, percent: int, width: int, lead: float, orders: int, spare: float) -> DataFrame:
     d = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     named_docs = d.filter("doc_id IS NOT NULL")
     tallied = cut_lineage(survivors(d, percent, lead, width)).filter("doc_id IS NOT NULL")
@@ -322,8 +354,9 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
     sets = by_small(sets, member.select("row").distinct(), "row", "left_semi").select("row", "n", "tokens", "sketch")
     prefixes = cut_lineage(_prefixes(sets, percent, orders))
     # `reach`: how many tokens a document can have in common with another whose first common token is this one
-    meeting = prefixes.select("row", "n", "shared", F.posexplode(F.get("prefixes", F.lit(0))).alias("at", "token"))
-    meeting = meeting.select("row", "n", "token", (F.col("shared") - F.col("at")).alias("reach"))
+    meeting = prefixes.withColumn("p", F.get("prefixes", F.lit(0))).select("row", "n", "shared", "sketch", "p", F.posexplode("p").alias("at", "token"))
+    before = F.slice("p", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    meeting = meeting.select("row", "n", "token", (F.col("shared") - F.col("at")).alias("reach"), "sketch", before.alias("before"))
 
     links = None
     where = meeting.withColumn("comp", F.col("row"))
@@ -333,30 +366,27 @@ def linked(docs: DataFrame, percent: int = 75, width: int = 5, lead: float = 0.3
         every = cut_lineage(found if links is None else links.unionByName(found))
         comps = cut_lineage(components(every).withColumnRenamed("id", "row"))
         placed = by_small(meeting, comps, "row", "left")
-        placed = placed.select("token", "row", "n", "reach", F.coalesce("comp", "row").alias("comp"))
+        placed = placed.select("token", "row", "n", "reach", "sketch", "before", F.coalesce("comp", "row").alias("comp"))
         open_ = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
         return every, cut_lineage(placed.join(open_, "token", "left_semi"))
 
     enough, ahead, k = spare * max(prefixes.count(), 1), _pairs_ahead(where), 0
     while ahead > enough:
         lot = F.xxhash64(F.lit(f"leader{k}"), "row")
-        leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "row", "comp", "n", "reach")).alias("l"))
-        near = f"comp <> l.comp AND {100 + percent} * least(reach, l.reach) >= {percent} * (n + l.n)"
-        chosen = where.join(leaders, "token").filter(near).groupBy("row", "l.row").agg(F.count("*").alias("times")).toDF("a", "b", "times")
-        best = chosen.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+        leaders = where.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "row", "comp", "n", "reach", "sketch")).alias("l"))
+        met = where.join(_beside(leaders.select("token", "l.*").drop("lot")), "token").filter(_near(percent))
+        # a document has at most as many leaders as tokens
+        each = met.groupBy(F.col("row").alias("a")).agg(F.collect_set(F.struct(F.expr(f"{_DIFFER} / (n + n_b)").alias("unlike"), "b")).alias("l"))
+        best = each.select("a", F.explode(F.slice(F.array_sort("l"), 1, LEADERS)).alias("l")).select("a", "l.b")
         links, where = joined(_verified(best, sets, prefixes, percent, orders))
         before, ahead, k = ahead, _pairs_ahead(where), k + 1
         if ahead > 0.9 * before:
             break
-    where = cut_lineage(where.join(sets.select("row", "sketch"), "row"))
-    other = where.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "comp", "reach", "sketch")]).withColumnRenamed("row_b", "b")
-    near = f"a < b AND comp <> comp_b AND {100 + percent} * least(reach, reach_b) >= {percent} * (n + n_b) AND {_alike(percent)}"
-    met = where.withColumnRenamed("row", "a").join(other, "token").filter(near)
-    left = cut_lineage(met.groupBy("a", "b", "comp", "comp_b").agg(F.count("*").alias("times")))
+    left = cut_lineage(_met(where, percent))
     n_left, k = left.count(), 0
     while n_left > enough:
         # two components need one link: of the pairs between them the likeliest and some at random are tried first
-        best = F.max_by(F.struct("a", "b"), F.struct("times", "a", "b"))
+        best = F.min_by(F.struct("a", "b"), F.struct("unlike", "a", "b"))
         lots = [F.max_by(F.struct("a", "b"), F.xxhash64(F.lit(f"pair{k}.{i}"), "a", "b")) for i in range(TRIED - 1)]
         between = (F.least("comp", "comp_b"), F.greatest("comp", "comp_b"))
         tried = left.groupBy(*between).agg(F.array_distinct(F.array(best, *lots)).alias("p")).select(F.explode("p").alias("p"))

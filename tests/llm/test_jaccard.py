@@ -154,3 +154,37 @@ def test_sketches_tell_unlike_sets_apart(spark):
         if 100 * common >= 75 * (len(a) + len(b) - common):
             assert c in near
     assert max(near) < 32  # 0.64 and less are told apart
+
+
+def near_copies(n, words, changed, seed=5):
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        t = [f"w{k}" for k in range(words)]
+        for j in range(changed):
+            t[rng.randrange(words)] = f"x{i}y{j}"
+        texts.append(" ".join(t))
+    return texts
+
+
+def test_a_pair_meets_about_once(docs, monkeypatch):
+    """Every pair that meets at any token comes out of the last join, from about one token and not from all in common."""
+    seen, met = [], jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda where, percent: seen.append((where, met(where, percent))) or seen[-1][1])
+    texts = near_copies(60, 150, 2)
+    assert sorted(rows(jaccard.linked(docs(texts), spare=1e9))) == brute(list(enumerate(texts)))
+    where, pairs = seen[0]
+    places = where.withColumnRenamed("row", "a").join(jaccard._beside(where), "token").filter(f"a < b AND {jaccard._near(75)}")
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(r["a"], r["b"]) for r in places.select("a", "b").collect()}
+    assert places.count() > 5 * pairs.count() > 0
+    assert places.filter("NOT arrays_overlap(before, before_b)").count() < 1.2 * pairs.count()
+
+
+def test_shuffle_files_go_as_the_job_runs(llm, docs):
+    """Tens of short queries leave no shuffle files behind; those of one query are dropped when it ends."""
+    disk = llm._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: sum(f.getName().startswith("shuffle_") for f in (disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())))
+    before = held()
+    jaccard.linked(docs(near_copies(40, 80, 3)))
+    assert held() - before < 50
+    assert llm.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
