@@ -48,3 +48,19 @@ def test_large_tables_are_asked_in_a_bounded_number_of_tasks(spark, tmp_path, mo
     got = {r["sheet_id"]: r["attempts"] for r in transcribe.transcribe_pages(pages_, late_model, str(tmp_path), per_task=1).collect()}
     assert got == {i: 1 if i % 10 == 0 else min(3, 1 + i % 4) for i in range(1, 101)}
     assert len(list(Path(tmp_path, "raw", "attempt=1").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
+
+
+def test_joined_text_blocks_keep_the_underlined_words_of_all_parts(spark):
+    schema = "sheet_id long, page_index long, block_no long, key string, question_number string, x double, y double, w double, h double, " \
+        "page_w long, page_h long, content_type string, raw_text string, reconstructed_text string, confidence double, underlined_words array<string>"
+    rows = [
+        (1, 0, 0, "1a", None, 0.0, 50.0, 800.0, 10.0, 800, 1000, "TEXT", "b", "b", 0.5, ["lower", "word"]),
+        (1, 0, 1, "1a", "1a", 0.0, 10.0, 800.0, 10.0, 800, 1000, "TEXT", "a", "a", 0.7, ["upper"]),
+        (1, 0, 2, "1a", "1a", 9.0, 99.0, 80.0, 10.0, 800, 1000, "DIAGRAM", "", "", 0.7, ["own"]),
+        (1, 0, 3, "2", "2", 0.0, 90.0, 800.0, 10.0, 800, 1000, "TEXT", "c", "c", 0.7, []),
+    ]
+    out = {r["block_no"]: r for r in pages.merge_text_blocks(spark.createDataFrame(rows, schema)).collect()}
+    assert {n: (r["question_number"], r["underlined_words"]) for n, r in out.items()} == {
+        1: ("1a", ["upper", "lower", "word"]), 2: ("1a", ["own"]), 3: ("2", []),
+    }
+    assert (out[1]["y"], out[1]["h"], out[1]["reconstructed_text"]) == (10.0, 80.0, "a b")
