@@ -1,18 +1,19 @@
 """Greedy selection among conflicting marks, and merging of broken strokes.
 
 "Keep a mark unless it conflicts with a better kept one": overlapping marks are decided block by block, in one pass in
-order of merit over the pairs that conflict. Arrow ends are decided in rounds over the conflict pairs: a line without a
+order of merit over the pairs that conflict. Strokes are joined block by block too, in the order of their lines. Arrow ends are decided in rounds over the conflict pairs: a line without a
 better undecided rival is kept, its rivals are dropped, and the pairs left shrink from round to round. The outcome is that
-of one pass in order of merit, but no block is ever gathered in one place.
+of one pass in order of merit, but there no block is gathered in one place.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rubrica.functions.geometry import with_geometry
@@ -131,103 +132,144 @@ def suppress_endpoints(arrows: DataFrame, by: str = "block_id", line_id: str = "
     return arrows.join(lost, [by, line_id], "left_anti")
 
 
-def linked_groups(pairs: DataFrame, by: str) -> DataFrame:
-    """Lowest id reachable from each id over `pairs` (by, a, b): by, id, grp."""
-    both = pairs.select(by, F.col("a").alias("id"), F.col("b").alias("to")).unionByName(
-        pairs.select(by, F.col("b").alias("id"), F.col("a").alias("to"))
-    )
-    edges = cut_lineage(both)
-    labels = cut_lineage(edges.groupBy(by, "id").agg(F.least(F.col("id"), F.min("to")).alias("grp")))
-    while True:
-        heard = edges.join(labels.select(by, F.col("id").alias("to"), F.col("grp").alias("_g")), [by, "to"])
-        best = heard.groupBy(by, "id").agg(F.min("_g").alias("_g"))
-        # follow the label's own label too, which halves the distance left on every round
-        jump = labels.select(by, F.col("id").alias("grp"), F.col("grp").alias("_j"))
-        step = (
-            labels.join(best, [by, "id"])
-            .join(jump, [by, "grp"], "left")
-            .select(by, "id", F.col("grp").alias("_old"), F.least("grp", "_g", "_j").alias("grp"))
-        )
-        step = cut_lineage(step)
-        labels = step.drop("_old")
-        if step.where("_old <> grp").isEmpty():
-            return labels
-
-
-def _turn(a, b) -> float:
-    """Angle between two lines in degrees, regardless of direction."""
-    headings = [math.degrees(math.atan2(y2 - y1, x2 - x1)) for x1, y1, x2, y2 in (a, b)]
-    d = abs(headings[0] - headings[1])
-    return min(d, 180 - d)
-
-
-def _continues(a, b, angle: float, gap: float) -> bool:
-    for ax, ay in (a[:2], a[2:]):
-        for bx, by in (b[:2], b[2:]):
-            # most pairs are far apart, so the square test comes before the distance and the angle
-            if abs(ax - bx) <= gap and abs(ay - by) <= gap and math.hypot(ax - bx, ay - by) <= gap:
-                return _turn(a, b) <= angle
-    return False
-
-
-def _span(a, b) -> tuple:
-    """The longest line between two of the four ends; the first found among equals, from ends taken in order."""
-    points = [a[:2], a[2:], b[:2], b[2:]]
-    far, best = -1.0, None
-    for p in points:
-        for q in points:
-            d = math.dist(p, q)
-            if d > far:
-                far, best = d, (*p, *q)
-    return best
-
-
-def join_strokes(lines, angle: float, gap: float) -> list[tuple]:
-    """Join one linked group: rows (line_no, x1, y1, x2, y2) to (line_no, x1, y1, x2, y2, parts).
-
-    Strokes start at the lowest line_no left. Each walks round the lines not yet used, taking what continues it, and
-    is finished after a full lap without a join.
+def _packed(cells):
+    """Cell numbers with the empty stretches between them shortened to one cell; neighbours stay neighbours."""
+    known, place = np.unique(cells, return_inverse=True)
+    return np.cumsum(np.minimum(np.diff(known, prepend=known[:1]), 2))[place]
+
+
+def _near_ends(block, x, y, gap: float):
+    """Pairs of points of one block within `gap`, each once. Points meet in square cells at least `gap` wide."""
+    none = np.zeros(0, int)
+    if not len(x):
+        return none, none
+    side = gap * 1.000001 if gap > 0 else 1.0
+    cx, cy = (_packed(np.floor(np.clip(c / side, -(2.0**40), 2.0**40))).astype(int) + 1 for c in (x, y))
+    wide, high = cx.max() + 2, cy.max() + 2
+    key = (block * wide + cx) * high + cy
+    order = np.argsort(key, kind="stable")
+    key, x, y = key[order], x[order], y[order]
+    found = []
+    # its own cell and four of the eight around it: the other four look into it
+    for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)):
+        target = key + dx * high + dy
+        lo, hi = np.searchsorted(key, target, "left"), np.searchsorted(key, target, "right")
+        if (dx, dy) == (0, 0):
+            lo = np.arange(1, len(key) + 1)
+        n = hi - lo
+        one = np.repeat(np.arange(len(key)), n)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        square, limit = (x[one] - x[two]) ** 2 + (y[one] - y[two]) ** 2, gap * gap
+        close = square <= limit
+        for i in np.flatnonzero(np.abs(square - limit) <= 1e-9 * limit).tolist():
+            close[i] = math.dist((x[one[i]], y[one[i]]), (x[two[i]], y[two[i]])) <= gap
+        found.append((order[one[close]], order[two[close]]))
+    return tuple(np.concatenate(s) for s in zip(*found, strict=True))
+
+
+def _heading(x1: float, y1: float, x2: float, y2: float) -> float:
+    return math.degrees(math.atan2(y2 - y1, x2 - x1))
+
+
+def join_strokes(block, x1, y1, x2, y2, angle: float, gap: float) -> tuple[list, list, list]:
+    """Join fragments, sorted by block and line: the first line of each stroke, its four coordinates, its number of parts.
+
+    Strokes start at the first line left. Each walks round the lines of its block that are not yet used, taking what
+    continues it, and is finished after a full lap without a join. A stroke ends where fragments end, so what can continue
+    it is found among the ends near those ends, looked up before the walk.
     """
-    rest = deque(sorted(lines))
-    strokes = []
-    while rest:
-        first, *ends = rest.popleft()
-        stroke, parts, misses = tuple(ends), 1, 0
-        while misses < len(rest):
-            line = rest.popleft()
-            if _continues(stroke, line[1:], angle, gap):
-                stroke, parts, misses = _span(stroke, line[1:]), parts + 1, 0
-            else:
-                rest.append(line)
-                misses += 1
-        rest = deque(sorted(rest))
-        strokes.append((first, *stroke, parts))
-    return strokes
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _join_lists(
-    no: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, angle: pd.Series, gap: pd.Series
-) -> pd.Series:
-    rows = zip(no, x1, y1, x2, y2, angle, gap, strict=True)
-    return pd.Series([[list(map(float, s)) for s in join_strokes(zip(*r[:5], strict=True), *r[5:])] for r in rows])
+    n = len(x1)
+    px, py = np.column_stack([x1, x2]).ravel(), np.column_stack([y1, y2]).ravel()  # ends 2i and 2i + 1 are those of line i
+    one, two = _near_ends(np.repeat(block, 2), px, py, gap)
+    other = one >> 1 != two >> 1
+    here, there = np.concatenate([one[other], two[other]]), np.concatenate([two[other], one[other]])
+    order = np.argsort(here, kind="stable")
+    near = (there[order] >> 1).tolist()
+    at = np.searchsorted(here[order], np.arange(2 * n + 1)).tolist()
+    px, py = px.tolist(), py.tolist()
+    headings = list(map(_heading, px[::2], py[::2], px[1::2], py[1::2]))
+    used = bytearray(n)
+    firsts, strokes, counts = [], [], []
+    for first in range(n):
+        if used[first]:
+            continue
+        used[first] = 1
+        p, q, heading, last, parts = 2 * first, 2 * first + 1, headings[first], first, 1
+        while True:
+            nxt = after = None  # the first to continue it behind the line taken last, or from the start on
+            for c in near[at[p] : at[p + 1]] + near[at[q] : at[q + 1]]:
+                place = c if c > last else c + n
+                if used[c] or (after is not None and place >= after):
+                    continue
+                turn = abs(heading - headings[c])
+                if min(turn, 180 - turn) <= angle:
+                    nxt, after = c, place
+            if nxt is None:
+                break
+            used[nxt], last, parts = 1, nxt, parts + 1
+            # the longest line between two of the four ends, the first found among equals
+            ends, far = (p, q, 2 * nxt, 2 * nxt + 1), -1.0
+            for i in range(3):
+                for j in range(i + 1, 4):
+                    a, b = ends[i], ends[j]
+                    d = math.dist((px[a], py[a]), (px[b], py[b]))
+                    if d > far:
+                        far, p, q = d, a, b
+            heading = _heading(px[p], py[p], px[q], py[q])
+        firsts.append(first)
+        strokes.append((px[p], py[p], px[q], py[q]))
+        counts.append(parts)
+    return firsts, strokes, counts
+
+
+#: Lines that are joined in one go, in whole blocks: it bounds the pairs of near ends held at a time.
+LINES_AT_ONCE = 50_000
+_ENDS = ["x1", "y1", "x2", "y2"]
+
+
+def _joined(by: str, angle: float, gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of blocks, their lines in lists, to rows of strokes. Lines without a block, a number or a whole place stay alone."""
+
+    def batch_of(blocks: pa.RecordBatch) -> pa.RecordBatch:
+        flat = {c: blocks.column(c).flatten() for c in ("line_no", *_ENDS)}
+        block = np.repeat(np.arange(blocks.num_rows), [len(v) for v in blocks.column("line_no")])
+        named, numbered = (np.asarray(c.is_valid().to_numpy(zero_copy_only=False), bool) for c in (blocks.column(by), flat["line_no"]))
+        no = flat["line_no"].fill_null(0).to_numpy(zero_copy_only=False)
+        ends = [flat[c].to_numpy(zero_copy_only=False).astype(float) for c in _ENDS]
+        whole = named[block] & numbered & np.isfinite(np.sum(ends, axis=0))
+        rows = np.flatnonzero(whole)
+        rows = rows[np.lexsort((*[e[rows] for e in reversed(ends)], no[rows], block[rows]))]
+        firsts, strokes, counts = join_strokes(block[rows], *[e[rows] for e in ends], angle, gap)
+        first, alone = rows[firsts], np.flatnonzero(~whole)
+        strokes = np.array(strokes, float).reshape(-1, 4)
+        taken = np.concatenate([first, alone]).astype(int)
+        out = [blocks.column(by).take(pa.array(block[taken])), flat["line_no"].take(pa.array(taken))]
+        out += [pa.concat_arrays([pa.array(strokes[:, i]), flat[c].take(pa.array(alone))]) for i, c in enumerate(_ENDS)]
+        out.append(pa.array([*counts, *[1] * len(alone)], pa.int64()))
+        return pa.RecordBatch.from_arrays(out, names=[by, "line_no", *_ENDS, "parts"])
+
+    def run(batches):
+        for batch in batches:
+            start, held = 0, 0
+            for i, lines in enumerate(batch.column("line_no")):
+                held += len(lines)
+                if held >= LINES_AT_ONCE or i + 1 == batch.num_rows:
+                    yield batch_of(batch.slice(start, i + 1 - start))
+                    start, held = i + 1, 0
+
+    return run
 
 
 def merge_collinear(lines: DataFrame, by: str = "block_id", angle: float = 8.0, gap: float = 20.0) -> DataFrame:
     """Join fragments of one stroke: by, line_no (of the first fragment), x1, y1, x2, y2, parts.
 
-    The joining depends on order, so it runs on one group of lines at a time. Only lines linked through ends within `gap`
-    can ever meet, as a joined stroke ends where fragments end, so each linked group is joined alone; lines without a link
-    are strokes already.
+    The joining depends on order, so the lines of a block meet in one row, which is one crop of one page; they are shuffled
+    once and never joined. Lines without a block are strokes already, as are those without a number or a whole place.
     """
-    base = lines.select(by, "line_no", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    def joined(group: DataFrame, *keys: str) -> DataFrame:
-        cols = ["line_no", "x1", "y1", "x2", "y2"]
-        lists = group.groupBy(by, *keys).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("l"))
-        rows = lists.select(by, F.explode(_join_lists(*[F.col(f"l.{c}") for c in cols], F.lit(angle), F.lit(gap))).alias("s"))
-        out = [F.col("s")[i].alias(c) for i, c in enumerate([*cols, "parts"])]
-        return rows.select(by, *out).withColumns({c: F.col(c).cast("bigint") for c in ("line_no", "parts")})
-
-    linked = linked_groups(endpoint_pairs(base, by, "line_no", gap), by).withColumnRenamed("id", "line_no")
-    alone = base.join(linked, [by, "line_no"], "left_anti").withColumn("parts", F.lit(1).cast("bigint"))
-    return alone.unionByName(joined(base.join(linked, [by, "line_no"]), "grp"))
+    base = lines.select(by, F.col("line_no").cast("bigint").alias("line_no"), *[F.col(c).cast("double").alias(c) for c in _ENDS])
+    own = F.when(F.col(by).isNull(), F.col("line_no"))  # so that lines without a block are not gathered
+    base = base.withColumn("_own", own).repartition(by, "_own")
+    lists = base.groupBy(by, "_own").agg(F.collect_list(F.struct("line_no", *_ENDS)).alias("l"))
+    kind = lines.schema[by].dataType.simpleString()
+    schema = f"`{by}` {kind}, line_no bigint, {', '.join(f'{c} double' for c in _ENDS)}, parts bigint"
+    return lists.select(by, *[F.col(f"l.{c}").alias(c) for c in ("line_no", *_ENDS)]).mapInArrow(_joined(by, angle, gap), schema)

@@ -124,3 +124,30 @@ def test_nms_of_text_ids_and_empty_tables(spark):
     df = spark.createDataFrame(rows, schema)
     assert [r["mark_id"] for r in greedy.nms(df).collect()] == ["a"]
     assert greedy.nms(df.where("false")).collect() == []
+
+
+def test_strokes_are_joined_in_one_shuffle_and_odd_lines_stay(spark):
+    rows = [(b, i, *[v / 8 for v in r]) for b, i, *r in segments(3, [400, 7, 0, 60])]
+    odd = [(None, 1, 0.0, 0.0, 9.0, 0.0), (None, 1, 9.0, 0.0, 18.0, 0.0), (3, 900, None, 0.0, 9.0, 0.0), (3, None, 0.0, 0.0, 9.0, 0.0)]
+    out = greedy.merge_collinear(spark.createDataFrame(rows + odd, LINES))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = [tuple(r) for r in out.select("block_id", "line_no", "x1", "y1", "x2", "y2", "parts").collect()]
+    want = [(b, *m) for b in range(4) for m in fold([r for r in rows if r[0] == b])] + [(*r, 1) for r in odd]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_strokes_of_a_batch_are_joined_in_bounded_steps():
+    import pyarrow as pa
+
+    rows = segments(9, [30, 40, 50])
+    lists = [[[r[i] for r in rows if r[0] == b] for b in range(3)] for i in range(1, 6)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), *map(pa.array, lists)], names=["b", "line_no", "x1", "y1", "x2", "y2"])
+    before, greedy.LINES_AT_ONCE = greedy.LINES_AT_ONCE, 60
+    try:
+        out = list(greedy._joined("b", 8.0, 20.0)([batch]))
+    finally:
+        greedy.LINES_AT_ONCE = before
+    assert [sorted(set(o.column("b").to_pylist())) for o in out] == [[0, 1], [2]]
+    got = sorted(tuple(r.values()) for o in out for r in o.to_pylist())
+    assert got == sorted((b, *m) for b in range(3) for m in fold([r for r in rows if r[0] == b]))
