@@ -30,25 +30,43 @@ class Waiting(StatefulProcessor):
 
     A state entry holds the keys of one range, `now` one row per key. With `width` 1 a range is one key; a wider one takes as
     many keys in one call of Python and one read of the store, which is what most of the time goes to where keys are many
-    and have few rows. Ranges grow in number with the keys and not in size.
+    and have few rows. Ranges grow in number with the keys and not in size. The rows of a wider range are kept `packed`, as
+    columns in arrays: every element of a list costs a conversion in Python and one in the JVM, many times that of a number
+    in an array.
     """
 
     state = ""
     key = ""  # the key column's name
+    packed = False
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.now = handle.getListState("now", f"id bigint, {self.state}")
+        self.now = self.rows_of("now", f"id bigint, {self.state}")
+
+    def rows_of(self, name: str, columns: str):
+        """A list of rows in the state of a range."""
+        if self.packed:
+            columns = ", ".join(f"{c} array<{kind}>" for c, kind in (c.split() for c in columns.split(",")))
+        return self.handle.getListState(name, columns)
+
+    def _kept(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows, strict=True)))] if self.packed else rows
 
     def ring(self, at: int, timerValues) -> None:
         self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
 
     def held(self, state) -> list[tuple]:
-        return [tuple(r) for r in state.get()] if state.exists() else []
+        if not state.exists():
+            return []
+        kept = [tuple(r) for r in state.get()]
+        return [row for columns in kept for row in zip(*columns, strict=True)] if self.packed else kept
+
+    def add(self, state, rows: list[tuple]) -> None:
+        state.appendList(self._kept(rows))
 
     def hold(self, state, rows: list[tuple]) -> None:
         if rows:
-            state.put(rows)
+            state.put(self._kept(rows))
         elif state.exists():
             state.clear()
 
@@ -75,7 +93,7 @@ class InOrder(Waiting):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.waiting = handle.getListState("waiting", "id bigint, seq bigint, at bigint, value string")
+        self.waiting = self.rows_of("waiting", "id bigint, seq bigint, at bigint, value string")
 
     def take(self, value, seq, row, late):
         raise NotImplementedError
@@ -97,7 +115,7 @@ class InOrder(Waiting):
         columns = ("id", "seq", "at", "value")
         new = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in columns], strict=True)]
         if self.keep is not None:
-            self.waiting.appendList(new)
+            self.add(self.waiting, new)
             self.ring(min(r[2] for r in new), timerValues)
             return
         now = {r[0]: r[1:] for r in self.held(self.now)}
@@ -133,9 +151,10 @@ def over_keys(
 ) -> DataFrame:
     """Run a processor over `stream` (key, seq, ts and a value column); its rows have `schema`.
 
-    `width` consecutive keys share a state entry; it can't change while a checkpoint is in use.
+    `width` consecutive keys share a state entry; it can't change while a checkpoint is in use. A good width has some
+    hundreds of rows to a range: where ids are sparse it is as much wider.
     """
-    processor.key = key
+    processor.key, processor.packed = key, width > 1
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = (
         stream.where(f"`{key}` IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL")

@@ -116,3 +116,15 @@ def test_sheets_that_share_a_state_entry(spark, tmp_path):
     assert got[1] == got[4]
     assert got[4][1] == [(1, 6.0), (2, 1900.0), (3, 8.0), (4, 2000.0)]
     assert held == 3  # sheets 1, 4 and 9, in ranges 0, 1 and 2
+
+
+def test_a_range_of_sheets_keeps_one_element_a_batch(spark, tmp_path):
+    """Each element of a list state is converted alone, so a range's rows go into arrays and not into elements."""
+    feed = Feed(spark, str(tmp_path), "sheet_id bigint, seq bigint, at bigint, status string")
+    feed.add([(i, i, i, None if i == 5 else "RUNNING") for i in range(1, 9)])
+    feed.run(lambda s: states.status_changes(s, keep="5 seconds", width=100))
+    flat = lambda name: spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", True).load(f"{tmp_path}/mark")
+    assert [len(r["list_element"]["id"]) for r in flat("now").collect()] == [8]
+    feed.add([(i, 20 + i, 20 + i, "QUEUED") for i in range(1, 9)])
+    out = feed.run(lambda s: states.status_changes(s, keep="5 seconds", width=100))
+    assert out.where("status = 'QUEUED'").count() == 8 and out.where("status IS NULL").count() == 1

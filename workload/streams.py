@@ -28,8 +28,11 @@ FROM events
 view("v_call", "SELECT user_id % 5 AS account, event_id AS call_id, ts FROM events")
 
 
-#: Sheets of the status log that share a state entry: they have one or two events each.
+#: Ids that share a state entry where they are dense, with a few events each.
 WIDTH = 256
+#: Ids that share a state entry in the status log: its sheets have one or two events each, and the ids that 700 events in a
+#: row can name span 100,000, so that an entry holds about as many events however many users there are.
+SPARSE = 100_000
 
 
 def _stream(t, columns):
@@ -102,7 +105,7 @@ STATUS_COLUMNS = [
 
 @query("status_changes_stream", "SELECT sheet_id, seq, status FROM s_change")
 def _(t):
-    return jobs.run_available(states.status_changes(_stream(t, STATUS_COLUMNS), width=WIDTH))
+    return jobs.run_available(states.status_changes(_stream(t, STATUS_COLUMNS), width=SPARSE))
 
 
 STAGES = """SELECT status, count(*) AS sheets FROM (SELECT * FROM v_status_event QUALIFY row_number() OVER (
@@ -227,4 +230,5 @@ def _(t):
     events = _stream(t, ["event_id DIV 3 AS sheet_id", *STATUS_COLUMNS[1:]])
     jobs.run_available(states.status_changes(events, keep="0 seconds", width=WIDTH), mark=mark)
     held = t.spark.read.format("statestore").option("stateVarName", "now").option("flattenCollectionTypes", True).load(mark)
-    return held.select(F.col("list_element.id").alias("sheet_id"), F.col("list_element.value").alias("status"), F.col("list_element.last").alias("last"))
+    kept = held.select(F.explode(F.arrays_zip(*[F.col(f"list_element.{c}").alias(c) for c in ("id", "value", "last")])).alias("sheet"))
+    return kept.select(F.col("sheet.id").alias("sheet_id"), F.col("sheet.value").alias("status"), "sheet.last")
