@@ -177,9 +177,12 @@ class _Stuck(Waiting):
         now = {r[0]: r[1:] for r in self.held(self.now)}
         due = []
         for pdf in rows:
-            # of a sheet's rows of one time the first counts, as does a new row over an old one
-            newest = pdf.loc[pdf.groupby("id")["at"].idxmax()]
-            for id, status, at in zip(newest["id"].tolist(), newest["value"].tolist(), newest["at"].tolist(), strict=True):
+            newest: dict = {}
+            for id, status, at in zip(pdf["id"].tolist(), pdf["value"].tolist(), pdf["at"].tolist(), strict=True):
+                # of a sheet's rows of one time the first counts, as does a new row over an old one
+                if id not in newest or at > newest[id][1]:
+                    newest[id] = (status, at)
+            for id, (status, at) in newest.items():
                 if at >= now.get(id, ("", -1))[1]:
                     now[id] = (status, at)
                     due.append(self._due(status, at))
@@ -195,7 +198,8 @@ class _Stuck(Waiting):
         over = [id for id, d in due.items() if d is not None and d <= passed]
         stuck = [(id, now[id][1], self.message) for id in over if now[id][0] == "QUEUED"]
         if over:
-            self.hold(self.now, [(id, *v) for id, v in now.items() if id not in set(over)])
+            gone = set(over)
+            self.hold(self.now, [(id, *v) for id, v in now.items() if id not in gone])
         later = [d for d in due.values() if d is not None and d > passed]
         if later:
             self.ring(min(later), timerValues)

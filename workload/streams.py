@@ -155,7 +155,7 @@ def _(t):
          <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
 )
 def _(t):
-    out = jobs.run_available(states.stuck_stream(_stream(t, STATUS_COLUMNS), width=WIDTH))
+    out = jobs.run_available(states.stuck_stream(_stream(t, STATUS_COLUMNS), width=SPARSE))
     return out.withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss"))
 
 
