@@ -128,3 +128,12 @@ def test_a_range_of_sheets_keeps_one_element_a_batch(spark, tmp_path):
     feed.add([(i, 20 + i, 20 + i, "QUEUED") for i in range(1, 9)])
     out = feed.run(lambda s: states.status_changes(s, keep="5 seconds", width=100))
     assert out.where("status = 'QUEUED'").count() == 8 and out.where("status IS NULL").count() == 1
+
+
+def test_a_range_of_queued_sheets_keeps_one_element(spark, tmp_path):
+    feed = Feed(spark, str(tmp_path), "sheet_id bigint, at bigint, status string")
+    feed.add([(i, 10, "RUNNING") for i in range(1, 7)] + [(i, 10, "QUEUED") for i in (7, 8)] + [(7, 9, "DONE"), (8, 10, "DONE"), (6, 5000, "RUNNING")])
+    out = feed.run(lambda s: states.stuck_stream(s, width=100))
+    assert sorted((r["sheet_id"], r["since"].timestamp()) for r in out.collect()) == [(7, 10.0), (8, 10.0)]  # the first of one time counts
+    held = spark.read.format("statestore").option("stateVarName", "now").option("flattenCollectionTypes", True).load(f"{tmp_path}/mark")
+    assert [sorted(r["list_element"]["id"]) for r in held.collect()] == [[1, 2, 3, 4, 5, 6]]
